@@ -6,18 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import linededup, minhash, pieces, vectors
 from corpusloom.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files lie; they are never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sentencepiece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusloom.llm.minhash import minhash_dedup
+    return minhash.minhash_dedup(table(spark, sf_dir, "documents"), k=5, percent=85)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
 
-    return minhash_dedup(table(spark, sf_dir, "documents"))
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_minhash_dedup": op4_minhash_dedup}
+    return {
+        "op2_embedding_dedup": op2_embedding_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_token_counts": op5_token_counts,
+        "op7_exact_top_k": op7_exact_top_k,
+        "op9_line_dedup": op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": linededup.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import linededup, minhash, pieces, vectors
+from corpusloom.llm import html, linededup, minhash, packing, pieces, pii, toxicity, vectors
 from corpusloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -33,22 +37,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=4096, end=2)
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_token_counts": op5_token_counts,
+        "op6_packing": op6_packing,
         "op7_exact_top_k": op7_exact_top_k,
+        "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
+        "op10_pii": op10_pii,
     }
 
 

@@ -24,7 +24,9 @@ WIDTH = 24
 FLOOR = 0.4
 LANDMARKS = 96
 #: The training sample: labelled texts of each class, and the longest text in it.
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Words whose kernels are computed together: a bound for the memory of a step.
+STEP = 2000
 #: Words found unrelated to all landmarks that a worker keeps; beyond it the set starts anew.
 CACHE = 800_000
 
@@ -109,6 +111,12 @@ def tokens(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
+def _shared(texts: list[str]) -> list[set[str]]:
+    """The tokens of each text, equal ones held once."""
+    names: dict[str, str] = {}
+    return [{names.setdefault(w, w) for w in tokens(t)} for t in texts]
+
+
 @dataclass
 class Model:
     """A trained scorer. Without training texts of both classes every score is 0."""
@@ -140,18 +148,21 @@ class Model:
         if len(self.related) > CACHE // 20:
             self.related.clear()
         new = list(set().union(*(s - self.unrelated for s in sets)) - self.related.keys())
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            values = self.marks.kernel([w.strip(_EDGE) for w in part])
-            some = values.any(axis=1)
-            self.related.update((part[i], values[i]) for i in np.flatnonzero(some))
-            self.unrelated.update(w for w, s in zip(part, some.tolist(), strict=True) if not s)
+        self._learn(new)
         out = np.zeros((len(texts), len(self.landmarks)))
         for i, s in enumerate(sets):
             if hits := self.related.keys() & s:
                 out[i] = np.max([self.related[w] for w in hits], axis=0)
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        for lo in range(0, len(new), STEP):
+            part = new[lo : lo + STEP]
+            values = self.marks.kernel([w.strip(_EDGE) for w in part])
+            some = values.any(axis=1)
+            self.related.update((part[i], values[i]) for i in np.flatnonzero(some))
+            self.unrelated.update(w for w, s in zip(part, some.tolist(), strict=True) if not s)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.landmarks:
             return np.zeros(len(texts))
@@ -159,22 +170,26 @@ class Model:
         return 1.0 / (1.0 + np.exp(-4.0 * np.clip(margin, -50, 50)))
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings that mark toxic texts, chosen to cover each text thrice."""
+def _forms(word: str) -> list[str]:
+    """The word and its beginnings of 4 to 6 characters, with their bounds."""
+    w = word.strip(_EDGE)
+    whole = [f"\x02{w}\x03"] if 3 <= len(w) <= WIDTH - 2 else []
+    return whole + [f"\x02{w[:n]}" for n in (4, 5, 6) if len(w) > n]
 
-    def forms(words: set[str]) -> set[str]:
-        words = {w.strip(_EDGE) for w in words}
-        out = {f"\x02{w}\x03" for w in words if 3 <= len(w) <= WIDTH - 2}
-        return out | {f"\x02{w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n}
 
-    good = Counter(f for s in clean for f in forms(s))
-    sets = [forms(s) for s in toxic]
-    bad = Counter(f for s in sets for f in s)
-    rate_bad, rate_good = max(1, len(toxic)), max(1, len(clean))
-    able = {f for f, n in bad.items() if n >= 2 and n / rate_bad > 20 * (good[f] + 0.5) / rate_good}
+def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
+    """Words and word beginnings that mark toxic texts, chosen to cover each text thrice."""
+    bad: Counter[str] = Counter()
+    for s in toxic:
+        bad.update({f for w in s for f in _forms(w)})
+    good = Counter({f: 0 for f, n in bad.items() if n >= 2})
+    bad = Counter({f: bad[f] for f in good})
+    for s in clean:
+        good.update({f for w in s for f in _forms(w) if f in good})
+    able = {f for f, n in bad.items() if n / max(1, len(toxic)) > 20 * (good[f] + 0.5) / max(1, len(clean))}
     where: dict[str, list[int]] = {}
-    for i, s in enumerate(sets):
-        for f in s & able:
+    for i, s in enumerate(toxic):
+        for f in {f for w in s for f in _forms(w) if f in able}:
             where.setdefault(f, []).append(i)
     need = np.full(len(toxic), 3)
     out: list[str] = []
@@ -189,7 +204,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     return out
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
+def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 200.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss and balanced classes, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -210,15 +225,21 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.nd
 
 def train(texts: list[str], labels: list[int]) -> Model:
     """Fit landmarks, Nystroem map and machine to labelled texts on the driver."""
-    toxic = [tokens(t) for t, y in zip(texts, labels, strict=True) if y]
-    clean = [tokens(t) for t, y in zip(texts, labels, strict=True) if not y]
+    sets = _shared(texts)
+    toxic = [s for s, y in zip(sets, labels, strict=True) if y]
+    clean = [s for s, y in zip(sets, labels, strict=True) if not y]
     marks = choose_landmarks(toxic, clean) if toxic and clean else []
     if not marks:
         return Model([], np.zeros(0), -1.0)
     model = Model(marks, np.zeros(len(marks)), -1.0)
     value, vector = np.linalg.eigh(model.marks.gram)
     root = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T  # the inverse root of the Gram matrix
-    weight, bias = fit_machine(model.kernels(texts) @ root, np.where(np.array(labels) > 0, 1.0, -1.0))
+    x = np.vstack([model.kernels(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+    model._reset()
+    # Each landmark by itself is one more toxic example: texts in the sample hold several.
+    alone = np.maximum(model.marks.gram - FLOOR, 0.0) / (1.0 - FLOOR)
+    y = np.where(np.concatenate([np.array(labels), np.ones(len(marks))]) > 0, 1.0, -1.0)
+    weight, bias = fit_machine(np.vstack([x, alone]) @ root, y)
     return Model(marks, root @ weight, bias)
 
 

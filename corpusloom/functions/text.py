@@ -147,3 +147,38 @@ def hash64(text: Column) -> Column:
     h = F.md5(text)
     high, low = F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.conv(F.substring(h, 9, 8), 16, 10).cast("long")
     return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+# Frequent words by which languages are told apart.
+PROFILES = {
+    "de": "der die das und ist nicht ein eine den dem von mit zu auf für im des sich als auch",
+    "en": "the of and to in is that it for was on are as with be by at this from or",
+    "es": "el la los las de y que en un una por con para del se no es al lo como",
+    "fr": "le la les des et est un une du dans pour que qui sur au pas par avec ce il",
+}
+
+
+def language_scores(text: Column, sample: int = 5000) -> Column:
+    """(language, words of its profile) over the first characters of a text, best first; of
+    equal counts the first name."""
+
+    def among(profile: str):
+        known = F.array(*map(F.lit, profile.split()))
+        return lambda w: F.array_contains(known, w)
+
+    def count(toks: Column) -> Column:
+        return F.array_sort(F.array(*(F.struct((-F.size(F.filter(toks, among(p)))).alias("n"), F.lit(name).alias("lang")) for name, p in PROFILES.items())))
+
+    return let(words(F.substring(text, 1, sample)), count)
+
+
+def language(text: Column, least: float = 0.7, shortest: int = 20) -> Column:
+    """The language whose profile holds at least `least` of the hits; else, and for short
+    texts, "und"."""
+
+    def pick(scores: Column) -> Column:
+        total = F.aggregate(scores, F.lit(0), lambda a, s: a - s["n"])
+        best = F.get(scores, F.lit(0))
+        return F.when((total > 0) & (-best["n"] >= least * total), best["lang"]).otherwise("und")
+
+    return F.when(F.length(text) < shortest, "und").otherwise(let(language_scores(text), pick))

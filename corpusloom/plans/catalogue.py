@@ -885,3 +885,72 @@ def stream_session(spark, d):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
     return streams.deduplicated(_events(spark, d), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+# -- further operators -------------------------------------------------------
+
+_HITS = ", ".join(
+    f"len(list_filter(w, lambda x: list_contains([{', '.join(chr(39) + x + chr(39) for x in p.split())}], x))) AS {n}" for n, p in text.PROFILES.items()
+)
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(substr(text, 1, 5000)), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), h AS (SELECT doc_id, text, {_HITS} FROM w), b AS (SELECT *, greatest(de, en, es, fr) AS top, de + en + es + fr AS total FROM h)
+SELECT doc_id, CASE WHEN length(text) < 20 OR total = 0 OR top < 0.7 * total THEN 'und' WHEN de = top THEN 'de' WHEN en = top THEN 'en' WHEN es = top THEN 'es' ELSE 'fr' END AS language FROM b""")
+def language_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
+
+
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%licens%' OR source ILIKE 'SRC1%'")
+def substring_search(spark, d):
+    return table(spark, d, "documents").where(F.col("text").ilike("%licens%") | F.col("source").ilike("SRC1%")).select("doc_id")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def upsert_last_wins(spark, d):
+    return views.latest(table(spark, d, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT vec_id AS id, 'kept' AS origin FROM embeddings UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def insert_or_ignore(spark, d):
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("kept").alias("origin"))
+    fresh = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("new").alias("origin"))
+    return have.union(fresh.join(have.select("id"), "id", "left_anti"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS epoch_s, user_id::VARCHAR AS id, event_type IN ('view', 'click') AND user_id % 3 = 0 AS untrusted FROM events")
+def vector_payload(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch_s"), F.col("user_id").cast("string").alias("id"), (F.col("event_type").isin("view", "click") & (F.col("user_id") % 3 == 0)).alias("untrusted"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS t FROM conversations),
+n AS (SELECT conv_id, turn, coalesce(list_sum(list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '\\p{{L}}+') THEN CASE WHEN length(x) <= 6 THEN 1 ELSE 1 + (length(x) - 1) // 5 END WHEN regexp_full_match(x, '\\p{{Nd}}+') THEN 1 + (length(x) - 1) // 3 ELSE 1 END)), 0)::BIGINT AS n FROM c),
+u AS (SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC)::BIGINT AS used FROM n) SELECT conv_id, turn, used FROM u WHERE used <= 400""")
+def prompt_history(spark, d):
+    return answers.prompt_history(table(spark, d, "conversations"), 400).select("conv_id", "turn", F.col("used").cast("long").alias("used"))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (is_dup) AS dups, round(avg(n_chars), 4) AS mean_chars FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS is_dup FROM documents) GROUP BY source")
+def source_summary(spark, d):
+    docs = table(spark, d, "documents")
+    first = dedup.exact_duplicates(docs, "doc_id", "text")
+    return docs.join(first, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") != F.col("canonical_id")).alias("dups"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+@query()
+def quarantine_rows(spark, d):
+    docs = table(spark, d, "documents").withColumn("code", quality.reject_code(quality.violations(F.col("text"))))
+    bad = docs.where("code is not null").select(F.col("doc_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("content_sha256"), F.col("source").alias("source_uri"), F.lit("validate").alias("stage"), "code", F.lit("").alias("detail"))
+    return lakehouse.quarantine(bad, "run-1", now())
+
+
+@query()
+def cited_answers(spark, d):
+    return answers.cite_answers(answers.extractive_answer(_context(spark, d)).withColumn("n_blocks", F.lit(8)))
+
+
+@query()
+def embed_with_cache(spark, d):
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text", F.sha2("text", 256).alias("embedded_text_sha256"))
+    cache = docs.where("chunk_id % 2 = 0").select("embedded_text_sha256", answers.hash_embed(F.col("text"), 32).alias("vector"))
+    return answers.embed_backlog(docs, cache, lambda c: answers.hash_embed(c, 32), 32).select("chunk_id", "cache_hit", "vector")

@@ -85,7 +85,11 @@ def pii_values(text: Column, kind: str) -> Column:
 
 def pii_mentions(text: Column) -> Column:
     """(kind, SHA-256 of the value) of each distinct mention; raw values never leave."""
-    return F.flatten(F.array(*(F.transform(pii_values(text, k), lambda v, k=k: F.struct(F.lit(k).alias("kind"), F.sha2(v, 256).alias("value_sha256"))) for k in PII)))
+
+    def hashed(kind: str):
+        return lambda v: F.struct(F.lit(kind).alias("kind"), F.sha2(v, 256).alias("value_sha256"))
+
+    return F.flatten(F.array(*(F.transform(pii_values(text, k), hashed(k)) for k in PII)))
 
 
 def intent(text: Column) -> Column:

@@ -83,3 +83,15 @@ def test_pii_values(spark):
 def test_security_predicate(spark):
     df = spark.createDataFrame([("public", []), ("internal", None), ("restricted", []), ("internal", ["hr"]), ("public", ["eng", "ops"])], "l string, g array<string>")
     assert [r[0] for r in df.select(patterns.may_read(F.col("l"), F.col("g"), ["public", "internal"], ["eng"])).collect()] == [True, True, False, False, True]
+
+
+def test_pii_mentions_hide_values(spark):
+    import hashlib
+
+    got = one(spark, patterns.pii_mentions(F.col("t")), t="write a@b.org from 10.0.0.1")
+    assert [(m["kind"], m["value_sha256"]) for m in got] == [("email", hashlib.sha256(b"a@b.org").hexdigest()), ("ip_address", hashlib.sha256(b"10.0.0.1").hexdigest())]
+
+
+@pytest.mark.parametrize(("t", "want"), [("the house of the king and the queen", "en"), ("der Hund und die Katze sind nicht auf dem Dach", "de"), ("short", "und"), ("zzz yyy xxx www vvv uuu ttt", "und")])
+def test_language(spark, t, want):
+    assert one(spark, text.language(F.col("t")), t=t) == want

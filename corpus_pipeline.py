@@ -44,7 +44,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), keep_words=False)
 
 
 STAGES = [

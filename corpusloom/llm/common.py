@@ -76,6 +76,36 @@ def broadcast_if_small(keys: DataFrame, rows: int, limit: int = BROADCAST_KEYS)
     return F.broadcast(keys) if rows <= limit else keys
 
 
+_holder = None
+
+
+def hold_cache(owner) -> None:
+    """Called in a Python worker by who fills a cache of its own (None: nobody). Workers serve
+    later stages too, so the last holder's cache is emptied first: one at a time is in memory."""
+    global _holder
+    if _holder is not owner:
+        if _holder is not None:
+            _holder.empty_cache()
+        _holder = owner
+    release()
+
+
+def release() -> None:
+    """Give what this worker has freed back to the system, so that it does not add up over
+    the stages that one worker serves."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps what it keeps
+        return
+
+
 class UnionFind:
     """Disjoint sets over arbitrary integers, smallest member as the root."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, materialize, mix64
+from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, materialize, mix64, release
 
 WORDS = 5
 PERCENT = 85
@@ -198,6 +198,7 @@ _SIGN = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 
 def _sign(k: int, least: int):
     def run(batches):
+        hold_cache(None)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(ids), 500):
@@ -223,6 +224,8 @@ def _sign(k: int, least: int):
                     ],
                     ["doc_id", "n", "f1", "f2", "bands", "sig"],
                 )
+            ids = texts = batch = None
+        release()
 
     return run
 
@@ -282,6 +285,7 @@ def _verify(k: int, percent: int):
                     found.append((c[i], doc[i]))
             if found:
                 yield _edges(found)
+        release()
 
     return run
 

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import hold_cache, materialize
 
 LENGTH, END = 4096, 2
 #: What is left of a document after whole sequences is cut into powers of two down to this.
 GRAIN = 256
 SALTS = 64
 #: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
-CACHE = 800_000
+CACHE = 600_000
 
 _LETTERS, _MARKS = r"A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _OTHER = re.compile(rf"[^{_LETTERS}{_MARKS} \n\t\r]|<\|")
@@ -52,6 +52,9 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
 
+    def empty_cache(self) -> None:
+        self.seen.clear()
+
     def cut(self, text: str) -> list[str]:
         if not _OTHER.search(text):
             return _RUNS.findall(text.lower())
@@ -63,19 +66,19 @@ class Words:
                 out += _RUNS.findall(chunk.lower())
         return out
 
-    def packed(self, text: str) -> bytes:
-        """The ids of the text as little-endian unsigned 32-bit numbers."""
-        words, seen = self.cut(text), self.seen
-        try:
-            return b"".join([seen[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in seen})
-            if len(seen) + len(new) > CACHE:
-                seen.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                seen[w] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join([seen[w] for w in words])
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        each, seen = [self.cut(t) for t in texts], self.seen
+        new = set().union(*each) - seen.keys()
+        if len(seen) + len(new) > CACHE:
+            seen.clear()
+            new = set().union(*each)
+        new = list(new)
+        for lo in range(0, len(new), 50_000):
+            part = new[lo : lo + 50_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                seen[w] = array("I", e.ids).tobytes()
+        return [b"".join([seen[w] for w in words]) for words in each]
 
 
 @lru_cache(maxsize=2)
@@ -95,18 +98,20 @@ def cuts(n: int, length: int = LENGTH, grain: int = GRAIN) -> list[int]:
     return [*out, rest] if rest else out
 
 
-def _pieces(path: str, length: int, end: int):
+def _pieces(path: str, length: int, end: int, keep: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
         of = words(path)
+        hold_cache(of)
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, len(batch), 200):
+                part = batch.slice(lo, 200)
                 out = [[] for _ in names]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    raw = of.packed(text or "") + tail
+                packed = of.packed([t or "" for t in part.column("text").to_pylist()])
+                for doc, raw in zip(part.column("doc_id").to_pylist(), packed, strict=True):
+                    raw += tail
                     start, total = 0, len(raw) // 4
                     view = memoryview(raw)
                     for n in cuts(total, length):
@@ -114,6 +119,9 @@ def _pieces(path: str, length: int, end: int):
                             column.append(v)
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+            part = batch = packed = None
+        if not keep:
+            hold_cache(None)
 
     return run
 
@@ -174,15 +182,16 @@ def _placed(starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, offset: np
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """Pieces of all documents in sequences of at most `length` tokens.
 
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each
     piece. A null or empty text is the end id alone; every row counts, rows that repeat
-    an id or have none too. An empty table gives no rows.
+    an id or have none too. An empty table gives no rows. keep_words: whether a worker's
+    words stay for its next task; a pipeline, whose workers have other stages to serve, says no.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(base.mapInArrow(_pieces(tokenizer, length, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = materialize(base.mapInArrow(_pieces(tokenizer, length, end, keep_words), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
     counts = materialize(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows

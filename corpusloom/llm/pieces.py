@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import hold_cache
+
 MARK = "▁"
 #: Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -165,6 +167,9 @@ class Model:
             digits[i, : len(x)] = list(x)
         self.digits = digits
 
+    def empty_cache(self) -> None:
+        self.seen.clear()
+
     # -- normalisation -------------------------------------------------------
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
@@ -403,6 +408,7 @@ def load(path: str) -> Model:
 def _digest(path: str):
     def run(batches):
         model = load(path)
+        hold_cache(model)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
@@ -467,6 +473,9 @@ class TrieCounter:
         self.sizes = {c: sorted(s, reverse=True) for c, s in sizes.items()}
         self.count: dict[str, int] = {}
 
+    def empty_cache(self) -> None:
+        self.count.clear()
+
     def add(self, words: list[str]) -> None:
         """Insert pre-tokens and store their terminal counts."""
         best, tokens, path = [0.0], [0], ""
@@ -517,6 +526,7 @@ def trie_counter(path: str) -> TrieCounter:
 def _totals(path: str):
     def run(batches):
         counter = trie_counter(path)
+        hold_cache(counter)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import hold_cache
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Rounds of message passing, share of the old message kept, and the probability from
@@ -353,6 +355,7 @@ def _find(model):
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        hold_cache(None)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
@@ -379,6 +382,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _redact(text: int, model):
     def run(batches):
+        hold_cache(None)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize
+
 P, GAPS, DECAY = 3, 2, 0.5
 #: Longer words are compared in overlapping windows of this many characters.
 WIDTH = 24
@@ -26,9 +28,9 @@ LANDMARKS = 96
 #: The training sample: labelled texts of each class, and the longest text in it.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: Words whose kernels are computed together: a bound for the memory of a step.
-STEP = 2000
+STEP = 500
 #: Words found unrelated to all landmarks that a worker keeps; beyond it the set starts anew.
-CACHE = 800_000
+CACHE = 120_000
 
 _OFFSETS = [(a, b) for b in range(P - 1, P + GAPS) for a in range(1, b)]
 _EDGE = " .,;:!?\"'()[]{}<>|*&%$#@~^_=+/\\-"
@@ -140,6 +142,18 @@ class Model:
         self.related: dict[str, np.ndarray] = {}
         self.unrelated: set[str] = set()
 
+    def empty_cache(self) -> None:
+        self.related.clear()
+        self.unrelated.clear()
+
+    def resident(self) -> Model:
+        """The worker's own copy of this model, which keeps its words from task to task."""
+        same = _resident and _resident[0].landmarks == self.landmarks and np.array_equal(_resident[0].weight, self.weight) and _resident[0].bias == self.bias
+        if not same:
+            _resident[:] = [self]
+        hold_cache(_resident[0])
+        return _resident[0]
+
     def kernels(self, texts: list[str | None]) -> np.ndarray:
         """A text's kernel with each landmark: the highest of its words."""
         sets = [tokens(t) for t in texts]
@@ -170,6 +184,9 @@ class Model:
         return 1.0 / (1.0 + np.exp(-4.0 * np.clip(margin, -50, 50)))
 
 
+_resident: list[Model] = []
+
+
 def _forms(word: str) -> list[str]:
     """The word and its beginnings of 4 to 6 characters, with their bounds."""
     w = word.strip(_EDGE)
@@ -267,11 +284,14 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: in
 
 def _score(model: Model):
     def run(batches):
+        own = model.resident()
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                s = model.scores(part.column("text").to_pylist())
+            for lo in range(0, len(batch), 100):
+                part = batch.slice(lo, 100)
+                s = own.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            part = batch = None  # not held while the next one is read
+        hold_cache(None)
 
     return run
 
@@ -287,16 +307,20 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def _reject(model: Model, text: int):
-    def run(batches):
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns, whose id no text scores 0.5 or more under.
+
+    Only ids come back from the scoring, in a table of their own, so texts pass to Python
+    but not back. A row without an id goes if its own text is rejected."""
+    flagged = materialize(score_toxicity(docs, model).where("predicted = 1").select("doc_id").distinct(), "toxic")
+    n = flagged.count()
+    named = docs.join(broadcast_if_small(flagged.where("doc_id is not null"), n), "doc_id", "left_anti").select(*docs.columns)
+    if not flagged.where("doc_id is null").limit(1).count():
+        return named
+    text = docs.columns.index("text")
+
+    def keep(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                yield part.filter(pa.array(model.scores(part.column(text).to_pylist()) < 0.5))
-
-    return run
+            yield batch.filter(pa.array(model.scores(batch.column(text).to_pylist()) < 0.5))
 
-
-def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores below 0.5."""
-    return docs.mapInArrow(_reject(model, docs.columns.index("text")), docs.schema)
+    return named.where("doc_id is not null").union(docs.where("doc_id is null").mapInArrow(keep, docs.schema))

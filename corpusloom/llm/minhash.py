@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, materialize, mix64, release
+from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, materialize, mix64
 
 WORDS = 5
 PERCENT = 85
@@ -198,7 +198,6 @@ _SIGN = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 
 def _sign(k: int, least: int):
     def run(batches):
-        hold_cache(None)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(ids), 500):
@@ -224,8 +223,6 @@ def _sign(k: int, least: int):
                     ],
                     ["doc_id", "n", "f1", "f2", "bands", "sig"],
                 )
-            ids = texts = batch = None
-        release()
 
     return run
 
@@ -274,18 +271,18 @@ def _verify(k: int, percent: int):
     def run(batches):
         key, centres = None, []
         for batch in batches:
-            c, salt, other, doc = (batch.column(x).to_pylist() for x in ("c", "salt", "other", "doc"))
-            sets, found = shingle_sets(batch.column("text").to_pylist(), k), []
-            for i, s in enumerate(sets):
-                if (c[i], salt[i]) != key:
-                    key, centres = (c[i], salt[i]), []
-                if not other[i]:
-                    centres.append(s)  # more than one only if the id is repeated
-                elif any(linked(x, s, percent) for x in centres):
-                    found.append((c[i], doc[i]))
-            if found:
-                yield _edges(found)
-        release()
+            for lo in range(0, len(batch), 200):  # few texts at a time are unpacked
+                part, found = batch.slice(lo, 200), []
+                c, salt, other, doc = (part.column(x).to_pylist() for x in ("c", "salt", "other", "doc"))
+                for i, s in enumerate(shingle_sets(part.column("text").to_pylist(), k)):
+                    if (c[i], salt[i]) != key:
+                        key, centres = (c[i], salt[i]), []
+                    if not other[i]:
+                        centres.append(s)  # more than one only if the id is repeated
+                    elif any(linked(x, s, percent) for x in centres):
+                        found.append((c[i], doc[i]))
+                if found:
+                    yield _edges(found)
 
     return run
 

@@ -32,8 +32,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    groups = minhash.minhash_dedup(docs)
+    """One document of each near-duplicate group (five words, a similarity of 0.8 or more), the
+    one with the smallest id."""
+    groups = minhash.minhash_dedup(docs, k=5, percent=80)
     return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

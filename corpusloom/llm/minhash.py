@@ -16,23 +16,24 @@ spanning forest of the links found, so the rows stay in proportion to the group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, materialize, mix64
+from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, materialize, mix64
 
 WORDS = 5
 PERCENT = 85
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 125
+#: Largest probabilities that a pair at exactly `percent` shares no band, and that too few
+#: of its one-byte registers agree for it to be compared in full.
+UNMET, UNLIKE = 1e-6, 1e-7
 #: Distinct sets in a bucket from which it is compared in blocks of BLOCK.
 HOT, BLOCK = 50, 1000
-#: Smallest share of equal one-byte registers for which a pair is still compared
-#: in full: five standard deviations below the threshold.
-ESTIMATE = 0.85 - 5 * (0.85 * 0.15 / REGISTERS) ** 0.5
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +46,28 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
 
 
+@lru_cache
+def thresholds(percent: int) -> tuple[int, int, int]:
+    """(bands, rows, agree) for pairs at `percent`: the longest bands that UNMET allows, and
+    the number of equal one-byte registers from which a pair is compared in full."""
+    p = percent / 100
+    rows = max((r for r in range(2, REGISTERS + 1) if unmet(p, r) <= UNMET), default=1)
+    agree = max(c for c in range(REGISTERS + 1) if unlike(p, c) <= UNLIKE)
+    return REGISTERS // rows, rows, agree
+
+
+def unmet(p: float, rows: int) -> float:
+    """The probability that a pair of similarity p shares no band of `rows` registers."""
+    return (1 - p**rows) ** (REGISTERS // rows)
+
+
+def unlike(p: float, agree: int) -> float:
+    """The probability that under `agree` one-byte registers of a pair of similarity p are
+    equal, by chance too (a binomial tail; SuperMinHash varies less)."""
+    q = p + (1 - p) / 256
+    return sum(comb(REGISTERS, i) * q**i * (1 - q) ** (REGISTERS - i) for i in range(agree))
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
@@ -196,8 +219,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 _SIGN = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
 
 
-def _sign(k: int, least: int):
+def _sign(k: int, least: int, bands_of: int, rows_of: int):
     def run(batches):
+        hold_cache(None)  # a worker may come from another stage
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(ids), 500):
@@ -207,9 +231,9 @@ def _sign(k: int, least: int):
                     big = [s if len(s) >= least else s[:0] for s in sets[a:b]]
                     regs = super_minhash(big).view(np.uint64)
                     sig = mix64(regs + np.uint64(1))
-                    h = np.repeat((np.arange(BANDS, dtype=np.uint64) + np.uint64(1))[None, :] * _GOLD, b - a, axis=0)
-                    for r in range(ROWS):
-                        h = mix64(h ^ sig[:, r::ROWS]) + _GOLD
+                    h = np.repeat((np.arange(bands_of, dtype=np.uint64) + np.uint64(1))[None, :] * _GOLD, b - a, axis=0)
+                    for r in range(rows_of):
+                        h = mix64(h ^ sig[:, r : bands_of * rows_of : rows_of]) + _GOLD
                     bands += [x if len(s) >= least else None for x, s in zip(signed(h), sets[a:b], strict=True)]
                     sigs += [x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
@@ -227,14 +251,18 @@ def _sign(k: int, least: int):
     return run
 
 
-def _alike(batches):
-    """Keep the pairs whose one-byte registers agree often enough."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(len(batch), -1) for c in ("s1", "s2"))
-        keep = pa.array((a == b).mean(axis=1) >= ESTIMATE)
-        yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["x", "y"])
+def _alike(agree: int):
+    """Keep the pairs of which at least `agree` one-byte registers are equal."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(len(batch), -1) for c in ("s1", "s2"))
+            keep = pa.array((a == b).sum(axis=1) >= agree)
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["x", "y"])
+
+    return run
 
 
 def _rows(batches, names):
@@ -269,6 +297,7 @@ def _verify(k: int, percent: int):
     each further text is compared with it in full. Only two sets are in memory."""
 
     def run(batches):
+        hold_cache(None)
         key, centres = None, []
         for batch in batches:
             for lo in range(0, len(batch), 200):  # few texts at a time are unpacked
@@ -335,7 +364,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Sets of this size or less reach `percent` only when equal, and equal sets need no bands.
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1000
-    signs = materialize(base.mapInArrow(_sign(k, least), _SIGN), "signatures")
+    bands, rows_of, agree = thresholds(percent)
+    signs = materialize(base.mapInArrow(_sign(k, least, bands, rows_of), _SIGN), "signatures")
     real = signs.where("n > 0 and doc_id is not null")
     reps = materialize(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
     buckets = reps.where("bands is not null").select("rep", "n", F.explode("bands").alias("h"))
@@ -349,7 +379,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = small.select(F.explode(pair).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
     sig = reps.select("rep", "sig")
     pairs = pairs.join(sig.select(F.col("rep").alias("x"), F.col("sig").alias("s1")), "x").join(sig.select(F.col("rep").alias("y"), F.col("sig").alias("s2")), "y")
-    pairs = materialize(pairs.mapInArrow(_alike, "x long, y long"), "pairs")
+    pairs = materialize(pairs.mapInArrow(_alike(agree), "x long, y long"), "pairs")
 
     hot = shared.where(F.col("size") > HOT)
     ids = materialize(pairs.select("x").union(pairs.select("y")).union(hot.select("rep")).distinct().toDF("doc_id"), "ids")

@@ -105,3 +105,39 @@ def test_components(spark, links):
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def near(percents, n=100):
+    """Pairs of texts at about each percent of similarity: (ids of a pair, its exact similarity)."""
+    rng, rows, at = random.Random(5), [], {}
+    for i, percent in enumerate(percents * n):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        cut = round(196 * 2 * percent / (100 + percent))  # shingles shared of 196 on each side
+        b = a[: cut + 4] + [f"v{rng.randrange(10**6)}" for _ in range(196 - cut)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(196)} for w in (a, b))
+        at[2 * i] = len(x & y) / len(x | y)
+    return rows, at
+
+
+@pytest.mark.parametrize("percent", [80, 65])
+def test_every_pair_at_a_lower_threshold(spark, percent):
+    rows, at = near([percent + 1, percent + 3, percent - 2])
+    got = minhash.minhash_dedup(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), percent=percent)
+    assert {r["doc_id"] - 1 for r in got.where("not kept").collect()} == {i for i, s in at.items() if 100 * s >= percent}
+
+
+def test_pipeline_drops_near_copies_from_080(spark):
+    import corpus_pipeline
+
+    rows, at = near([82, 84, 78], 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - {i + 1 for i, s in at.items() if s >= 0.8}
+
+
+def test_thresholds():
+    assert minhash.thresholds(85)[:2] == (25, 5)
+    for percent in (50, 65, 80, 85, 95):
+        _, rows, agree = minhash.thresholds(percent)
+        assert minhash.unmet(percent / 100, rows) + minhash.unlike(percent / 100, agree) < 1.2e-6

@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of text; what belongs to menus
 headers, footers, sidebars, adverts, forms and comments leaves a gap of empty
 lines. The text lengths of each window of lines are summed: where the sums surge
 a stretch of main text begins, where they dive to nothing it ends, and the lines
-between are kept.
+between are kept. An element that marks the article adds weight to its lines, so
+any of them surges; it takes nothing from the text around it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; the sum at which text surges outside an element that marks the article.
+#: Lines in a window; the sum at which text surges, and the weight of a character in an
+#: element that marks the article.
 WINDOW, SURGE = 3, 80
 #: A line counts as a menu if more than this share of its text is links.
 LINKS = 0.6
@@ -159,10 +161,14 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
 
 def surges(sizes: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges from a surge point to the next dive point.
+    """Line ranges from a surge point to the next dive point: the stretches that hold a
+    window that reaches `surge`."""
+    return [(a, b) for a, b, top in stretches(sizes, window) if top >= surge]
 
-    sums[i] adds the sizes of lines i .. i + window - 1. A stretch holds a window that
-    reaches `surge` and spreads over all windows that are not empty on either side."""
+
+def stretches(sizes: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, largest sum) of each run of windows that are not
+    empty. sums[i] adds the sizes of lines i .. i + window - 1."""
     n = len(sizes)
     total = [0]
     for s in sizes:
@@ -176,10 +182,9 @@ def surges(sizes: list[int], surge: int, window: int = WINDOW) -> list[tuple[int
         j = i
         while j < n and sums[j]:
             j += 1
-        if max(sums[i:j]) >= surge:
-            first = next(x for x in range(i, n) if sizes[x])
-            last = next(x for x in range(min(j, n) - 1, -1, -1) if sizes[x])
-            out.append((first, last + 1))
+        first = next(x for x in range(i, n) if sizes[x])
+        last = next(x for x in range(min(j, n) - 1, -1, -1) if sizes[x])
+        out.append((first, last + 1, max(sums[i:j])))
         i = j
     return out
 
@@ -189,14 +194,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    best = max((c for t, _, c in lines if t), default=0)
-    if best:
-        sizes = [len(t) if c == best else 0 for t, _, c in lines]
-        ranges = surges(sizes, 1)
-    else:
-        sizes = [len(t) if k <= LINKS * len(t) else 0 for t, k, _ in lines]
-        ranges = surges(sizes, SURGE)
-    return "\n".join(lines[i][0] for a, b in ranges for i in range(a, b) if sizes[i])
+    sizes = [len(t) * SURGE if c else len(t) if k <= LINKS * len(t) else 0 for t, k, c in lines]
+    found = stretches(sizes)
+    # Outside those elements, a short stretch between two that surge by their own text belongs to them.
+    plain = [x for x, (a, b, _) in enumerate(found) if sum(sizes[i] for i in range(a, b) if not lines[i][2]) >= SURGE]
+    between = range(plain[0], plain[-1]) if plain else range(0)
+    kept = [(a, b) for x, (a, b, top) in enumerate(found) if top >= SURGE or x in between]
+    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if sizes[i])
 
 
 def _extract(batches):

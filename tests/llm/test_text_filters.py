@@ -27,6 +27,19 @@ def test_main_text():
     assert html.main_text("<article>" + "<p>x</p>" * 5000 + "</article>").count("\n") == 4999
 
 
+def test_text_around_an_article_is_kept():
+    a, b = (" ".join([f"Plain prose {x} of the main text."] * 4) for x in "ab")
+    assert html.main_text(f"<main><h1>Title</h1><p>{a}</p><article class=card><p>Teaser</p></article><p>{b}</p></main>") == f"Title\n{a}\nTeaser\n{b}"
+    assert html.main_text(f"<p>{a}</p><nav>x</nav><article><p>Teaser</p></article><nav>x</nav><p>{b}</p>") == f"{a}\nTeaser\n{b}"
+    assert html.main_text("<p>Posted today</p><nav>x</nav><article><p>Text</p></article>") == "Text"
+
+
+def test_short_stretches_between_surges_are_joined():
+    long = " ".join(["Plain prose of a page without an article element."] * 4)
+    gap = "<aside>note</aside>"
+    assert html.main_text(f"<p>Top</p>{gap}<p>{long}</p>{gap}<p>Short.</p>{gap}<p>{long}</p>{gap}<p>End</p>") == f"{long}\nShort.\n{long}"
+
+
 def test_surge_and_dive():
     assert html.surges([0, 0, 50, 40, 1, 0, 0, 0, 5, 0], 80) == [(2, 5)]
     assert html.surges([], 1) == [] and html.surges([0, 0], 1) == []

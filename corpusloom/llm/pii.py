@@ -3,8 +3,8 @@
 The base patterns find e-mail addresses, IP addresses, cards and phone numbers. The
 field then labels the tokens with digits or an at sign: neighbours in the text share
 chain potentials, and repeated or similar tokens, however far apart, share skip
-potentials. Loopy message passing over these links, with the base spans as evidence,
-carries a label to the places where the same entity appears in a form that no pattern
+potentials with one hub of their entity, which a base span over any of them settles.
+Loopy message passing over these links until it converges carries a label to the places where the same entity appears in a form that no pattern
 takes. Its weights are trained on generated sentences, so they are the same for every
 table.
 """
@@ -24,9 +24,10 @@ from corpusloom.llm.common import hold_cache
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Rounds of message passing, share of the old message kept, and the probability from
-#: which a token that no base span covers is taken.
-ROUNDS, DAMPING, ACCEPT = 12, 0.3, 0.9
+#: Messages pass until none changes by more than CLOSE. From round PATIENCE on, where loops
+#: may swing, more of the old message is kept than the share DAMPING. ACCEPT: the
+#: probability from which a token that no base span covers is taken.
+CLOSE, PATIENCE, DAMPING, ACCEPT = 1e-4, 200, 0.3, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -259,7 +260,8 @@ def beliefs(node: np.ndarray, links: list[tuple[int, int, np.ndarray]]) -> np.nd
     psi = np.array([p for _, _, p in links] + [p.T for _, _, p in links])
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
     message = np.zeros((len(a), node.shape[1]))
-    for _ in range(ROUNDS):
+    step, rounds, moved = 1 - DAMPING, 0, np.inf
+    while moved > CLOSE:
         total = node.copy()
         np.add.at(total, b, message)
         out = total[a] - message[back]
@@ -267,7 +269,11 @@ def beliefs(node: np.ndarray, links: list[tuple[int, int, np.ndarray]]) -> np.nd
         top = new.max(axis=1, keepdims=True)
         new = (np.log(np.exp(new - top).sum(axis=1, keepdims=True)) + top)[:, 0, :]
         new -= new.max(axis=1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        moved = step * np.abs(new - message).max()
+        message += step * (new - message)
+        rounds += 1
+        if rounds > PATIENCE:
+            step *= 0.98
     total = node.copy()
     np.add.at(total, b, message)
     out = np.exp(total - total.max(axis=1, keepdims=True))
@@ -283,7 +289,9 @@ def added_spans(text: str, base: list[list[tuple[int, int]]], model=None) -> lis
     taken = sorted((a, b, k) for k, spans in enumerate(base, 1) for a, b in spans)
     node = np.zeros((len(active), 5))
     fixed = np.zeros(len(active), dtype=bool)
-    at, links, last, where = 0, [], {}, {}
+    at, links, where = 0, [], {}
+    mentions: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     for n, i in enumerate(active):
         a, b = marks[i]
         near = [text[x:y] for x, y in marks[max(0, i - 2) : i + 2]]
@@ -300,10 +308,18 @@ def added_spans(text: str, base: list[list[tuple[int, int]]], model=None) -> lis
         where = {i: n}
         key = _key(text[a:b])
         if len(key) > 2:
-            if key in last:
-                links.append((last[key], n, skip))
-            last[key] = n
-    p = beliefs(node, links)
+            if k:
+                known.setdefault(key, np.zeros(5))[k] += 1
+            else:
+                mentions.setdefault(key, []).append(n)
+    hubs = 0
+    for key, each in mentions.items():
+        if key in known:  # a hub whose label base spans give: evidence for each mention
+            node[each] += np.log(known[key] / known[key].sum() @ np.exp(skip))
+        elif len(each) > 1:
+            links += [(len(active) + hubs, n, skip) for n in each]
+            hubs += 1
+    p = beliefs(np.concatenate([node, np.zeros((hubs, 5))]), links)
     out: list[list[tuple[int, int]]] = [[] for _ in KINDS]
     before = None
     for n, i in enumerate(active):

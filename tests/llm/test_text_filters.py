@@ -151,6 +151,24 @@ def test_skip_chain_carries_labels():
     assert pii.redact("Version 4.0, 3. of 1999") == "Version 4.0, 3. of 1999" and pii.redact(None) is None
 
 
+def test_evidence_reaches_every_mention():
+    text = "call +19885552485 first" + " and then we call 19885552485 again" * 60
+    spans = pii.all_spans(text)[1][3]
+    assert len(spans) == 61 and pii.redact(text).count("<PHONE>") == 61
+    apart = "call +19885552485 first" + " 4.0" * 3000 + " we call 19885552485 again"
+    assert len(pii.all_spans(apart)[1][3]) == 2
+
+
+def test_beliefs_converge_on_long_chains():
+    node, psi = np.zeros((100, 5)), np.where(np.eye(5) > 0, 4.0, -4.0)
+    node[0] = [-30, 30, -30, -30, -30]
+    got, p = pii.beliefs(node, [(i, i + 1, psi) for i in range(99)]), np.exp(psi)
+    want, row = np.eye(5)[1], p / p.sum(1, keepdims=True)
+    for i in range(100):
+        assert np.allclose(got[i], want, atol=1e-2)
+        want = want @ row
+
+
 def test_beliefs_agree_with_enumeration():
     rng = np.random.default_rng(0)
     node, psi = rng.normal(size=(3, 5)), rng.normal(size=(2, 5, 5))

@@ -23,13 +23,14 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return each.groupBy("id", "n_tokens", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col: str = "query_id", k: int = 5, text_col: str = "text", tokens=words, exact_terms: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col: str = "query_id", k: int = 5, text_col: str = "text", tokens=words, exact_terms: bool = False, among: Column | None = None) -> DataFrame:
     """(query, id, score, rank) of the k best positive scores, ties to the smaller id.
 
     idf = ln(1 + (N - df + .5) / (df + .5)); repeated query terms count again. Only terms
     of the queries reach the postings: documents are filtered by a semi join before the
     shuffle. With exact_terms, a document with an exact term of the query (column
-    exact_terms) gains the query's highest score."""
+    exact_terms) gains the query's highest score. With among, only documents where it is true
+    are ranked; the corpus statistics are of all documents."""
     q = queries.select(F.col(query_col).alias("q"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     base = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
     sized = base.select("id", F.size("toks").alias("dl"), "toks")
@@ -42,6 +43,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col:
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = scored.groupBy("q", "id").agg(F.sum(part).alias("score"))
+    if among is not None:
+        score = score.join(docs.where(among).select(F.col(id_col).alias("id")), "id", "left_semi").select("q", "id", "score")
     if exact_terms:
         want = queries.select(F.col(query_col).alias("q"), F.explode("exact_terms").alias("t")).withColumn("t", F.lower("t"))
         has = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(search_tokens(F.col(text_col), True))).alias("t")).join(want, "t").select("q", "id").distinct().withColumn("hit", F.lit(1))

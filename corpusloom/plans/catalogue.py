@@ -452,6 +452,19 @@ def soft_filter_relax(spark, d):
     return retrieval.soft_relax(filtered.select(*hits.columns), hits, 8).select("query_id", "doc_id", "soft_match", "rank")
 
 
+@query(f"""WITH {_BM25}, fi AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 8),
+n AS (SELECT query_id, count(*) AS n FROM fi GROUP BY 1),
+ex AS (SELECT al.query_id, al.doc_id, al.rank FROM bm al LEFT JOIN n USING (query_id) WHERE al.rank <= 20 AND coalesce(n.n, 0) < 8 AND NOT EXISTS (SELECT 1 FROM fi WHERE fi.query_id = al.query_id AND fi.doc_id = al.doc_id)),
+un AS (SELECT *, true AS soft_match FROM fi UNION ALL SELECT *, false FROM ex)
+SELECT query_id, doc_id, soft_match, row_number() OVER (PARTITION BY query_id ORDER BY soft_match DESC, rank, doc_id)::INT AS rank FROM un""")
+def soft_filter_search(spark, d):
+    """soft_filter_relax with a filtered pass of its own: the best documents under the filter."""
+    docs, q = table(spark, d, "documents"), _questions(spark, d)
+    hits = retrieval.bm25(docs, q, k=20).select("query_id", "doc_id", "rank")
+    filtered = retrieval.bm25(docs, q, k=8, among=F.col("lang") == "en").select(*hits.columns)
+    return retrieval.soft_relax(filtered, hits, 8).select("query_id", "doc_id", "soft_match", "rank")
+
+
 def _reranked(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
     hits = retrieval.bm25(docs, q, k=10)

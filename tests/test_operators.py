@@ -154,3 +154,12 @@ def test_streams_match_batch(spark, sf, tmp_path):
     q.awaitTermination()
     want = {tuple(r) for r in events.tumbling(src.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert {tuple(r) for r in spark.table("tumbled").collect()} == want
+
+
+def test_bm25_filters_before_the_top_k(spark):
+    docs = spark.createDataFrame([(i, "rare word " * (30 - i), "en" if i > 20 else "de") for i in range(30)] + [(30, "other", "en")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "rare word")], "query_id long, text string")
+    every = {r["doc_id"]: r["score"] for r in retrieval.bm25(docs, asked, k=99).collect()}
+    got = [(r["doc_id"], r["score"]) for r in retrieval.bm25(docs, asked, k=8, among=F.col("lang") == "en").orderBy("rank").collect()]
+    want = sorted(((i, s) for i, s in every.items() if 20 < i < 30), key=lambda x: (-x[1], x[0]))
+    assert got == want[:8] and len(got) == 8

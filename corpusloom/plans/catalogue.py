@@ -465,6 +465,28 @@ def soft_filter_search(spark, d):
     return retrieval.soft_relax(filtered, hits, 8).select("query_id", "doc_id", "soft_match", "rank")
 
 
+def _two_legs(spark, d):
+    """Dense hits by hashed vectors of all documents, and sparse hits."""
+    docs, q = table(spark, d, "documents"), _questions(spark, d)
+    embedded = lambda df, i: df.select(F.col(i).alias("doc_id"), answers.hash_embed(F.col("text")).alias("embedding"))
+    dense = retrieval.dense(embedded(docs, "doc_id"), embedded(q, "query_id"), k=10, id_col="doc_id", skip_self=False)
+    return dense.select("query_id", "doc_id", "rank"), retrieval.bm25(docs, q, k=10)
+
+
+@query()
+def hybrid_search(spark, d):
+    """rrf_hybrid with a dense leg that searches vectors; no SQL has the hash embedder."""
+    return retrieval.rrf(*_two_legs(spark, d), sparse_weight=1.3).select("query_id", "doc_id", "rrf_score", "rank")
+
+
+@query()
+def hybrid_type_boost(spark, d):
+    """type_boost over hybrid_search."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") < 300, F.array(F.lit("marginal"))).alias("quality_flags"), (F.col("lang") == "en").alias("soft_match"), F.col("source").alias("chunk_type"))
+    fused = retrieval.rrf(*_two_legs(spark, d), sparse_weight=1.3).join(docs, "doc_id")
+    return retrieval.adjust(fused, True, F.array(F.lit("src1"), F.lit("src2"))).select("query_id", "doc_id", "rrf_score")
+
+
 def _reranked(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
     hits = retrieval.bm25(docs, q, k=10)

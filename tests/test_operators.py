@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answers, chunking, dedup, evaluation, governance, retrieval
-from corpusloom.plans import views
+from corpusloom.plans import catalogue, views
 from corpusloom.plans.schemas import DATASETS, SchemaError
 from corpusloom.sources import lakehouse, pages
 from corpusloom.streaming import events
@@ -163,3 +164,17 @@ def test_bm25_filters_before_the_top_k(spark):
     got = [(r["doc_id"], r["score"]) for r in retrieval.bm25(docs, asked, k=8, among=F.col("lang") == "en").orderBy("rank").collect()]
     want = sorted(((i, s) for i, s in every.items() if 20 < i < 30), key=lambda x: (-x[1], x[0]))
     assert got == want[:8] and len(got) == 8
+
+
+def test_hybrid_search_by_brute_force(spark, sf):
+    docs, asked = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
+    d, q = (np.array([answers.hash_vector(t, 384) for t in x["text"]], dtype=np.float64) for x in (docs, asked))
+    unit = lambda v: v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-300)
+    score = np.round(unit(q) @ unit(d).T, 6) + 0.0
+    sparse = {(r["query_id"], r["doc_id"]): r["rank"] for r in retrieval.bm25(spark.createDataFrame(docs[["doc_id", "text"]]), spark.createDataFrame(asked[["item_id", "text"]]).withColumnRenamed("item_id", "query_id"), k=10).collect()}
+    dense = {(int(i), int(docs["doc_id"][j])): n for row, i in zip(score, asked["item_id"], strict=True) for n, j in enumerate(np.lexsort((docs["doc_id"], -row))[:10], 1)}
+    got = {(r["query_id"], r["doc_id"]): r["rrf_score"] for r in catalogue.hybrid_search(spark, sf).collect()}
+    want = {x: round((1 / (60 + dense[x]) if x in dense else 0) + (1.3 / (60 + sparse[x]) if x in sparse else 0), 8) for x in {*dense, *sparse}}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-8 for x in want)
+    assert set(dense) - set(sparse)
+    assert {(r["query_id"], r["doc_id"]) for r in catalogue.hybrid_type_boost(spark, sf).collect()} == set(want)

@@ -608,7 +608,7 @@ def spell_correct(spark, d):
 
 @query()
 def hash_embed(spark, d):
-    return table(spark, d, "benchmark").select("item_id", answers.hash_embed(F.col("text"), 64).alias("vector"))
+    return table(spark, d, "documents").select("doc_id", answers.hash_embed(F.col("text"), 64).alias("vector"))
 
 
 # -- chunks ------------------------------------------------------------------
@@ -986,6 +986,7 @@ def cited_answers(spark, d):
 
 @query()
 def embed_with_cache(spark, d):
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text", F.sha2("text", 256).alias("embedded_text_sha256"))
+    whole = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = whole.withColumn("embedded_text_sha256", F.sha2("text", 256))
     cache = docs.where("chunk_id % 2 = 0").select("embedded_text_sha256", answers.hash_embed(F.col("text"), 32).alias("vector"))
     return answers.embed_backlog(docs, cache, lambda c: answers.hash_embed(c, 32), 32).select("chunk_id", "cache_hit", "vector")

@@ -178,3 +178,9 @@ def test_hybrid_search_by_brute_force(spark, sf):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-8 for x in want)
     assert set(dense) - set(sparse)
     assert {(r["query_id"], r["doc_id"]) for r in catalogue.hybrid_type_boost(spark, sf).collect()} == set(want)
+
+
+def test_embedding_queries_read_all_documents(spark, sf):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in catalogue.hash_embed(spark, sf).collect()) == ids
+    assert sorted(r["chunk_id"] for r in catalogue.embed_with_cache(spark, sf).collect()) == ids

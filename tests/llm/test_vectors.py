@@ -77,3 +77,45 @@ def test_top_k_edges(spark):
     rows = [(0, [1e30, 1.0], 1, ""), (1, [-1e30, 2.0], 1, ""), (2, [0.5, 0.5], 1, "")]
     got = [tuple(r) for r in vectors.exact_top_k(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").select("vec_id", "score").collect()]
     assert [g[0] for g in got] == [2, 1] and got[1][1] == -(2**63)  # fewer than five candidates; scores beyond a long are its ends
+    huge = [(0, [1e307, 1.0], 1, ""), (1, [-1e307, 2.0], 1, ""), (2, [1e307, 0.5], 1, ""), (3, [0.5, 0.5], 1, "")]
+    got = [tuple(r) for r in vectors.exact_top_k(spark.createDataFrame(huge, SCHEMA.replace("float", "double"))).orderBy("rank").select("vec_id", "score").collect()]
+    assert got[0] == (2, 2**63 - 1) and got[1][0] == 3 and got[2] == (1, -(2**63))
+    many = [(50, [1.0, float(i)], 1, "") for i in range(30)]  # one id in all rows has no other candidates
+    assert vectors.exact_top_k(spark.createDataFrame(many, SCHEMA)).count() == 0
+
+
+def test_dedup_extreme_magnitudes(spark):
+    rows = [(i, [x, x], 1, "") for i, x in enumerate((1e200, 1e200, 1e-200, 1e-200, 5e-324))] + [(9, [1e200, -1e200], 1, "")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.embedding_dedup(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 9: (0, 9)}
+
+
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_dedup_repeated_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "BYTES", 8)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2, 4))
+    rows = [(int(rng.integers(0, 12)), (base[i % 2] + 0.3 * rng.integers(-1, 2, 4)).tolist(), str(i % 3 and 1), "") for i in range(60)]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links string")).collect()}
+    want = {r[0]: 0 for r in rows}
+    for i, x, a, _ in rows:
+        for j, y, b, _ in rows:
+            want[i] += i != j and a == b and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93
+    assert got == want and max(want.values())
+
+
+def test_bounds_prune():
+    """Under half of the candidates enter the last block, on vectors of no structure."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    columns, ids, last = np.ascontiguousarray(x.T), np.arange(2000), []
+    for i in range(0, 2000, 50):
+        entered = []
+        got, s = vectors.top_block(ids, i, x[i], 5, columns, (x**2).sum(axis=1), 8, entered)
+        full = x @ x[i]
+        full[i] = -np.inf
+        assert s.tolist() == sorted(full, reverse=True)[:5]
+        last.append(entered[-1] / entered[0])
+    assert np.mean(last) < 0.05

@@ -21,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import hold_cache, materialize
+from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize
 
 LENGTH, END = 4096, 2
 #: What is left of a document after whole sequences is cut into powers of two down to this.
 GRAIN = 256
-SALTS = 64
+#: Pieces of one length that are ranked in one group.
+RANKED = 100_000
 #: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
-CACHE = 600_000
+CACHE = 400_000
 
 _LETTERS, _MARKS = r"A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _OTHER = re.compile(rf"[^{_LETTERS}{_MARKS} \n\t\r]|<\|")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+")
-_CHUNKS = re.compile(r"[^ \n\t\r]+")
+_SPACES = " \n\t\r"
+_SPACE = re.compile(f"[{_SPACES}]")
 
 
 class Words:
@@ -51,34 +53,54 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
+        #: The chunks of the texts at hand that are no runs.
+        self.odd: set[str] = set()
+        pieces = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(pieces.values(), default=0) + 1, dtype=bool)
+        self.last[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
 
     def empty_cache(self) -> None:
         self.seen.clear()
 
     def cut(self, text: str) -> list[str]:
-        if not _OTHER.search(text):
-            return _RUNS.findall(text.lower())
         out: list[str] = []
-        for chunk in _CHUNKS.findall(text):
-            if _OTHER.search(chunk):
-                out.append(chunk)
-            else:
-                out += _RUNS.findall(chunk.lower())
+        at = 0
+        while m := _OTHER.search(text, at):  # the chunk around it goes whole
+            start = max(at, *(text.rfind(c, at, m.start()) + 1 for c in _SPACES))
+            end = _SPACE.search(text, m.end())
+            out += _RUNS.findall(text[at:start].lower())
+            at = end.start() if end else len(text)
+            out.append(text[start:at])
+            self.odd.add(out[-1])
+        out += _RUNS.findall((text[at:] if at else text).lower())
         return out
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         each, seen = [self.cut(t) for t in texts], self.seen
-        new = set().union(*each) - seen.keys()
+        new = [w for w in set().union(*each) if w not in seen]
         if len(seen) + len(new) > CACHE:
             seen.clear()
-            new = set().union(*each)
-        new = list(new)
+            new = list(set().union(*each))
         for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[w] = array("I", e.ids).tobytes()
-        return [b"".join([seen[w] for w in words]) for words in each]
+            self._learn(new[lo : lo + 50_000])
+        self.odd.clear()
+        return [b"".join(map(seen.__getitem__, words)) for words in each]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words: runs in one text, as each ends with the one id that ends a word."""
+        runs, odd = [w for w in new if w not in self.odd], [w for w in new if w in self.odd]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+        if len(ends) == len(runs):
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(runs, (4 * ends).tolist(), strict=True):
+                self.seen[w] = raw[start:end]
+                start = end
+        else:  # a tokenizer of another kind
+            odd = new
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.seen[w] = array("I", e.ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -186,23 +208,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
     """Pieces of all documents in sequences of at most `length` tokens.
 
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each
-    piece. A null or empty text is the end id alone; every row counts, rows that repeat
-    an id or have none too. An empty table gives no rows. keep_words: whether a worker's
+    piece. A null or empty text is the end id alone; a text of any length is cut whole; every
+    row counts, rows that repeat an id or have none too. An empty table gives no rows; further
+    columns, whatever their names, are ignored. keep_words: whether a worker's
     words stay for its next task; a pipeline, whose workers have other stages to serve, says no.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialize(base.mapInArrow(_pieces(tokenizer, length, end, keep_words), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
-    counts = materialize(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     intervals, _ = shortest_pack_first(histogram, length)
     intervals.sort()
     columns = [np.array([x[i] for x in intervals], dtype=np.int64) for i in range(5)]
+    # The pieces of a length are ranked in groups of about RANKED, however many there are.
+    groups = docs.sparkSession.createDataFrame([(size, -(-n // RANKED)) for size, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "salts")).drop("salts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    # At most SALTS rows for each length, and lengths are at most `length`.
-    offsets = F.broadcast(counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before")))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    offsets = materialize(counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before")), "lengths")
+    offsets = broadcast_if_small(offsets, sum(-(-n // RANKED) for n in histogram.values()))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = pieces.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
+    ranked = salted.withColumn("own", own).join(offsets, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     place = _placed(columns[0] * (1 << 48) + columns[1], columns[2], columns[3], columns[4])
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, schema)

@@ -27,7 +27,7 @@ LENGTH, END = 4096, 2
 #: What is left of a document after whole sequences is cut into powers of two down to this.
 GRAIN = 256
 #: Pieces of one length that are ranked in one group.
-RANKED = 100_000
+RANKED = 1000
 #: Words whose ids a worker keeps (about 200 bytes each); beyond it the cache starts anew.
 CACHE = 400_000
 

@@ -2,65 +2,63 @@
 
 Two words are compared by the subsequences of three characters they share, each
 occurrence weighing DECAY to the power of the span it covers, at most P + GAPS
-characters; so "idi-ot" or "idxiot" stays near "idiot". Landmarks are words and word
-beginnings chosen from labelled texts. A text's kernel with a landmark is the highest
-of its words; the Nystroem map of these values feeds a linear machine.
+characters; the cosine of these weights, raised to POWER, is the kernel of two words,
+and the sum over all pairs of distinct words that of two texts. So "id-i-ot", "idxiot"
+and "i d i o t" stay near "idiot", and thousands of unrelated words add up to little.
+The Nystroem map of a sample of landmark words feeds a linear machine. As the kernel of
+a text is a sum over its words, so is its margin: each word has a share of its own.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize
 
-P, GAPS, DECAY = 3, 2, 0.5
-#: Longer words are compared in overlapping windows of this many characters.
-WIDTH = 24
-#: Kernel values up to which two words count as unrelated.
-FLOOR = 0.4
-LANDMARKS = 96
-#: The training sample: labelled texts of each class, and the longest text in it.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
-#: Words whose kernels are computed together: a bound for the memory of a step.
-STEP = 500
-#: Words found unrelated to all landmarks that a worker keeps; beyond it the set starts anew.
-CACHE = 120_000
+#: Chosen by accuracy on labelled texts of sf0.1 that are kept from training.
+P, GAPS, DECAY, POWER = 3, 2, 0.7, 8
+#: Most landmarks; a small sample has one for six texts.
+LANDMARKS = 384
+#: Cost of the machine, how much heavier the clean texts weigh than the toxic ones, and the
+#: words that virtual examples are made of.
+COST, CLEAN, VIRTUAL = 1e7, 4.0, 64
+#: The training sample: labelled texts of each class, and the characters of a class after
+#: which no further text is added to it. Texts count whole.
+SAMPLE, SAMPLE_CHARS = 2000, 16_000_000
+#: Characters whose subsequences are counted together: a bound for the memory of a step.
+STEP = 20_000
+#: Words whose shares a worker keeps (about 120 bytes each); beyond it the cache starts anew.
+CACHE = 250_000
 
 _OFFSETS = [(a, b) for b in range(P - 1, P + GAPS) for a in range(1, b)]
-_EDGE = " .,;:!?\"'()[]{}<>|*&%$#@~^_=+/\\-"
+_NO_LETTER = re.compile(r"[\W_]+")
+#: Single characters in a row, spaces between: a word spelt out.
+_SPELT = re.compile(r"(?<!\S)\w(?:[^\S\n]+\w){2,}(?!\S)")
 
 
-def _windows(word: str) -> list[str]:
-    """The word between its bounds; a long one in windows that overlap by half."""
-    word = f"\x02{word}\x03"
-    if len(word) <= WIDTH:
-        return [word]
-    return [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
+def core(word: str) -> str:
+    """The letters and digits of a token."""
+    return word if word.isalnum() else _NO_LETTER.sub("", word)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, weight) of the subsequences of each word, one entry for each code of a
-    row, weights scaled to norm 1."""
-    n = len(words)
-    width = max(map(len, words), default=0)
-    chars = np.zeros((n, max(width, 1)), dtype=np.int64)
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    size = np.array([len(w) for w in words])
-    chars[np.arange(chars.shape[1])[None, :] < size[:, None]] = flat
+def _counted(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, weight) of the subsequences of rows of characters padded by 0, one entry
+    for each code of a row, ordered by both."""
+    n, width = chars.shape
     codes, weights = [], []
     for a, b in _OFFSETS:
-        if b >= chars.shape[1]:
-            continue
-        x = (chars[:, : chars.shape[1] - b] << 42) | (chars[:, a : chars.shape[1] - b + a] << 21) | chars[:, b:]
-        x[chars[:, b:] == 0] = 0
-        codes.append(x)
-        weights.append(np.full(x.shape, DECAY ** (b + 1)))
+        if b < width:
+            x = (chars[:, : width - b] << 42) | (chars[:, a : width - b + a] << 21) | chars[:, b:]
+            x[chars[:, b:] == 0] = 0
+            codes.append(x)
+            weights.append(np.full(x.shape, DECAY ** (b + 1)))
     if not codes:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0)
@@ -74,10 +72,29 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(code):
         return row, code, weight
     first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
-    weight = np.add.reduceat(weight, first)
-    row, code = row[first], code[first]
-    norm = np.sqrt(np.bincount(row, weight**2, n))
-    return row, code, weight / norm[row]
+    return row[first], code[first], np.add.reduceat(weight, first)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, weight) of the subsequences of each word between its bounds, weights
+    scaled to norm 1. A long word is counted a part at a time."""
+    size = np.array([len(w) + 2 for w in words])
+    if len(words) == 1 and size[0] > STEP:
+        flat = np.frombuffer(f"\x02{words[0]}\x03".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        code, weight = np.zeros(0, np.int64), np.zeros(0)
+        for lo in range(0, len(flat), STEP):
+            # A part's subsequences start in it; what starts in its overlap with the next is taken off.
+            for part, sign in ((flat[lo : lo + STEP + P + GAPS - 1], 1.0), (flat[lo + STEP : lo + STEP + P + GAPS - 1], -1.0)):
+                _, c, w = _counted(part[None, :])
+                code, at = np.unique(np.concatenate([code, c]), return_inverse=True)
+                weight = np.bincount(at, np.concatenate([weight, sign * w]), len(code))
+        row = np.zeros(len(code), np.int64)
+    else:
+        chars = np.zeros((len(words), int(size.max(initial=1))), dtype=np.int64)
+        flat = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        chars[np.arange(chars.shape[1])[None, :] < size[:, None]] = flat
+        row, code, weight = _counted(chars)
+    return row, code, weight / np.sqrt(np.bincount(row, weight**2, len(words)))[row]
 
 
 class Landmarks:
@@ -86,37 +103,37 @@ class Landmarks:
     def __init__(self, landmarks: list[str]) -> None:
         row, code, weight = features(landmarks)
         self.codes, at = np.unique(code, return_inverse=True)
-        self.table = np.zeros((len(self.codes), len(landmarks)))
+        self.table = np.zeros((len(self.codes), len(landmarks)), dtype=np.float32)
         self.table[at, row] = weight
-        self.gram = self.table.T @ self.table
+        self.gram = (self.table.T.astype(np.float64) @ self.table) ** POWER
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """(len(words), landmarks): the highest of each word's windows, 0 up to FLOOR."""
-        parts = [_windows(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
-        flat = [w for p in parts for w in p]
-        out = np.zeros((len(words), self.table.shape[1]))
-        if not flat or not len(self.codes):
-            return out
-        row, code, weight = features(flat)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[at] == code
-        row, at, weight = row[hit], at[hit], weight[hit]
-        if len(row):
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            sums = np.add.reduceat(self.table[at] * weight[:, None], first, axis=0)
-            np.maximum.at(out, owner[row[first]], sums)
-        return np.maximum(out - FLOOR, 0.0) / (1.0 - FLOOR)
+        """(len(words), landmarks)."""
+        out = np.zeros((len(words), self.table.shape[1]), dtype=np.float32)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))  # alike lengths: little padding
+        while order:
+            n = max(1, min(len(order), STEP // (len(words[order[-1]]) + 2)))
+            part, order = order[-n:], order[:-n]
+            row, code, weight = features([words[i] for i in part])
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[at] == code
+            row, at, weight = row[hit], at[hit], weight[hit]
+            # The codes of each word side by side, padded by one of weight 0.
+            have = np.bincount(row, minlength=n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
+            codes_of, weights = np.zeros((n, int(have.max(initial=0))), dtype=np.int64), np.zeros((n, 1, int(have.max(initial=0))), dtype=np.float32)
+            codes_of[row, place], weights[row, 0, place] = at, weight
+            for lo in range(0, n, 100):
+                out[part[lo : lo + 100]] = (weights[lo : lo + 100] @ self.table[codes_of[lo : lo + 100]])[:, 0]
+        return out**POWER
 
 
 def tokens(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
-
-
-def _shared(texts: list[str]) -> list[set[str]]:
-    """The tokens of each text, equal ones held once."""
-    names: dict[str, str] = {}
-    return [{names.setdefault(w, w) for w in tokens(t)} for t in texts]
+    """The distinct words of a text in lower case; single characters in a row are one word too."""
+    low = (text or "").lower()
+    out = set(low.split())
+    out.update("".join(m.group().split()) for m in _SPELT.finditer(low))
+    return out
 
 
 @dataclass
@@ -139,12 +156,10 @@ class Model:
 
     def _reset(self) -> None:
         self.marks = Landmarks(self.landmarks) if self.landmarks else None
-        self.related: dict[str, np.ndarray] = {}
-        self.unrelated: set[str] = set()
+        self.share: dict[str, float] = {}
 
     def empty_cache(self) -> None:
-        self.related.clear()
-        self.unrelated.clear()
+        self.share.clear()
 
     def resident(self) -> Model:
         """The worker's own copy of this model, which keeps its words from task to task."""
@@ -154,78 +169,44 @@ class Model:
         hold_cache(_resident[0])
         return _resident[0]
 
-    def kernels(self, texts: list[str | None]) -> np.ndarray:
-        """A text's kernel with each landmark: the highest of its words."""
-        sets = [tokens(t) for t in texts]
-        if len(self.unrelated) > CACHE:
-            self.unrelated.clear()
-        if len(self.related) > CACHE // 20:
-            self.related.clear()
-        new = list(set().union(*(s - self.unrelated for s in sets)) - self.related.keys())
-        self._learn(new)
-        out = np.zeros((len(texts), len(self.landmarks)))
-        for i, s in enumerate(sets):
-            if hits := self.related.keys() & s:
-                out[i] = np.max([self.related[w] for w in hits], axis=0)
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), STEP):
-            part = new[lo : lo + STEP]
-            values = self.marks.kernel([w.strip(_EDGE) for w in part])
-            some = values.any(axis=1)
-            self.related.update((part[i], values[i]) for i in np.flatnonzero(some))
-            self.unrelated.update(w for w, s in zip(part, some.tolist(), strict=True) if not s)
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        """The sum of the shares of a text's words, and the bias."""
+        sets, share = [tokens(t) for t in texts], self.share
+        new = [w for w in set().union(*sets) if w not in share]
+        if len(share) + len(new) > CACHE:
+            share.clear()
+            new = list(set().union(*sets))
+        for lo in range(0, len(new), 2000):
+            part = new[lo : lo + 2000]
+            share.update(zip(part, (self.marks.kernel([core(w) for w in part]) @ self.weight).tolist(), strict=True))
+        # In order of size, so that the sum doesn't depend on the order of a set.
+        return np.array([sum(sorted(map(share.__getitem__, s))) for s in sets]) + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.landmarks:
             return np.zeros(len(texts))
-        margin = self.kernels(texts) @ self.weight + self.bias
-        return 1.0 / (1.0 + np.exp(-4.0 * np.clip(margin, -50, 50)))
+        return 1.0 / (1.0 + np.exp(-4.0 * np.clip(self.margins(texts), -50, 50)))
 
 
 _resident: list[Model] = []
 
 
-def _forms(word: str) -> list[str]:
-    """The word and its beginnings of 4 to 6 characters, with their bounds."""
-    w = word.strip(_EDGE)
-    whole = [f"\x02{w}\x03"] if 3 <= len(w) <= WIDTH - 2 else []
-    return whole + [f"\x02{w[:n]}" for n in (4, 5, 6) if len(w) > n]
-
-
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Words and word beginnings that mark toxic texts, chosen to cover each text thrice."""
-    bad: Counter[str] = Counter()
-    for s in toxic:
-        bad.update({f for w in s for f in _forms(w)})
-    good = Counter({f: 0 for f, n in bad.items() if n >= 2})
-    bad = Counter({f: bad[f] for f in good})
-    for s in clean:
-        good.update({f for w in s for f in _forms(w) if f in good})
-    able = {f for f, n in bad.items() if n / max(1, len(toxic)) > 20 * (good[f] + 0.5) / max(1, len(clean))}
-    where: dict[str, list[int]] = {}
-    for i, s in enumerate(toxic):
-        for f in {f for w in s for f in _forms(w) if f in able}:
-            where.setdefault(f, []).append(i)
-    need = np.full(len(toxic), 3)
-    out: list[str] = []
-    while len(out) < most and where:
-        gain = {f: int((need[at] > 0).sum()) for f, at in where.items()}
-        # Of equal gains the longer form, then the first in order.
-        best = min(gain, key=lambda f: (-gain[f], -len(f), f))
-        if gain[best] < 2 and out:
-            break
-        out.append(best)
-        need[where.pop(best)] -= 1
-    return out
+def choose_landmarks(toxic: Counter[str], clean: Counter[str], n_toxic: int, n_clean: int, most: int = LANDMARKS) -> list[str]:
+    """A weighted sample of all words without repetition, by how far a word's shares of the
+    toxic and of the clean texts lie apart."""
+    names = sorted(toxic.keys() | clean.keys())
+    apart = np.array([abs(toxic[w] / n_toxic - clean[w] / n_clean) for w in names])
+    draw = np.random.default_rng(11).random(len(names))
+    keys = np.log(draw) / (apart**1.5 + 1e-9)
+    return [names[i] for i in np.sort(np.argsort(-keys, kind="stable")[:most])]
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 200.0) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps."""
+def fit_machine(x: np.ndarray, y: np.ndarray, cost: float, ratio: float) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss by Newton steps; ratio: how much heavier than
+    the toxic examples the clean ones weigh together."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * len(y) / 10
+    each = np.where(y > 0, 1.0 / max(1, (y > 0).sum()), ratio / max(1, (y < 0).sum())) * cost
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(50):
@@ -240,23 +221,56 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 200.0) -> tuple[np.n
     return w[:-1], float(w[-1])
 
 
+def virtual(toxic: Counter[str], clean: Counter[str], n_toxic: int, n_clean: int) -> list[list[str]]:
+    """For each word that marks toxic texts: itself and forms with one or two characters put in."""
+    marks = [w for w, n in toxic.items() if n >= 3 and len(w) >= 4 and n / n_toxic > 20 * (clean[w] + 0.5) / n_clean]
+    rng, out = np.random.default_rng(5), []
+    letters = sorted({c for w in marks for c in w})
+    for w in sorted(marks, key=lambda w: (-toxic[w], w))[:VIRTUAL]:
+        forms = [w]
+        for n in (1, 1, 1, 1, 2, 2):
+            s = w
+            for _ in range(n):
+                at = int(rng.integers(1, len(s)))
+                s = s[:at] + letters[int(rng.integers(0, len(letters)))] + s[at:]
+            forms.append(s)
+        out.append(forms)
+    return out
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Fit landmarks, Nystroem map and machine to labelled texts on the driver."""
-    sets = _shared(texts)
-    toxic = [s for s, y in zip(sets, labels, strict=True) if y]
-    clean = [s for s, y in zip(sets, labels, strict=True) if not y]
-    marks = choose_landmarks(toxic, clean) if toxic and clean else []
-    if not marks:
+    """Fit landmarks, Nystroem map and machine to labelled texts on the driver.
+
+    Besides the labelled texts, clean ones with a form of a toxic word added count as toxic,
+    so that one such word, also with characters put in, is enough."""
+    seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+    for t, y in zip(texts, labels, strict=True):
+        seen[bool(y)].update({c for w in tokens(t) if (c := core(w))})
+    n = len(labels) - sum(map(bool, labels)), sum(map(bool, labels))
+    if not n[0] or not n[1]:
         return Model([], np.zeros(0), -1.0)
-    model = Model(marks, np.zeros(len(marks)), -1.0)
-    value, vector = np.linalg.eigh(model.marks.gram)
+    marks = choose_landmarks(seen[1], seen[0], n[1], n[0], min(LANDMARKS, max(16, sum(n) // 6)))
+    forms = virtual(seen[1], seen[0], n[1], n[0])
+    del seen
+    kernels = Landmarks(marks)
+    value, vector = np.linalg.eigh(kernels.gram)
     root = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T  # the inverse root of the Gram matrix
-    x = np.vstack([model.kernels(texts[i : i + 200]) for i in range(0, len(texts), 200)])
-    model._reset()
-    # Each landmark by itself is one more toxic example: texts in the sample hold several.
-    alone = np.maximum(model.marks.gram - FLOOR, 0.0) / (1.0 - FLOOR)
-    y = np.where(np.concatenate([np.array(labels), np.ones(len(marks))]) > 0, 1.0, -1.0)
-    weight, bias = fit_machine(np.vstack([x, alone]) @ root, y)
+    x = np.zeros((len(texts), len(marks)))
+    for lo in range(0, len(texts), 200):
+        sets = [tokens(t) for t in texts[lo : lo + 200]]
+        words = list(set().union(*sets))
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            values = kernels.kernel([core(w) for w in part])
+            name = {w: i for i, w in enumerate(part)}
+            for i, s in enumerate(sets):
+                mine = [name[w] for w in s & name.keys()]
+                x[lo + i] += values[sorted(mine)].sum(axis=0)
+    y = np.where(np.array(labels) > 0, 1.0, -1.0)
+    hosts = np.flatnonzero(y < 0)
+    made = [kernels.kernel(f).astype(np.float64) for f in forms]
+    made = [k + x[hosts[(7 * i + np.arange(len(k))) % len(hosts)]] for i, k in enumerate(made)]
+    weight, bias = fit_machine(np.vstack([x, *made]) @ root, np.concatenate([y, np.ones(sum(map(len, made)))]), COST, CLEAN)
     return Model(marks, root @ weight, bias)
 
 
@@ -266,19 +280,26 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from at most `sample` labelled texts of each class, none held out, of at most
-    `chars` characters: those whose ids have the lowest hashes. The bound keeps training on
-    the driver at any size of the corpus; nothing else of the operator is bounded."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    short = base.where((F.length("text") <= chars) & ~held_out()).select("doc_id")
+    """A model from at most `sample` labelled texts of each class, none held out: those whose
+    ids have the lowest hashes, until they have `chars` characters together; the text that
+    reaches that number is the last. Texts of any length count whole. The bound keeps
+    training on the driver at any size of the corpus; nothing else of the operator is
+    bounded. An id with several texts counts with the smallest, with several labels as
+    toxic; null labels and ids take no part, nor do documents without a text.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sizes = base.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("size"))
     picked = None
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     for y in (0, 1):
-        part = known.where(F.col("toxic") == y).join(short.distinct(), "doc_id", "left_semi").orderBy(*order).limit(sample)
+        part = sizes.where(F.col("toxic") == y).orderBy(*order).limit(sample)
+        before = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # of `sample` rows
+        part = part.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars).select("doc_id", "toxic")
         picked = part if picked is None else picked.union(part)
     # At most 2 * sample rows of two numbers.
-    rows = base.where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    rows = base.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
@@ -299,8 +320,10 @@ def _score(model: Model):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each whole text, a row for each row of `docs`.
 
-    A null or empty text has no words and gets the score of a text unlike all landmarks.
-    Repeated ids are scored each by its own text; a null id is not held out.
+    A null or empty text has no words and gets the score of a text unlike all landmarks;
+    words of any length are compared whole. Repeated ids are scored each by its own text; a
+    null id is not held out. Equal texts get equal scores, 0.5 itself is toxic. Further
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = base.mapInArrow(_score(model), "doc_id long, score double, predicted int")

@@ -91,19 +91,90 @@ def test_toxicity_held_out():
     assert (s[:3] >= 0.5).all() and (s[3:] < 0.5).all()
 
 
-def test_kernel_by_hand():
-    def phi(w):
-        out = {}
-        for i in range(len(w)):
-            for j in range(i + 1, len(w)):
-                for k in range(j + 1, min(len(w), i + 5)):
-                    out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + 0.5 ** (k - i + 1)
-        return out
-
-    a, b = phi("\x02banana\x03"), phi("\x02bandana\x03")
-    want = sum(v * b.get(c, 0) for c, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
-    m = toxicity.Landmarks(["\x02banana\x03"])
-    assert m.kernel(["bandana"])[0, 0] == pytest.approx((want - toxicity.FLOOR) / (1 - toxicity.FLOOR))
+def phi(w):
+    out = {}
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            for k in range(j + 1, min(len(w), i + toxicity.P + toxicity.GAPS)):
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def cosine(v, w):
+    a, b = phi(f"\x02{v}\x03"), phi(f"\x02{w}\x03")
+    return sum(x * b.get(c, 0) for c, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_kernel_by_hand(monkeypatch):
+    words = ["bandana", "banana", "a", "", "xyz", "ban" * 9]
+    m = toxicity.Landmarks(["banana", "ana"])
+    got = m.kernel(words)
+    for i, w in enumerate(words):
+        assert got[i] == pytest.approx([cosine(w, z) ** toxicity.POWER for z in ("banana", "ana")] if w else [0, 0], abs=1e-6)
+    assert m.gram[0, 1] == pytest.approx(cosine("banana", "ana") ** toxicity.POWER, abs=1e-6)
+    want = m.kernel(["bananab" * 400])
+    monkeypatch.setattr(toxicity, "STEP", 50)  # a long word is counted in parts, to the same values
+    assert np.allclose(m.kernel(["bananab" * 400]), want, atol=1e-6)
+
+
+def test_sum_kernel_and_its_map_are_one():
+    """The Nystroem features of two texts made of landmarks have the texts' kernel as product."""
+    marks = ["idiot", "banana", "bandana", "scum"]
+    m = toxicity.Landmarks(marks)
+    value, vector = np.linalg.eigh(m.gram)
+    root = (vector / np.sqrt(value)) @ vector.T
+    a, b = m.kernel(["idiot", "banana"]).sum(axis=0) @ root, m.kernel(["bandana", "idiot", "scum"]).sum(axis=0) @ root
+    assert a @ b == pytest.approx(sum(cosine(v, w) ** toxicity.POWER for v in ("idiot", "banana") for w in ("bandana", "idiot", "scum")), abs=1e-4)
+
+
+def test_gapped_and_inserted_insults():
+    texts, ys = labelled(800, seed=4)
+    model = toxicity.train(texts, ys)
+    rng = np.random.default_rng(6)
+    clean = [t for t, y in zip(*labelled(1200, seed=9), strict=True) if not y]
+    assert (model.scores(clean) >= 0.5).mean() <= 0.02
+
+    def put(w, form):
+        if form == "dotted":
+            return ".".join(w)
+        if form == "spelt":
+            return " ".join(w)
+        at = rng.integers(1, len(w), 1)[0]
+        return w[:at] + str(rng.choice(list("abcdefghijklmnopqrstuvwxyz*"))) + w[at:]
+
+    for form in ("dotted", "spelt", "inserted"):
+        hit = []
+        for i, t in enumerate(clean[:120]):
+            words = t.split()
+            words.insert(int(rng.integers(0, len(words) + 1)), put(["idiot", "worthless", "scum"][i % 3], form))
+            hit.append(model.scores([" ".join(words)])[0] >= 0.5)
+        assert np.mean(hit) >= 0.8, form
+
+
+def test_held_out_accuracy_on_the_table(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score_toxicity(docs, toxicity.train_on(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    toxic = [r["predicted"] for r in got if r["toxic"] == 1]
+    clean = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.06 * len(clean)
+
+
+def test_long_texts_train_whole(spark):
+    texts, ys = labelled(200)
+    texts[0] = "idiot " + "word " * 30_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(ys)), "doc_id long, toxic int")
+    seen = []
+    old, toxicity.train = toxicity.train, lambda t, y: seen.append((t, y)) or old(t, y)
+    try:
+        toxicity.train_on(docs, labels)
+        toxicity.train_on(docs, labels, chars=2000)
+    finally:
+        toxicity.train = old
+    kept = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(map(len, seen[0][0])) == sorted(len(texts[i]) for i in kept)
+    assert 0 < len(seen[1][0]) < len(seen[0][0])
 
 
 def test_toxicity_rows(spark):

@@ -11,6 +11,7 @@ any of them surges; it takes nothing from the text around it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -39,30 +40,52 @@ MARKED = {
     "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+#: Words that may stand beside those in one name ("ad-box", "site-footer", "related-posts").
+BESIDE = {
+    "area", "articles", "bar", "block", "bottom", "box", "container", "form", "global", "group", "header", "inner", "items", "left", "links", "list",
+    "message", "outer", "page", "panel", "post", "posts", "right", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper",
+}
 COMMENTS = {"comment", "comments", "commentlist", "replies", "disqus"}
 ROOTS = {"html", "body", "main", "article"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
+def _named(value: str, words: set[str]) -> bool:
+    """Whether a whole name of the value is made of `words`, beside words that say nothing."""
+    for name in value.split():
+        parts = {x for x in re.split(r"[-_:]+", re.sub(r"\d+", "", name)) if x}
+        if parts & words and parts <= words | BESIDE:
+            return True
+    return False
+
+
 def _boilerplate(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds no main text; inside: within an article."""
+    """Whether an element holds no main text; inside: within an article.
+
+    Names count for block elements alone, so no words of a line are lost, and not for
+    headings; within an article an id, which may come from a title, only for comments."""
     if name in CHROME or (name == "header" and not inside):
         return True
     if not attrs:
         return False
-    marks: set[str] = set()
+    named = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id", "role"):
-            marks.update(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])\d+", "", value)))
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-    if name in ROOTS:
-        return bool(marks & COMMENTS) and name == "article"
-    return bool(marks & MARKED) or (not inside and "header" in marks)
+        if name not in BLOCK or name in HEADINGS or key not in ("class", "id", "role"):
+            continue
+        if name in ROOTS:
+            named |= name == "article" and _named(value, COMMENTS)
+        elif key == "id" and inside:
+            named |= _named(value, COMMENTS)
+        else:
+            named |= _named(value, MARKED) or (not inside and value.split() == ["header"])
+    return named
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -71,6 +94,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     Boilerplate leaves WINDOW empty lines."""
     out: list[tuple[str, int, int]] = []
     open_: list[str] = []
+    count: Counter[str] = Counter()  # of the names in open_
     words: list[str] = []
     state = {"article": 0, "main": 0, "a": 0}
     links = skip = at = 0  # skip: depth of `open_` at which the boilerplate began
@@ -94,6 +118,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     def close(depth: int) -> None:
         nonlocal skip
         for n in open_[depth:]:
+            count[n] -= 1
             if n in state:
                 state[n] -= 1
         del open_[depth:]
@@ -117,10 +142,13 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         end, name, attrs = m.group(1), m.group(2).lower(), m.group(3)
         if end:
-            if name in open_:
+            if count[name]:
                 if name in BLOCK and not skip:
                     flush()
-                close(len(open_) - 1 - open_[::-1].index(name))
+                d = len(open_) - 1
+                while open_[d] != name:
+                    d -= 1
+                close(d)
             elif name == "p" and not skip:
                 flush()
             continue
@@ -136,7 +164,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             words.append(" ")
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not skip:
+        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and count[name] and not skip:
             # These end an open one of their kind, unless a list or table stands between.
             for d in range(len(open_) - 1, -1, -1):
                 if open_[d] == name:
@@ -145,14 +173,17 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 if open_[d] in BLOCK and open_[d] != "p" or open_[d] == "td":
                     break
         if not skip and _boilerplate(name, attrs, bool(state["article"])):
-            flush()
-            out += [("", 0, 0)] * WINDOW
+            if name in BLOCK or name in CHROME and name not in ("button", "select"):
+                flush()
+                out += [("", 0, 0)] * WINDOW
             open_.append(name)
+            count[name] += 1
             skip = len(open_)
             if name in state:
                 state[name] += 1
             continue
         open_.append(name)
+        count[name] += 1
         if name in state:
             state[name] += 1
     if not skip:
@@ -218,7 +249,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(page_id, url, text, n_chars): the main text of each page, n_chars in code points.
 
     Every row is returned, repeated and null ids and null addresses too; a null or empty
-    page has an empty text.
+    page has an empty text. Pages of any length and nesting are read whole, in time in
+    proportion to their length. Further columns, whatever their names, are ignored; an empty
+    table gives no rows.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return base.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -40,6 +42,71 @@ def test_short_stretches_between_surges_are_joined():
     assert html.main_text(f"<p>Top</p>{gap}<p>{long}</p>{gap}<p>Short.</p>{gap}<p>{long}</p>{gap}<p>End</p>") == f"{long}\nShort.\n{long}"
 
 
+def test_no_words_of_the_article_are_lost():
+    page = """<article><h2 id="search">Search</h2><p>First para.</p><section id="related-work"><p>Kept?</p></section><p id="notices-of-the-act">Body</p>
+    <p>See <span class="share">the share</span> price</p><div class="related-posts"><p>More</p></div><div class="ad-box">Buy</div><p class="notice">Cookies!</p>
+    <section id="comments"><p>I disagree</p></section><div class="advert-design">Of adverts</div><p>Press <button>OK</button> now</p></article>"""
+    assert html.main_text(page) == "Search\nFirst para.\nKept?\nBody\nSee the share price\nOf adverts\nPress now"
+
+
+class Plain(HTMLParser):
+    """The same contract on well-formed pages by the standard library's parser: the blocks
+    of the article, without elements that hold no main text."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.inside, self.line, self.lines = 0, 0, [], []
+        self.feed(page)
+        self.close()
+
+    def flush(self):
+        if text := " ".join("".join(self.line).split()):
+            self.lines.append(text)
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("nav", "footer", "aside", "form", "script", "style", "title") or ("class", "ad") in attrs:
+            self.skip += 1
+        self.inside += tag == "article"
+        if tag in html.BLOCK:
+            self.flush()
+        elif tag == "br":
+            self.line.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK:
+            self.flush()
+        self.inside -= tag == "article"
+        if self.skip and tag in ("nav", "footer", "aside", "form", "script", "style", "title", "div"):
+            self.skip -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.line.append(data)
+
+
+def test_whole_table_agrees_with_another_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(pages).collect()}
+    assert got == {r["page_id"]: "\n".join(Plain(r["html"] or "").lines) for r in pages.collect()} and any(got.values())
+
+
+def test_windows_choose_between_lines():
+    """No element marks anything here: only the distribution of text tells the article."""
+    rng = np.random.default_rng(2)
+    for n in (3, 12):
+        body = [" ".join(["Sentences of the body, one after the other."] * int(rng.integers(2, 6))) for _ in range(n)]
+        body[1] = "Short one."
+        rows = [f"<div><a href=/{i}>Link {i}</a></div>" for i in range(20)] + [f"<div>{b}</div>" for b in body] + [f"<div><a href=/{i}>Go {i}</a></div>" for i in range(20)]
+        assert html.main_text("<html><body>" + "".join(rows) + "</body></html>") == "\n".join(body)
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    start = time.process_time()
+    assert html.main_text("<article>" + "<div>" * 40_000 + "</p>" * 40_000 + "x</article>") == "x"
+    assert time.process_time() - start < 5
+
+
 def test_surge_and_dive():
     assert html.surges([0, 0, 50, 40, 1, 0, 0, 0, 5, 0], 80) == [(2, 5)]
     assert html.surges([], 1) == [] and html.surges([0, 0], 1) == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one, else (tests, one machine) a temporary folder of our own."""
+    cluster names one, else (tests, one machine) a temporary folder of our own. Executors
+    of a cluster can't see such a folder, so there the setting is asked for."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -76,6 +80,26 @@ def broadcast_if_small(keys: DataFrame, rows: int, limit: int = BROADCAST_KEYS)
     return F.broadcast(keys) if rows <= limit else keys
 
 
+#: Rows of one key from which they are joined by a broadcast of that key's row.
+HEAVY = 1000
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """`rows` joined to `keyed`, which has each key once and in `count` the rows of the key.
+
+    Keys of more than HEAVY rows, of which there are few, are broadcast behind a check of
+    their number, so that no task has to hold one; the others meet by a shuffle. Both
+    tables are read more than once and should be written ones."""
+    heavy = keyed.where(F.col(count) > HEAVY)
+    n = heavy.count()
+    if not n or n > BROADCAST_KEYS:
+        return rows.join(keyed.drop(count), on, how)
+    light = keyed.where(F.col(count) <= HEAVY).drop(count)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    found = rows.join(F.broadcast(heavy.drop(count)), on)
+    return found.union(rest.select(*found.columns))
+
+
 _holder = None
 
 
@@ -160,18 +184,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Union-find runs inside each partition first; alternating large-star and
     small-star steps then join the local groups until nothing changes. Every
-    step is a shuffle on a node with map-side minima; nothing is collected.
+    step is a shuffle on a node with map-side minima; nodes of many links are
+    broadcast instead, and nothing is collected.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     e = materialize(e.mapInArrow(_contract, "u long, v long"), "links")
+
+    def lowest(rows: DataFrame) -> DataFrame:
+        return materialize(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "lowest")
+
     seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        large = join_split(both, lowest(both), ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "large")
+        small = join_split(large, lowest(large), ["u"], "n").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = materialize(small, "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:

@@ -8,52 +8,47 @@ next rank: long texts stop after one or two ranks.
 
 Steps: signatures and band hashes per document (one pass over the texts); one
 representative for each distinct shingle set; candidates from buckets of equal
-band hashes; exact comparison of whole shingle sets; connected components.
-Buckets of more than HOT sets are compared in blocks whose tasks return a
-spanning forest of the links found, so the rows stay in proportion to the group.
+band hashes; comparison of the words of whole shingle sets; connected components.
+Buckets of more than HOT sets are compared in blocks whose tasks return a spanning
+forest of the links found; a text goes to as many tasks as its bucket has blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, materialize, mix64
+from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, join_split, materialize, mix64
 
 WORDS = 5
 PERCENT = 85
 REGISTERS = 125
-#: Largest probabilities that a pair at exactly `percent` shares no band, and that too few
-#: of its one-byte registers agree for it to be compared in full.
-UNMET, UNLIKE = 1e-6, 1e-7
-#: Distinct sets in a bucket from which it is compared in blocks of BLOCK.
-HOT, BLOCK = 50, 1000
-
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Largest probability that a pair at exactly `percent` shares no band.
+UNMET = 1e-6
+#: Distinct sets in a bucket from which it is compared in blocks, and about how many sets and
+#: shingles a block has.
+HOT, BLOCK, BLOCK_SHINGLES = 50, 1000, 1_000_000
+
+_PLACE = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 20
+_EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Bytes of text hashed together, and of a word that is hashed by itself.
+_CHUNK, _LONG = 1 << 20, 256
 
 
 @lru_cache
-def thresholds(percent: int) -> tuple[int, int, int]:
-    """(bands, rows, agree) for pairs at `percent`: the longest bands that UNMET allows, and
-    the number of equal one-byte registers from which a pair is compared in full."""
-    p = percent / 100
-    rows = max((r for r in range(2, REGISTERS + 1) if unmet(p, r) <= UNMET), default=1)
-    agree = max(c for c in range(REGISTERS + 1) if unlike(p, c) <= UNLIKE)
-    return REGISTERS // rows, rows, agree
+def thresholds(percent: int) -> tuple[int, int]:
+    """(bands, rows) for pairs at `percent`: the longest bands that UNMET allows."""
+    rows = max((r for r in range(2, REGISTERS + 1) if unmet(percent / 100, r) <= UNMET), default=1)
+    return REGISTERS // rows, rows
 
 
 def unmet(p: float, rows: int) -> float:
@@ -61,58 +56,46 @@ def unmet(p: float, rows: int) -> float:
     return (1 - p**rows) ** (REGISTERS // rows)
 
 
-def unlike(p: float, agree: int) -> float:
-    """The probability that under `agree` one-byte registers of a pair of similarity p are
-    equal, by chance too (a binomial tail; SuperMinHash varies less)."""
-    q = p + (1 - p) / 256
-    return sum(comb(REGISTERS, i) * q**i * (1 - q) ** (REGISTERS - i) for i in range(agree))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _POW_INV = _powers(_BASE, _CHUNK + 1), _powers(_BASE_INV, _CHUNK + 1)
-
-
-def _word_hashes(piece: bytes) -> np.ndarray:
-    """A hash for each word of at most _CHUNK bytes."""
-    raw = np.frombuffer(piece, dtype=np.uint8)
-    edge = np.diff(np.concatenate(([True], _SPACE[raw], [True])).astype(np.int8))
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word; eight bytes at a time are mixed into the hash."""
+    flat = np.frombuffer(raw, dtype=np.uint8)
+    edge = np.diff(np.concatenate(([True], _SPACE[flat], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * _POW[: len(raw)], out=total[1:])
-    return mix64((total[end] - total[start]) * _POW_INV[start] + (end - start).astype(np.uint64))
+    size = end - start
+    eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    out = mix64(size.astype(np.uint64) * _GOLD)
+    live = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(live):
+        part = eights[start[live] + at] & _EIGHT[np.minimum(size[live] - at, 8)]
+        out[live] = mix64((out[live] ^ part) * _GOLD + part)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out, start, end
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A hash for each word of the lower-cased UTF-8 text, of any length."""
-    if len(text) <= _CHUNK:
-        return _word_hashes(text)
-    out, words = [], []
-    size = 0
-    for w in text.split():
-        if len(w) > _CHUNK:  # one word longer than a chunk: chain the hashes of its parts
-            if words:
-                out.append(_word_hashes(b" ".join(words)))
-            words, size = [], 0
-            h = np.array([len(w)], dtype=np.uint64)
-            for i in range(0, len(w), _CHUNK):
-                h = mix64(h * _GOLD + _word_hashes(w[i : i + _CHUNK]))
-            out.append(h)
-            continue
-        if size + len(w) + 1 > _CHUNK:
-            out.append(_word_hashes(b" ".join(words)))
-            words, size = [], 0
-        words.append(w)
-        size += len(w) + 1
-    if words:
-        out.append(_word_hashes(b" ".join(words)))
+    out, at = [], 0
+    while at < len(text):
+        cut = len(text) if len(text) - at <= _CHUNK else next((i for i in range(at + _CHUNK, len(text)) if _SPACE[text[i]]), len(text))
+        out.append(_word_hashes(text[at:cut])[0])
+        at = cut
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def exact_shingles(text: str | None, k: int = WORDS) -> set[bytes]:
+    """The shingles themselves, words joined by a space."""
+    words = lowered(text).split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
 def _shingles(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if not n:
@@ -122,43 +105,54 @@ def _shingles(words: np.ndarray, k: int) -> np.ndarray:
     total = words[: n - k + 1] * _PLACE[0]
     for j in range(1, k):
         total = total + words[j : n - k + 1 + j] * _PLACE[j]
-    total = np.sort(mix64(total))
-    return total[np.concatenate(([True], total[1:] != total[:-1]))]
+    return mix64(total)
 
 
-def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text (null: none).
-
-    Texts are hashed together, about a megabyte at a time."""
-    out: list[np.ndarray] = []
+def hashed(texts: list[bytes], k: int = WORDS) -> Iterator[np.ndarray]:
+    """The shingle hashes of each lower-cased text in order; texts are hashed together, about a
+    megabyte at a time."""
     wait: list[bytes] = []
 
-    def flush() -> None:
-        if not wait:
-            return
-        joined = b"\n".join(wait)
-        hashes = _word_hashes(joined)
-        raw = np.frombuffer(joined, dtype=np.uint8)
-        starts = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw])).astype(np.int8)) == -1)
-        at = np.searchsorted(starts, np.cumsum([0] + [len(w) + 1 for w in wait]))
-        out.extend(_shingles(hashes[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True))
-        wait.clear()
+    def flush() -> Iterator[np.ndarray]:
+        if wait:
+            hashes, starts, _ = _word_hashes(b"\n".join(wait))
+            at = np.searchsorted(starts, np.cumsum([0] + [len(w) + 1 for w in wait]))
+            yield from (_shingles(hashes[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True))
+            wait.clear()
 
     size = 0
-    for t in texts:
-        b = (t or "").encode("utf-8", "surrogatepass").lower()
+    for b in texts:
+        if size + len(b) + 1 > _CHUNK:
+            yield from flush()
+            size = 0
         if len(b) >= _CHUNK // 2:
-            flush()
+            yield from flush()
             size = 0
-            out.append(_shingles(word_hashes(b), k))
+            yield _shingles(word_hashes(b), k)
             continue
-        if size + len(b) + 1 > _CHUNK:
-            flush()
-            size = 0
         wait.append(b)
         size += len(b) + 1
-    flush()
-    return out
+    yield from flush()
+
+
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text (null: none)."""
+    return [np.unique(h) for h in hashed([lowered(t) for t in texts], k)]
+
+
+def signed_sets(texts: list[str | None], k: int = WORDS) -> tuple[list[np.ndarray], list[bytes]]:
+    """The sorted distinct shingle hashes of each text, and a cryptographic digest of the
+    shingles' words in that order: equal digests stand for equal sets of words."""
+    raw = [lowered(t) for t in texts]
+    sets, digests = [], []
+    for b, h in zip(raw, hashed(raw, k), strict=True):
+        kinds, first = np.unique(h, return_index=True)
+        words, digest = b.split(), blake2b(digest_size=16)
+        for lo in range(0, len(first), 10_000):
+            digest.update(b"\n".join([b" ".join(words[i : i + k]) for i in first[lo : lo + 10_000].tolist()]) + b"\n")
+        sets.append(kinds)
+        digests.append(digest.digest())
+    return sets, digests
 
 
 def _times(n: int) -> np.uint64:
@@ -216,7 +210,7 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-_SIGN = "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"
+_SIGN = "doc_id long, n long, digest binary, bands array<long>"
 
 
 def _sign(k: int, least: int, bands_of: int, rows_of: int):
@@ -225,46 +219,28 @@ def _sign(k: int, least: int, bands_of: int, rows_of: int):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(ids), 500):
-                sets = shingle_sets(texts.slice(lo, 500).to_pylist(), k)
-                bands, sigs = [], []
+                sets, digests = signed_sets(texts.slice(lo, 500).to_pylist(), k)
+                bands = []
                 for a, b in _groups(sets):
                     big = [s if len(s) >= least else s[:0] for s in sets[a:b]]
-                    regs = super_minhash(big).view(np.uint64)
-                    sig = mix64(regs + np.uint64(1))
+                    sig = mix64(super_minhash(big).view(np.uint64) + np.uint64(1))
                     h = np.repeat((np.arange(bands_of, dtype=np.uint64) + np.uint64(1))[None, :] * _GOLD, b - a, axis=0)
                     for r in range(rows_of):
                         h = mix64(h ^ sig[:, r : bands_of * rows_of : rows_of]) + _GOLD
                     bands += [x if len(s) >= least else None for x, s in zip(signed(h), sets[a:b], strict=True)]
-                    sigs += [x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, 500).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(signed(np.array([np.sum(s) for s in sets], dtype=np.uint64))),
-                        pa.array(signed(np.array([np.sum(mix64(s ^ _GOLD)) for s in sets], dtype=np.uint64))),
+                        pa.array(digests, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(sigs, pa.binary()),
                     ],
-                    ["doc_id", "n", "f1", "f2", "bands", "sig"],
+                    ["doc_id", "n", "digest", "bands"],
                 )
 
     return run
 
 
-def _alike(agree: int):
-    """Keep the pairs of which at least `agree` one-byte registers are equal."""
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(len(batch), -1) for c in ("s1", "s2"))
-            keep = pa.array((a == b).sum(axis=1) >= agree)
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["x", "y"])
-
-    return run
-
-
 def _rows(batches, names):
     """(key, rows) for each run of equal keys in sorted batches; keys: all but the last two columns."""
     key, have = None, []
@@ -283,12 +259,11 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or 100 * len(small) < percent * len(large):
+def linked(a: set[bytes], b: set[bytes], percent: int) -> bool:
+    """Whether two sets of shingles, compared word for word, reach `percent`."""
+    if not a or not b or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    at = np.searchsorted(large, small)
-    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -303,7 +278,8 @@ def _verify(k: int, percent: int):
             for lo in range(0, len(batch), 200):  # few texts at a time are unpacked
                 part, found = batch.slice(lo, 200), []
                 c, salt, other, doc = (part.column(x).to_pylist() for x in ("c", "salt", "other", "doc"))
-                for i, s in enumerate(shingle_sets(part.column("text").to_pylist(), k)):
+                for i, t in enumerate(part.column("text").to_pylist()):
+                    s = exact_shingles(t, k)
                     if (c[i], salt[i]) != key:
                         key, centres = (c[i], salt[i]), []
                     if not other[i]:
@@ -316,8 +292,19 @@ def _verify(k: int, percent: int):
     return run
 
 
-def block_forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of all links among the sets, by counting shared shingles."""
+def block_forest(ids: list[int], texts: list[str | None], percent: int, k: int = WORDS) -> list[tuple[int, int]]:
+    """A spanning forest of all links among the texts, by counting shared shingles. Its links
+    are confirmed word for word; should hashes have misled it, all pairs are compared so."""
+    sets = shingle_sets(texts, k)
+    out = _forest(range(len(ids)), sets, percent)
+    if not all(linked(exact_shingles(texts[a], k), exact_shingles(texts[b], k), percent) for a, b in out):
+        groups = UnionFind()
+        whole = [exact_shingles(t, k) for t in texts]
+        out = [(a, b) for b in range(len(ids)) for a in range(b) if linked(whole[a], whole[b], percent) and groups.union(a, b)]
+    return [(ids[a], ids[b]) for a, b in out]
+
+
+def _forest(ids, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     n = len(sets)
     size = np.array([len(s) for s in sets])
     _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -348,7 +335,7 @@ def block_forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[t
 def _blocks(k: int, percent: int):
     def run(batches):
         for _, rows in _rows(batches, ("h", "i", "j", "doc", "text")):
-            yield _edges(block_forest([d for d, _ in rows], shingle_sets([t for _, t in rows], k), percent))
+            yield _edges(block_forest([d for d, _ in rows], [t for _, t in rows], percent, k))
 
     return run
 
@@ -359,17 +346,20 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of other bytes than space and \\x09-\\x0D, A-Z lower-cased. A null or
     empty text has no shingles and links with nothing; a text of fewer than `k` words
     is one shingle. Every row is returned; rows that repeat an id count as one document
-    with the links of each. A row with a null id is kept, with a null component.
+    with the links of each. A row with a null id is kept, with a null component. Texts of
+    any length count whole; further columns, whatever their names, are ignored; an empty
+    table gives no rows. Links are confirmed on the words of whole texts; a link is missed
+    only if its texts share no band (see thresholds).
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Sets of this size or less reach `percent` only when equal, and equal sets need no bands.
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1000
-    bands, rows_of, agree = thresholds(percent)
+    bands, rows_of = thresholds(percent)
     signs = materialize(base.mapInArrow(_sign(k, least, bands, rows_of), _SIGN), "signatures")
     real = signs.where("n > 0 and doc_id is not null")
-    reps = materialize(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
+    reps = materialize(real.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("size")), "sets")
     buckets = reps.where("bands is not null").select("rep", "n", F.explode("bands").alias("h"))
-    sizes = buckets.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = buckets.groupBy("h").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
     shared = materialize(buckets.join(sizes, "h"), "buckets")
 
     pair = F.expr("""flatten(transform(sequence(1, size(m) - 1), i -> transform(
@@ -377,9 +367,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         b -> struct(least(m[i - 1].rep, b.rep) as x, greatest(m[i - 1].rep, b.rep) as y))))""".replace("{p}", str(percent)))
     small = shared.where(F.col("size") <= HOT).groupBy("h").agg(F.collect_list(F.struct("n", "rep")).alias("m"))
     pairs = small.select(F.explode(pair).alias("p")).select("p.x", "p.y").where("x <> y").distinct()
-    sig = reps.select("rep", "sig")
-    pairs = pairs.join(sig.select(F.col("rep").alias("x"), F.col("sig").alias("s1")), "x").join(sig.select(F.col("rep").alias("y"), F.col("sig").alias("s2")), "y")
-    pairs = materialize(pairs.mapInArrow(_alike(agree), "x long, y long"), "pairs")
+    pairs = materialize(pairs, "pairs")
 
     hot = shared.where(F.col("size") > HOT)
     ids = materialize(pairs.select("x").union(pairs.select("y")).union(hot.select("rep")).distinct().toDF("doc_id"), "ids")
@@ -392,7 +380,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "other")
     edges = rows.mapInArrow(_verify(k, percent), "u long, v long")
     if hot.limit(1).count():
-        cut = hot.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        cut = hot.withColumn("nb", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         # Buckets with the same members (a group met in several bands) are compared once.
         same = cut.groupBy("h", "size").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of")).groupBy("size", "of").agg(F.min("h").alias("h"))
         cut = cut.join(same.select("h"), "h", "left_semi")
@@ -402,10 +390,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         blocks = blocks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         edges = edges.union(blocks.mapInArrow(_blocks(k, percent), "u long, v long"))
     # Equal sets are linked through their representative.
-    whole = real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    groups = connected_components(edges)
-    rep_group = whole.where("size > 1").join(groups, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component_id", "rep").alias("g1"))
-    out = signs.join(rep_group.withColumnsRenamed({"n": "n_", "f1": "f1_", "f2": "f2_"}), (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")), "left")
+    groups = materialize(connected_components(edges), "groups")
+    rep_group = reps.where("size > 1").join(groups, F.col("rep") == F.col("node"), "left").select("n", "digest", "size", F.coalesce("component_id", "rep").alias("g1"))
+    out = join_split(signs.select("doc_id", "n", "digest"), materialize(rep_group, "copies"), ["n", "digest"], "size", "left")
     out = out.join(groups.select("node", F.col("component_id").alias("g2")), F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("g1"), F.col("g2"), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

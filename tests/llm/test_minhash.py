@@ -137,7 +137,48 @@ def test_pipeline_drops_near_copies_from_080(spark):
 
 
 def test_thresholds():
-    assert minhash.thresholds(85)[:2] == (25, 5)
+    assert minhash.thresholds(85) == (25, 5)
     for percent in (50, 65, 80, 85, 95):
-        _, rows, agree = minhash.thresholds(percent)
-        assert minhash.unmet(percent / 100, rows) + minhash.unlike(percent / 100, agree) < 1.2e-6
+        assert minhash.unmet(percent / 100, minhash.thresholds(percent)[1]) <= 1e-6
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_are_compared_not_hashes(spark, monkeypatch):
+    """Words that polynomial hashes confuse have hashes of their own; and if hashes did
+    confuse two words, links would still be those of the words."""
+    a = thue_morse(4096)
+    b = a.translate({97: "b", 98: "a"})
+    for n in (64, 1024, 4096):
+        assert len({int(minhash.word_hashes(x[:n].encode())[0]) for x in (a, b)}) == 2
+    rows = [(1, a, ""), (2, b, ""), (3, a.upper(), "")]
+    assert {r["doc_id"]: r["component_id"] for r in minhash.minhash_dedup(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: 1, 2: 2, 3: 1}
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "xxy"]
+    real = minhash.shingle_sets
+    monkeypatch.setattr(minhash, "shingle_sets", lambda t, k: real([texts[0]] * len(t), k))  # all alike
+    assert minhash.block_forest([1, 2, 3], texts, 85) == [(1, 2)]
+
+
+def test_hub_keys_are_broadcast(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 3)
+    links = [(0, i) for i in range(1, 30)] + [(100 + i, 101 + i) for i in range(20)]
+    got = {r["node"]: r["component_id"] for r in connected_components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()}
+    assert got == {**{i: 0 for i in range(30)}, **{100 + i: 100 for i in range(21)}}
+    rows = spark.createDataFrame([(k, i) for k in range(4) for i in range(2 * k)], "k long, i long")
+    keyed = spark.createDataFrame([(k, 2 * k, f"v{k}") for k in range(5) if k != 1], "k long, n long, v string")
+    out = sorted((r["k"], r["i"], r["v"]) for r in common.join_split(rows, keyed, ["k"], "n", "left").collect())
+    assert out == sorted((k, i, None if k == 1 else f"v{k}") for k in range(4) for i in range(2 * k))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusloom.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)

@@ -15,16 +15,21 @@ from corpusloom.llm.common import materialize
 RATIO, PAGES = 0.1, 5
 #: Boilerplate hashes up to which the list for each host is broadcast (8 bytes each).
 BROADCAST_LINES = 200_000
+#: Tasks that the pages of a host are dealt over when the lists are no broadcast.
+SALTS = 64
 
 
 def line_dedup(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """`docs` without the boilerplate lines of each host.
 
-    Adds n_lines and n_dropped (longs); every other column stays as it is. Lines are
+    Adds n_lines and n_dropped (longs), in place of columns of these names; every other
+    column, whatever its name, stays as it is. Lines of any length are
     split at \\n and compared whole. Blank lines are never counted or dropped. A page
     has a line once however often it repeats; all its occurrences go. Null hosts are
     one host. A null text stays null, an empty text has no lines; a text that loses
-    all its lines becomes empty. Lines are counted by a 64-bit hash within their host.
+    all its lines becomes empty. Repeated and null ids count as pages of their own; a share
+    equal to the ratio stays. Lines are counted by a 64-bit hash within their host. An
+    empty table gives no rows.
     """
     host, text = F.col(host_col), F.col(text_col)
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
@@ -36,17 +41,23 @@ def line_dedup(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, id_col
     bad = counts.alias("c").join(totals.alias("t"), F.expr("c.h <=> t.h")).where(F.col("n") > ratio * F.col("pages")).select(F.col("c.h").alias("h"), "l")
     bad = materialize(bad.groupBy("h").agg(F.collect_list("l").alias("bad")), "boilerplate")
     rows = bad.agg(F.sum(F.size("bad"))).first()[0] or 0
-    bad = F.broadcast(bad) if rows <= BROADCAST_LINES else bad
-    kept = docs.join(bad.withColumnRenamed("h", "__h").withColumnRenamed("bad", "__bad"), F.expr(f"`{host_col}` <=> __h"), "left")
+    taken = {c.lower() for c in docs.columns} | {"n_lines", "n_dropped"}
+    h, salt, own, stay = (next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}") not in taken) for name in ("host", "salt", "lines", "stay"))
+    if rows <= BROADCAST_LINES:
+        near = F.broadcast(bad.select(F.col("h").alias(h), F.col("bad").alias(own)))
+        kept = docs.join(near, F.expr(f"`{host_col}` <=> `{h}`"), "left")
+    else:  # a host's pages are dealt over SALTS tasks, its list goes to each
+        near = bad.select(F.col("h").alias(h), F.col("bad").alias(own), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        kept = docs.join(near, F.expr(f"`{host_col}` <=> `{h}`") & (F.pmod(F.xxhash64(text), F.lit(SALTS)) == F.col(salt)), "left").drop(salt)
     split = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
-    kept = kept.withColumn("__lines", split)
-    stay = F.filter("__lines", lambda s: (F.trim(s) == "") | ~F.array_contains(F.coalesce("__bad", F.array().cast("array<bigint>")), F.xxhash64(s)))
-    kept = kept.withColumn("__stay", stay)
-    return (
-        kept.withColumn(text_col, F.array_join("__stay", "\n"))
-        .withColumn("n_lines", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines") - F.size("__stay")).cast("long"))
-        .drop("__h", "__bad", "__lines", "__stay")
+    listed = F.coalesce(F.col(own), F.array().cast("array<bigint>"))
+    left = F.filter(split, lambda s: (F.trim(s) == "") | ~F.array_contains(listed, F.xxhash64(s)))
+    kept = kept.withColumn(stay, left)
+    n = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
+    return kept.select(
+        *(F.array_join(stay, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")),
+        n.alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(n - F.size(stay)).cast("long").alias("n_dropped"),
     )
 
 

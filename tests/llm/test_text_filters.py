@@ -129,6 +129,18 @@ def test_line_dedup(spark):
     assert linededup.line_dedup(df).columns[:3] == ["doc_id", "text", "source"]
 
 
+def test_line_dedup_with_clashing_names(spark, monkeypatch):
+    names = ["__bad", "__h", "__lines", "__stay", "h", "bad", "host_0", "lines_0", "stay_0", "salt_0", "n_dropped", "l", "pages"]
+    rows = [(i, f"menu\nown {i}", "g", *(f"{n}{i}" for n in names)) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    want = sorted((i, f"own {i}", *(f"{n}{i}" for n in names if n != "n_dropped")) for i in range(12))
+    for most in (10, 0):
+        monkeypatch.setattr(linededup, "BROADCAST_LINES", most)
+        out = linededup.line_dedup(df)
+        assert sorted(tuple(r) for r in out.select("doc_id", "text", *(n for n in names if n != "n_dropped")).collect()) == want
+        assert {(r["n_lines"], r["n_dropped"]) for r in out.collect()} == {(2, 1)}
+
+
 def test_line_dedup_is_native(spark, sf):
     plan = linededup.line_dedup(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

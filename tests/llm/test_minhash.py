@@ -128,7 +128,7 @@ def test_every_pair_at_a_lower_threshold(spark, percent):
 
 
 def test_pipeline_drops_near_copies_from_080(spark):
-    import corpus_pipeline
+    from corpusloom.llm import pipeline as corpus_pipeline
 
     rows, at = near([82, 84, 78], 20)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

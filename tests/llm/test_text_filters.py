@@ -392,7 +392,7 @@ def test_pii_rows(spark):
 
 
 def test_pipeline(spark, sf):
-    import corpus_pipeline
+    from corpusloom.llm import pipeline as corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, kept = docs.columns, docs.count()
@@ -405,3 +405,24 @@ def test_pipeline(spark, sf):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == kept
     assert corpus_pipeline.run(spark, sf).count() == pieces.count()
+
+
+def test_pipeline_on_odd_rows(spark, sf, vocab, monkeypatch):
+    """Null ids, texts and sources, repeated ids, copies, a column of a clashing name, no rows."""
+    from corpusloom.llm import pipeline
+
+    monkeypatch.setattr(pipeline, "tokenizer_path", vocab)
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, long, "en", "s", 1, "a"), (7, long, "en", "s", 1, "b"), (9, long + " end", "en", "s", 1, "c"), (None, "alone", None, None, None, None)]
+    rows += [(11, None, "en", None, None, "d"), (12, "", "en", "s", 0, "e"), (13, "mail a@b.example.com " + long[:150], "en", "s", 9, "f"), (13, "other text of id thirteen", "en", "s", 9, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, component_id string")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "component_id"], name
+    got = sorted((str(r["doc_id"]), str(r["text"])[:9], r["n_chars"]) for r in docs.collect())
+    assert [(i, t) for i, t, _ in got] == [("11", "None"), ("12", ""), ("13", "mail <EMA"), ("7", "w0 w1 w2 "), ("None", "alone")]
+    assert pipeline.STAGES[-1][1](spark, docs, sf).count() == 5
+    none = docs.limit(0)
+    for _, stage in pipeline.STAGES[:-1]:
+        none = stage(spark, none, sf)
+        assert none.count() == 0

@@ -91,26 +91,28 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("x", "l")
 
 
-def decide(candidates: list[tuple], distance: int = DISTANCE, margin: float = MARGIN) -> list[tuple]:
-    """Sequential decisions over (id, fingerprint, quality) in order: the first in the pool
-    within `distance` is canonical, unless the newcomer is better by the margin and takes
-    its place. Returns (duplicate, canonical, distance, fingerprint of the duplicate)."""
-    pool: dict = {}
-    out = []
-    for doc, fp, quality in candidates:
-        near = next(((o, f, q) for o, (f, q) in pool.items() if o != doc and (fp ^ f & ((1 << 64) - 1)).bit_count() <= distance), None) if fp else None
-        if near is None:
-            pool[doc] = (fp, quality)
+def decide(ids: np.ndarray, fps: np.ndarray, quality: np.ndarray, distance: int = DISTANCE, margin: float = MARGIN) -> pd.DataFrame:
+    """(duplicate_id, canonical_id, hamming_distance, fingerprint) of documents in order.
+
+    A document is compared with those that stand so far: the one that came first within
+    `distance` bits is canonical, unless the newcomer is better by the margin and takes its
+    place. One pass over arrays: `standing` tells who stands, a row of bit counts who is near."""
+    standing = np.zeros(len(ids), dtype=bool)
+    beaten, winner = [], []
+    for n, fp in enumerate(fps):
+        if not fp:  # no words: near nothing
+            standing[n] = True
             continue
-        other, other_fp, other_quality = near
-        gap = (fp ^ other_fp & ((1 << 64) - 1)).bit_count()
-        if quality >= other_quality + margin:
-            out.append((other, doc, gap, other_fp))
-            del pool[other]
-            pool[doc] = (fp, quality)
-        else:
-            out.append((doc, other, gap, fp))
-    return out
+        near = np.flatnonzero(standing[:n] & (np.bitwise_count(fps[:n] ^ fp) <= distance) & (fps[:n] != 0) & (ids[:n] != ids[n]))
+        rival = near[0] if len(near) else None
+        wins = rival is None or quality[n] >= quality[rival] + margin
+        standing[n] = wins
+        if rival is not None:
+            beaten.append(rival if wins else n)
+            winner.append(n if wins else rival)
+            standing[rival] &= not wins
+    gone, stays = np.array(beaten, dtype=np.int64), np.array(winner, dtype=np.int64)
+    return pd.DataFrame({"duplicate_id": ids[gone], "canonical_id": ids[stays], "hamming_distance": np.bitwise_count(fps[gone] ^ fps[stays]).astype(np.int32), "fingerprint": fps[gone].view(np.int64)})
 
 
 def dedup_ledger(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "simhash", quality_col: str = "quality", distance: int = DISTANCE) -> DataFrame:
@@ -126,9 +128,7 @@ def dedup_ledger(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "simhash
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        found = decide([(i, f & ((1 << 64) - 1), q) for i, f, q in zip(rows["id"], rows["fp"], rows["q"], strict=True)], distance)
-        found = [(a, b, d, f - (1 << 64) if f >= 1 << 63 else f) for a, b, d, f in found]
-        return pd.DataFrame(found, columns=["duplicate_id", "canonical_id", "hamming_distance", "fingerprint"])
+        return decide(rows["id"].to_numpy(), rows["fp"].to_numpy(np.int64).view(np.uint64), rows["q"].to_numpy())
 
     return grouped.join(many, "component", "left_semi").groupBy("component").applyInPandas(run, "duplicate_id long, canonical_id long, hamming_distance int, fingerprint long")
 

@@ -36,7 +36,8 @@ def test_metrics_by_hand(spark):
 
 def test_near_duplicate_decisions():
     rows = [("a", 0b1111, 0.5), ("b", 0b1110, 0.55), ("c", 0b1100, 0.7), ("d", 0xFF << 40, 0.5), ("e", 0, 0.9)]
-    assert dedup.decide(rows) == [("b", "a", 1, 0b1110), ("a", "c", 2, 0b1111)]
+    ids, fps, quality = (np.array(x, dtype=t) for x, t in zip(zip(*rows, strict=True), (object, np.uint64, float), strict=True))
+    assert [tuple(r) for r in dedup.decide(ids, fps, quality).to_numpy()] == [("b", "a", 1, 0b1110), ("a", "c", 2, 0b1111)]
 
 
 @settings(max_examples=40, deadline=None)
@@ -79,8 +80,10 @@ def test_chunk_diff(spark):
     assert got == {("unchanged", "o1", "L1"), ("modified", "n2", "L2"), ("moved", "n3", "L3"), ("added", "n4", "n4"), ("superseded", "o2", "L2"), ("superseded", "o3", "L3"), ("removed", "o4", "L4")}
 
 
-def test_citations():
-    text, order, flags, ratio = answers.cite("The first claim is here [2]. Another claim stands alone now. See [7] and [2,1].", 3)
+def test_citations(spark):
+    df = spark.createDataFrame([("The first claim is here [2]. Another claim stands alone now. See [7] and [2,1].", 3), (None, 3)], "answer string, n_blocks int")
+    (text, order, flags, ratio), none = (r["cited"] for r in answers.cite_answers(df).collect())
+    assert tuple(none) == ("", [], ["no_citations"], 0.0) and text.endswith("See  and [1][2].")
     assert text.startswith("The first claim is here [1].") and order == [2, 1] and "invalid_marker" in flags and ratio == 0.5
 
 
@@ -168,7 +171,7 @@ def test_bm25_filters_before_the_top_k(spark):
 
 def test_hybrid_search_by_brute_force(spark, sf):
     docs, asked = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
-    d, q = (np.array([answers.hash_vector(t, 384) for t in x["text"]], dtype=np.float64) for x in (docs, asked))
+    d, q = (answers.hash_vectors(x["text"].tolist(), 384).astype(np.float64) for x in (docs, asked))
     unit = lambda v: v / np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-300)
     score = np.round(unit(q) @ unit(d).T, 6) + 0.0
     sparse = {(r["query_id"], r["doc_id"]): r["rank"] for r in retrieval.bm25(spark.createDataFrame(docs[["doc_id", "text"]]), spark.createDataFrame(asked[["item_id", "text"]]).withColumnRenamed("item_id", "query_id"), k=10).collect()}

@@ -2,56 +2,175 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from corpusloom.functions.text import let, search_tokens, words
+from corpusloom.functions.text import let, search_terms, search_tokens
 
 K1, B = 1.5, 0.75
 RRF_K, FUSED, MARGINAL, SOFT_BONUS, SOFT_PENALTY, TYPE_BOOST = 60, 40, 0.9, 1.05, 0.85, 1.05
 MIN_CONFIDENCE, STRONG, MIN_CANDIDATES, FLOOR = 0.35, 0.60, 2, 0.20
-#: Query vectors whose components are sent to every task at once; more go in rounds.
-QUERY_BLOCK = 4096
+#: Query vectors, and distinct terms of queries, that are sent to every task at once; more
+#: go in rounds. QUERY_BLOCK: queries whose weights are one matrix.
+QUERY_VECTORS, QUERY_TERMS, QUERY_BLOCK = 4096, 500_000, 256
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, tokens=None, **more: Column) -> DataFrame:
+    """(id, dl, terms, tfs, more): the distinct terms of each document and how often each occurs.
+
+    Counting happens where a document lies, so nothing is shuffled. `text` may put a prefix
+    before the text; `more` are columns to filter by later. tokens: another tokenizer than
+    search_terms, as a function of a Column."""
+    source = F.col("text") if text is None else text
+    base = docs.select(F.col(id_col).alias("id"), (tokens(source) if tokens else source.cast("string")).alias("toks"), *(c.alias(n) for n, c in more.items()))
+    rest = [f for f in base.schema if f.name not in ("id", "toks")]
+
+    def run(batches):
+        for batch in batches:
+            counts = [Counter(t or ()) if tokens else Counter(search_terms(t)) for t in batch.column("toks").to_pylist()]
+            own = [pa.array([sum(c.values()) for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *own, *(batch.column(f.name) for f in rest)], ["id", "dl", "terms", "tfs", *(f.name for f in rest)])
+
+    schema = StructType([base.schema["id"], StructField("dl", IntegerType()), StructField("terms", ArrayType(StringType())), StructField("tfs", ArrayType(IntegerType())), *rest])
+    return base.mapInArrow(run, schema)
+
+
+def save_index(index: DataFrame, path: str, version: str, id_kind: str = "long") -> None:
+    """Write an index as a version of its own: documents, document frequencies and totals."""
+    index.write.mode("overwrite").parquet(f"{path}/version={version}/documents")
+    written = index.sparkSession.read.parquet(f"{path}/version={version}/documents")
+    _frequencies(written).write.mode("overwrite").parquet(f"{path}/version={version}/frequencies")
+    _totals(written).write.mode("overwrite").parquet(f"{path}/version={version}/totals")
+
+
+def load_index(spark: SparkSession, path: str, version: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, frequencies, totals) of a version; a missing one raises an error."""
+    return tuple(spark.read.parquet(f"{path}/version={version}/{name}") for name in ("documents", "frequencies", "totals"))
+
 
+def _frequencies(index: DataFrame) -> DataFrame:
+    return index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, n_tokens, term, tf): the inverted index, map-side pre-aggregated."""
-    base = docs.select(F.col(id_col).alias("id"), tokens.alias("toks"))
-    each = base.select("id", F.size("toks").alias("n_tokens"), F.explode("toks").alias("term"))
-    return each.groupBy("id", "n_tokens", "term").agg(F.count("*").alias("tf"))
 
+def _totals(index: DataFrame) -> DataFrame:
+    return index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col: str = "query_id", k: int = 5, text_col: str = "text", tokens=words, exact_terms: bool = False, among: Column | None = None) -> DataFrame:
+
+def _statistics(index: DataFrame, terms: set[str], frequencies: DataFrame | None, totals: DataFrame | None) -> tuple[int, float, dict[str, int]]:
+    """(documents, average length, documents of each of the terms): of a saved index, or by one
+    pass over a new one, in which the empty term stands for the document itself."""
+    names = F.broadcast(index.sparkSession.createDataFrame([(t,) for t in sorted(terms | {""})], "term string"))
+    if frequencies is not None and totals is not None:
+        n, avgdl = totals.first()
+        return n, avgdl, {x["term"]: x["df"] for x in frequencies.join(names, "term", "left_semi").collect()}
+    each = index.select(F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"), "dl").join(names, "term", "left_semi")
+    found = {x["term"]: x for x in each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("size")).collect()}
+    own = found.pop("", None)
+    return (own["df"], own["size"] / own["df"], {t: x["df"] for t, x in found.items()}) if own else (0, 0.0, {})
+
+
+def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.ndarray, exact: np.ndarray, qids: list, avgdl: float, k: int):
+    """Documents against all queries: each batch becomes a matrix of its terms that queries
+    have, a block of queries one of their weights; the k best of either kind (with an exact
+    term, without) of each query leave the task."""
+    wanted = pa.array(terms, pa.string())
+    blocks = []
+    for lo in range(0, len(qids), QUERY_BLOCK):
+        mine = (owner >= lo) & (owner < lo + QUERY_BLOCK)
+        names, col = np.unique(term[mine], return_inverse=True)
+        blocks.append((lo, min(QUERY_BLOCK, len(qids) - lo), names, col, owner[mine] - lo, weight[mine], exact[mine]))
+
+    def run(batches):
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * (2 * len(qids))
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                hit = pc.index_in(part.column("terms").flatten(), value_set=wanted)
+                ok = pc.is_valid(hit).to_numpy(zero_copy_only=False)
+                doc = pc.list_parent_indices(part.column("terms")).to_numpy(zero_copy_only=False)[ok]
+                which, tf = hit.drop_null().to_numpy(zero_copy_only=False), part.column("tfs").flatten().to_numpy(zero_copy_only=False)[ok]
+                dl, ids = part.column("dl").to_numpy(zero_copy_only=False), np.array(part.column("id").to_pylist(), dtype=object)
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+                for lo, n, names, col, own, w, e in blocks:
+                    place = np.searchsorted(names, which)
+                    inside = place < len(names)
+                    inside[inside] = names[place[inside]] == which[inside]
+                    m = np.zeros((len(part), len(names)))
+                    m[doc[inside], place[inside]] = share[inside]
+                    weights, marks = np.zeros((len(names), n)), np.zeros((len(names), n))
+                    weights[col, own], marks[col, own] = w, e
+                    score = (m @ weights).T
+                    exact_hit = ((m > 0).astype(np.float64) @ marks).T > 0 if e.any() else np.zeros(score.shape, dtype=bool)
+                    for kind in (0, 1) if e.any() else (0,):
+                        s = np.where((exact_hit == bool(kind)) & (score > 0), score, 0.0)
+                        edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                        rows, cols = np.nonzero((s > 0) & (np.round(s, 6) >= np.round(edge, 6)[:, None]))
+                        cuts = np.searchsorted(rows, np.arange(n + 1))
+                        for j in np.unique(rows).tolist():
+                            c = cols[cuts[j] : cuts[j + 1]]
+                            old_s, old_i = best[2 * (lo + j) + kind]
+                            every_s, every_i = np.concatenate([old_s, s[j, c]]), np.concatenate([old_i, ids[c]])
+                            order = sorted(range(len(every_s)), key=lambda x: (-round(every_s[x], 6), every_i[x]))[:k]
+                            best[2 * (lo + j) + kind] = every_s[order], every_i[order]
+        out = [(j // 2, i, float(s), j % 2 == 1) for j, (ss, ii) in enumerate(best) for s, i in zip(ss, ii, strict=True)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.bool_())], ["n", "id", "s", "hit"])
+
+    return run
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, query_col: str = "query_id", id_col: str = "doc_id", text_col: str = "text", tokens=search_tokens, exact_terms: bool = False, among: Column | None = None, frequencies: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """(query, id, score, rank) of the k best positive scores, ties to the smaller id.
 
-    idf = ln(1 + (N - df + .5) / (df + .5)); repeated query terms count again. Only terms
-    of the queries reach the postings: documents are filtered by a semi join before the
-    shuffle. With exact_terms, a document with an exact term of the query (column
-    exact_terms) gains the query's highest score. With among, only documents where it is true
-    are ranked; the corpus statistics are of all documents."""
-    q = queries.select(F.col(query_col).alias("q"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    base = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    sized = base.select("id", F.size("toks").alias("dl"), "toks")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    each = sized.select("id", "dl", F.explode("toks").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    post = each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    # One row of corpus statistics joins every posting.
-    scored = post.join(df, "term").join(q, "term").join(F.broadcast(stats))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = scored.groupBy("q", "id").agg(F.sum(part).alias("score"))
-    if among is not None:
-        score = score.join(docs.where(among).select(F.col(id_col).alias("id")), "id", "left_semi").select("q", "id", "score")
+    idf = ln(1 + (N - df + .5) / (df + .5)); repeated query terms count again. The queries'
+    terms, counted first and sent out QUERY_TERMS at a time, travel to the documents, whose
+    task keeps the k best of a query, so k rows for a query and task are shuffled. With
+    exact_terms, a document with an exact term of the query (column exact_terms) gains the
+    query's highest score. With `among`, only documents where it is true are ranked; the
+    corpus statistics are of all documents."""
+    asked = queries.select(F.col(query_col).alias("q"), F.explode(tokens(F.col(text_col))).alias("term"), F.lit(0).alias("exact"))
     if exact_terms:
-        want = queries.select(F.col(query_col).alias("q"), F.explode("exact_terms").alias("t")).withColumn("t", F.lower("t"))
-        has = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(search_tokens(F.col(text_col), True))).alias("t")).join(want, "t").select("q", "id").distinct().withColumn("hit", F.lit(1))
-        top = F.max("score").over(Window.partitionBy("q"))
-        score = score.withColumn("top", top).join(has, ["q", "id"], "left").withColumn("score", F.col("score") + F.when(F.col("hit") == 1, F.col("top")).otherwise(0.0))
-    score = score.select("q", "id", F.round("score", 6).alias("score")).where("score > 0")
-    return top_k(score, k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
+        named = queries.select(F.col(query_col).alias("q"), F.explode("exact_terms").alias("term"))
+        asked = asked.union(named.select("q", F.lower("term"), F.lit(1)))
+    asked = asked.groupBy("q", "term").agg(F.sum(1 - F.col("exact")).alias("qtf"), F.max("exact").alias("exact"))
+    kind, id_kind = queries.schema[query_col].dataType, index.schema["id"].dataType.simpleString()
+    rows = index if among is None else index.where(among)
+    every, spark = None, index.sparkSession
+    first = asked.limit(QUERY_TERMS + 1).collect()
+    rounds = 1 if len(first) <= QUERY_TERMS else -(-asked.count() // QUERY_TERMS) + 1
+    for r in range(rounds):
+        given = first if rounds == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).collect()
+        n, avgdl, df = _statistics(index, {x["term"] for x in given}, frequencies, totals)
+        have = [x for x in given if x["term"] in df]
+        qids = sorted({x["q"] for x in have})
+        if not qids:
+            continue
+        place, at = {t: i for i, t in enumerate(df)}, {q: i for i, q in enumerate(qids)}
+        idf = {t: log(1.0 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+        arrays = (np.array([at[x["q"]] for x in have]), np.array([place[x["term"]] for x in have]), np.array([x["qtf"] * idf[x["term"]] for x in have]), np.array([x["exact"] for x in have], dtype=np.float64))
+        found = rows.select("id", "dl", "terms", "tfs").mapInArrow(_ranked(list(df), *arrays, qids, avgdl, k), f"n int, id {id_kind}, s double, hit boolean")
+        numbered = spark.createDataFrame(list(enumerate(qids)), StructType([StructField("n", IntegerType()), StructField("q", kind)]))
+        found = found.join(F.broadcast(numbered), "n").select("q", "id", "s", "hit")
+        every = found if every is None else every.union(found)
+    if every is None:
+        every = spark.createDataFrame([], f"q {kind.simpleString()}, id {id_kind}, s double, hit boolean")
+    top = F.max("s").over(Window.partitionBy("q"))
+    score = every.withColumn("score", F.round(F.col("s") + F.when(F.col("hit"), top).otherwise(0.0), 6)) if exact_terms else every.withColumn("score", F.round("s", 6))
+    return top_k(score.where("score > 0"), k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col: str = "query_id", k: int = 5, text_col: str = "text", tokens=None, exact_terms: bool = False, among: Column | None = None) -> DataFrame:
+    """`search` over an index made for the call; see there."""
+    more = {} if among is None else {"among": among}
+    made = index(docs, id_col, F.col(text_col), tokens, **more)
+    return search(made, queries, k, query_col, id_col, text_col, tokens or search_tokens, exact_terms, None if among is None else F.col("among"))
 
 
 def top_k(scores: DataFrame, k: int, q: str = "q", i: str = "id", score: str = "score") -> DataFrame:
@@ -62,45 +181,52 @@ def top_k(scores: DataFrame, k: int, q: str = "q", i: str = "id", score: str = "
 
 def _dense(ids: np.ndarray, q: np.ndarray, k: int, digits: int, skip_self: bool):
     def run(batches):
-        best: dict[int, list] = {int(i): [] for i in ids}
+        top, name = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            v = np.array(batch.column("vec").to_pylist(), dtype=np.float64)
-            norm = np.sqrt((v**2).sum(axis=1))
-            norm[norm == 0] = 1.0
-            s = np.round((v / norm[:, None]) @ q.T, digits) + 0.0
-            for j, qid in enumerate(ids.tolist()):
-                col = s[:, j]
-                take = np.lexsort((own, -col))[: k + 1]
-                rows = [(-col[t], int(own[t])) for t in take if not (skip_self and own[t] == qid)]
-                best[qid] = sorted(best[qid] + rows)[:k]
-        flat = [(qid, i, -s) for qid, rows in best.items() for s, i in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["q", "id", "score"])
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                own = part.column("id").to_numpy(zero_copy_only=False)
+                v = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+                norm = np.sqrt((v**2).sum(axis=1))
+                norm[norm == 0] = 1.0
+                s = np.round(q @ (v / norm[:, None]).T, digits) + 0.0
+                if skip_self:
+                    s[ids[:, None] == own[None, :]] = -np.inf
+                s, i = np.hstack([top, s]), np.hstack([name, np.broadcast_to(own, s.shape)])
+                take = np.lexsort((i, -s), axis=1)[:, :k]  # ties to the smaller id
+                top, name = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
+        row, col = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(name[row, col]), pa.array(top[row, col])], ["q", "id", "score"])
 
     return run
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 6, skip_self: bool = True) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 6, skip_self: bool = True, among: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top k of each query vector.
 
-    Queries travel to the vectors, never the other way: each task keeps the k best of its
-    own rows, so k rows for a query and task are shuffled. Queries go out in blocks of
-    QUERY_BLOCK, whose size bounds what a task holds."""
-    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
-    n = rows.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    data = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
-    out = None
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        ids = np.array([r["id"] for r in part], dtype=np.int64)
-        q = np.array([r["vec"] for r in part], dtype=np.float64).reshape(len(part), -1)
-        norm = np.sqrt((q**2).sum(axis=1))
-        norm[norm == 0] = 1.0
-        found = data.mapInArrow(_dense(ids, q / norm[:, None], k, digits, skip_self), "q long, id long, score double")
-        out = found if out is None else out.union(found)
+    Vectors that are null, empty or hold null or non-finite components take no part, nor do
+    pairs of unequal length. Queries travel to the vectors, never the other way: each task
+    keeps the k best of its own rows, so k rows for a query and task are shuffled. Queries
+    go out in blocks of QUERY_VECTORS, whose size bounds what a task holds. With `among`,
+    only vectors where it is true are ranked."""
+    usable = F.expr("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+
+    def given(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(usable).withColumn("dim", F.size("vec"))
+
+    rows, data, out = given(queries), given(vectors if among is None else vectors.where(among)), None
+    for dim, n in rows.groupBy("dim").count().collect():  # the lengths that occur
+        blocks = -(-n // QUERY_VECTORS)
+        for b in range(blocks):
+            part = rows.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
+            ids = np.array([r["id"] for r in part], dtype=np.int64)
+            q = np.array([r["vec"] for r in part], dtype=np.float64).reshape(len(part), -1)
+            norm = np.sqrt((q**2).sum(axis=1))
+            norm[norm == 0] = 1.0
+            found = data.where(F.col("dim") == dim).select("id", "vec").mapInArrow(_dense(ids, q / norm[:, None], k, digits, skip_self), "q long, id long, score double")
+            out = found if out is None else out.union(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "q long, id long, score double")
     return top_k(out, k).select(F.col("q").alias("query_id"), F.col("id").alias(id_col), "score", "rank")
 
 

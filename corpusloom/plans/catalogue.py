@@ -370,11 +370,24 @@ def jaccard_pairs(spark, d):
 
 # -- retrieval ---------------------------------------------------------------
 
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+
+
+def _tokens(source: str, key: str, keep: str = "len(r) <= 3") -> str:
+    """(key, term) rows by the search tokenizer: identifiers whole and in parts. A mark is put
+    at each hump, as DuckDB's patterns can't look around."""
+    return f"""SELECT {key}, unnest(CASE WHEN m <> t OR regexp_matches(t, '[_./\\-]') THEN list_concat([lower(t)], list_transform(list_filter(string_split_regex(m, '[ _./\\-]+'), lambda p: length(p) > 1), lambda p: lower(p)))
+  WHEN NOT ({keep}) AND lower(t) IN ({_STOP}) THEN []::VARCHAR[] ELSE [lower(t)] END) AS term
+  FROM (SELECT *, regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g') AS m
+    FROM (SELECT {key}, r, unnest(r) AS t FROM (SELECT {key}, regexp_extract_all(text, '{text.SEARCH_WORD}') AS r FROM {source})))"""
+
+
 _BM25 = f"""
-qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
-dt AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
-pt AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM ({_tokens("benchmark", "item_id")}) GROUP BY ALL),
+tk AS ({_tokens("documents", "doc_id")}),
+sz AS (SELECT doc_id, count(term) AS dl FROM documents LEFT JOIN tk USING (doc_id) GROUP BY doc_id),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sz),
+pt AS (SELECT doc_id, dl, term, count(*) AS tf FROM tk JOIN sz USING (doc_id) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
 sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM pt JOIN dfs USING (term) JOIN qt USING (term), st GROUP BY ALL),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0)

@@ -95,3 +95,10 @@ def test_pii_mentions_hide_values(spark):
 @pytest.mark.parametrize(("t", "want"), [("the house of the king and the queen", "en"), ("der Hund und die Katze sind nicht auf dem Dach", "de"), ("short", "und"), ("zzz yyy xxx www vvv uuu ttt", "und")])
 def test_language(spark, t, want):
     assert one(spark, text.language(F.col("t")), t=t) == want
+
+
+def test_search_terms_are_search_tokens(spark):
+    texts = ["the HTTPServer.getURL of my_file-name.py is on", "a b c", "the cat", None, "", "X1aB2 v1.2.3/path É über --x-- 'quoted' camelCase THE end", "one two three four", "_a_ a_ __"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.search_tokens(F.col("t")).alias("a"), text.search_tokens(F.col("t"), True).alias("b")).collect()
+    for r in df:
+        assert (r["a"] or []) == text.search_terms(r["t"]) and (r["b"] or []) == text.search_terms(r["t"], True)

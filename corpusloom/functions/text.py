@@ -146,6 +146,12 @@ def search_tokens(text: Column, keep_stopwords: bool | None = None) -> Column:
     return let(raw, all_of)
 
 
+def content_terms(text: Column) -> Column:
+    """Search tokens without stop words, those that are parts of identifiers too."""
+    stop = F.array(*map(F.lit, STOPWORDS))
+    return F.filter(search_tokens(text, False), lambda t: ~F.array_contains(stop, t))
+
+
 _SEARCH_WORD, _APART, _STOP = re.compile(SEARCH_WORD), re.compile(f"{_JOINT}|{_HUMP}"), frozenset(STOPWORDS)
 
 

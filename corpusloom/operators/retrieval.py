@@ -240,6 +240,22 @@ def rrf(dense_hits: DataFrame, sparse_hits: DataFrame, sparse_weight: Column | f
     return top_k(both.withColumn("rrf_score", F.round(score, 8)), keep, q, i, "rrf_score")
 
 
+def legs(sources: dict, schema: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """(hits of each leg, flags): a leg that fails is empty and flagged <leg>_unavailable; if
+    all fail, the last error is raised. A leg's plan is tried by one row, as plans are lazy."""
+    out, flags, error, spark = {}, [], None, SparkSession.active()
+    for name, make in sources.items():
+        try:
+            out[name] = make()
+            out[name].limit(1).count()
+        except Exception as e:  # whatever a store or a plan may raise
+            out[name], error = spark.createDataFrame([], schema), e
+            flags.append(f"{name}_unavailable")
+    if error is not None and len(flags) == len(sources):
+        raise error
+    return out, flags
+
+
 def adjust(fused: DataFrame, soft_active: bool = False, boost_types: Column | None = None, q: str = "query_id", i: str = "doc_id") -> DataFrame:
     """Scores after the marginal penalty, the soft-match bonus or penalty and the favoured
     kinds; needs quality_flags, soft_match and chunk_type. Ranks are counted anew."""

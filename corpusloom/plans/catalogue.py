@@ -389,7 +389,8 @@ sz AS (SELECT doc_id, count(term) AS dl FROM documents LEFT JOIN tk USING (doc_i
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sz),
 pt AS (SELECT doc_id, dl, term, count(*) AS tf FROM tk JOIN sz USING (doc_id) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
-sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM pt JOIN dfs USING (term) JOIN qt USING (term), st GROUP BY ALL),
+rw AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM pt JOIN dfs USING (term) JOIN qt USING (term), st GROUP BY query_id, doc_id),
+sc AS (SELECT query_id, doc_id, round(raw, 6) AS score FROM rw),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0)
 """
 
@@ -403,12 +404,23 @@ def bm25_topk(spark, d):
     return retrieval.bm25(table(spark, d, "documents"), _questions(spark, d), k=5)
 
 
-@query()
+@query(f"""WITH {_BM25}, ex AS (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(text, '{text.SEARCH_WORD}'), lambda t: length(t) >= 10)) AS t FROM benchmark),
+ht AS (SELECT DISTINCT query_id, doc_id FROM ex JOIN tk ON term = lower(t)), tp AS (SELECT query_id, max(raw) AS top FROM rw GROUP BY 1),
+bo AS (SELECT query_id, doc_id, round(raw + CASE WHEN ht.doc_id IS NULL THEN 0 ELSE top END, 6) AS score FROM rw JOIN tp USING (query_id) LEFT JOIN ht USING (query_id, doc_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM bo WHERE score > 0) WHERE rank <= 5""")
 def bm25_exact_boost(spark, d):
-    asked = _questions(spark, d).withColumn("exact_terms", F.slice(text.words(F.col("text")), 1, 1))
+    """The long terms of a question count as its exact terms."""
+    found = F.regexp_extract_all(F.col("text"), F.lit(f"({text.SEARCH_WORD})"), F.lit(1))
+    asked = _questions(spark, d).withColumn("exact_terms", F.filter(found, lambda t: F.length(t) >= 10))
     return retrieval.bm25(table(spark, d, "documents"), asked, k=5, exact_terms=True)
 
 
+@query(f"WITH {_BM25.replace(' WHERE term IN (SELECT term FROM qt)', '')} SELECT doc_id, dl::INT AS dl, count(term)::INT AS n_terms, max(tf)::INT AS max_tf FROM (SELECT doc_id, dl, term, tf FROM sz LEFT JOIN pt USING (doc_id, dl)) GROUP BY ALL")
+def bm25_index(spark, d):
+    made = retrieval.index(table(spark, d, "documents"))
+    return made.select(F.col("id").alias("doc_id"), "dl", F.size("terms").alias("n_terms"), F.array_max("tfs").alias("max_tf"))
+
+
 _DENSE = """
 qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 ds AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) + 0.0 AS score FROM qv, embeddings WHERE vec_id <> query_id),
@@ -422,29 +434,54 @@ def dense_topk(spark, d):
     return retrieval.dense(v, v.where("vec_id % 100 = 0"), k=10)
 
 
-def _hybrid(spark, d):
-    """Sparse hits of the questions and, as the dense leg, hits over hashed vectors' stand-in:
-    documents ranked by length difference, which SQL can express too."""
-    docs, q = table(spark, d, "documents"), _questions(spark, d)
-    sparse = retrieval.bm25(docs, q, k=20)
-    dense = retrieval.top_k(sparse.join(docs.select("doc_id", "n_chars"), "doc_id").withColumn("s", 1.0 / (1 + F.col("n_chars"))), 10, "query_id", "doc_id", "s").select("query_id", "doc_id", "rank")
-    return dense, sparse.where("rank <= 10")
-
-
-_HYBRID = _BM25 + """,
-b20 AS (SELECT * FROM bm WHERE rank <= 20),
-de AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY 1.0 / (1 + n_chars) DESC, doc_id) AS rank FROM b20 JOIN documents USING (doc_id)) WHERE rank <= 10),
-sp AS (SELECT query_id, doc_id, rank FROM b20 WHERE rank <= 10),
-fu AS (SELECT coalesce(de.query_id, sp.query_id) AS query_id, coalesce(de.doc_id, sp.doc_id) AS doc_id, round(coalesce(1.0 / (60 + de.rank), 0) + coalesce(1.3 / (60 + sp.rank), 0), 8) AS rrf_score
+def _hybrid(spark, d, keep=None):
+    """Both legs, each under the filter: BM25 over the documents, and cosine over the vectors,
+    which have the ids of their documents; a question asks with the vector of its own id."""
+    docs, q, vectors = table(spark, d, "documents"), _questions(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    sparse = retrieval.bm25(docs, q, k=10, among=keep)
+    kept = vectors if keep is None else vectors.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
+    asks = vectors.join(q.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    return retrieval.dense(kept, asks, k=10, id_col="doc_id", skip_self=False).select("query_id", "doc_id", "rank"), sparse
+
+
+def _legs(keep: str = "true") -> str:
+    """fu: the fused hits of both legs over the documents for which `keep` holds."""
+    return f"""
+ok AS (SELECT doc_id FROM documents WHERE {keep}),
+sp AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm JOIN ok USING (doc_id)) WHERE rank <= 10),
+ve AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+de AS (SELECT query_id, doc_id, rank FROM (SELECT q.doc_id AS query_id, ve.doc_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_cosine_similarity(q.v, ve.v), 6) + 0.0 DESC, ve.doc_id) AS rank FROM ve q, ve JOIN ok USING (doc_id) WHERE q.doc_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 10),
+fu AS (SELECT coalesce(de.query_id, sp.query_id) AS query_id, coalesce(de.doc_id, sp.doc_id) AS doc_id, de.rank::INT AS dense_rank, sp.rank::INT AS sparse_rank, round(coalesce(1.0 / (60 + de.rank), 0) + coalesce(1.3 / (60 + sp.rank), 0), 8) AS rrf_score
   FROM de FULL JOIN sp ON de.query_id = sp.query_id AND de.doc_id = sp.doc_id)
 """
 
 
+_HYBRID = f"{_BM25}, {_legs().replace('FROM ve q, ve JOIN ok USING (doc_id)', 'FROM ve q, ve').replace('FROM bm JOIN ok USING (doc_id)', 'FROM bm')}"
+
+
 @query(f"WITH {_HYBRID} SELECT query_id, doc_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id)::INT AS rank FROM fu")
 def rrf_hybrid(spark, d):
     return retrieval.rrf(*_hybrid(spark, d), sparse_weight=1.3).select("query_id", "doc_id", "rrf_score", "rank")
 
 
+@query(f"WITH {_BM25}, {_legs("source IN ('src1', 'src2', 'src3', 'src4', 'src5')")} SELECT query_id, doc_id, coalesce(dense_rank, 0)::INT AS dense_rank, coalesce(sparse_rank, 0)::INT AS sparse_rank, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id)::INT AS rank FROM fu")
+def acl_hybrid(spark, d):
+    """Hybrid search over what a caller may see: the predicate holds inside both legs."""
+    fused = retrieval.rrf(*_hybrid(spark, d, F.col("source").isin("src1", "src2", "src3", "src4", "src5")), sparse_weight=1.3)
+    return fused.fillna(0, ["dense_rank", "sparse_rank"])
+
+
+@query(f"WITH {_HYBRID} SELECT sp.query_id, sp.doc_id, sp.rank::INT AS rank, round(1.3 / (60 + sp.rank), 8) AS rrf_score, ['dense_unavailable'] AS degraded FROM sp")
+def degraded_search(spark, d):
+    """What is left of a hybrid search whose vector leg fails: the sparse hits, and a flag."""
+    def broken():
+        raise OSError("no vectors")
+
+    legs, flags = retrieval.legs({"dense": broken, "sparse": lambda: _hybrid(spark, d)[1]}, "query_id long, doc_id long, rank int")
+    fused = retrieval.rrf(legs["dense"], legs["sparse"], sparse_weight=1.3)
+    return fused.select("query_id", "doc_id", "rank", "rrf_score", F.array(*map(F.lit, flags)).alias("degraded"))
+
+
 @query(f"""WITH {_HYBRID}, ad AS (SELECT query_id, doc_id, round(rrf_score * (CASE WHEN n_chars < 300 THEN 0.9 ELSE 1 END) * (CASE WHEN lang = 'en' THEN 1.05 ELSE 1 END) * (CASE WHEN lang = 'en' THEN 1 ELSE 0.85 END) * (CASE WHEN source IN ('src1', 'src2') THEN 1.05 ELSE 1 END), 8) AS rrf_score FROM fu JOIN documents USING (doc_id))
 SELECT query_id, doc_id, rrf_score FROM ad""")
 def type_boost(spark, d):
@@ -453,25 +490,13 @@ def type_boost(spark, d):
     return retrieval.adjust(fused, True, F.array(F.lit("src1"), F.lit("src2"))).select("query_id", "doc_id", "rrf_score")
 
 
-@query(f"""WITH {_BM25}, al AS (SELECT * FROM bm WHERE rank <= 20), fi AS (SELECT query_id, doc_id, rank FROM al JOIN documents USING (doc_id) WHERE lang = 'en' AND rank <= 8),
-n AS (SELECT query_id, count(*) AS n FROM fi GROUP BY 1),
-ex AS (SELECT al.query_id, al.doc_id, al.rank FROM al LEFT JOIN n USING (query_id) WHERE coalesce(n.n, 0) < 8 AND NOT EXISTS (SELECT 1 FROM fi WHERE fi.query_id = al.query_id AND fi.doc_id = al.doc_id)),
-un AS (SELECT *, true AS soft_match FROM fi UNION ALL SELECT *, false FROM ex)
-SELECT query_id, doc_id, soft_match, row_number() OVER (PARTITION BY query_id ORDER BY soft_match DESC, rank, doc_id)::INT AS rank FROM un""")
-def soft_filter_relax(spark, d):
-    docs = table(spark, d, "documents")
-    hits = retrieval.bm25(docs, _questions(spark, d), k=20).select("query_id", "doc_id", "rank")
-    filtered = hits.where("rank <= 8").join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    return retrieval.soft_relax(filtered.select(*hits.columns), hits, 8).select("query_id", "doc_id", "soft_match", "rank")
-
-
 @query(f"""WITH {_BM25}, fi AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 8),
 n AS (SELECT query_id, count(*) AS n FROM fi GROUP BY 1),
 ex AS (SELECT al.query_id, al.doc_id, al.rank FROM bm al LEFT JOIN n USING (query_id) WHERE al.rank <= 20 AND coalesce(n.n, 0) < 8 AND NOT EXISTS (SELECT 1 FROM fi WHERE fi.query_id = al.query_id AND fi.doc_id = al.doc_id)),
 un AS (SELECT *, true AS soft_match FROM fi UNION ALL SELECT *, false FROM ex)
 SELECT query_id, doc_id, soft_match, row_number() OVER (PARTITION BY query_id ORDER BY soft_match DESC, rank, doc_id)::INT AS rank FROM un""")
-def soft_filter_search(spark, d):
-    """soft_filter_relax with a filtered pass of its own: the best documents under the filter."""
+def soft_filter_relax(spark, d):
+    """The best documents under the filter, filled up from the unfiltered pass where few."""
     docs, q = table(spark, d, "documents"), _questions(spark, d)
     hits = retrieval.bm25(docs, q, k=20).select("query_id", "doc_id", "rank")
     filtered = retrieval.bm25(docs, q, k=8, among=F.col("lang") == "en").select(*hits.columns)
@@ -503,27 +528,28 @@ def hybrid_type_boost(spark, d):
 def _reranked(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
     hits = retrieval.bm25(docs, q, k=10)
-    rows = hits.join(docs.select("doc_id", text.words(F.col("text")).alias("passage_terms")), "doc_id").join(q.select("query_id", text.words(F.col("text")).alias("query_terms")), "query_id")
+    rows = hits.join(docs.select("doc_id", text.content_terms(F.col("text")).alias("passage_terms")), "doc_id").join(q.select("query_id", text.content_terms(F.col("text")).alias("query_terms")), "query_id")
     return retrieval.rerank(rows, 8)
 
 
 _RERANK = _BM25 + f""",
-qd AS (SELECT item_id AS query_id, list_distinct({_WORDS}) AS qw FROM benchmark),
-ca AS (SELECT bm.query_id, bm.doc_id, bm.rank, qd.qw, dt.w, list_distinct(dt.w) AS bag FROM bm JOIN qd USING (query_id) JOIN dt USING (doc_id) WHERE bm.rank <= 10),
+qw AS (SELECT item_id AS query_id, list_distinct(list(term)) AS qw FROM ({_tokens("benchmark", "item_id", "false")}) WHERE term NOT IN ({_STOP}) GROUP BY 1),
+dw AS (SELECT doc_id, list(term) AS w FROM ({_tokens("(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM bm WHERE rank <= 10))", "doc_id", "false")}) WHERE term NOT IN ({_STOP}) GROUP BY 1),
+ca AS (SELECT bm.query_id, bm.doc_id, bm.rank, coalesce(qw, []) AS qw, coalesce(w, []) AS w, list_distinct(coalesce(w, [])) AS bag FROM bm LEFT JOIN qw USING (query_id) LEFT JOIN dw USING (doc_id) WHERE bm.rank <= 10),
 ma AS (SELECT *, list_filter(qw, lambda t: list_contains(bag, t) OR (length(t) >= 5 AND len(list_filter(bag, lambda x: length(x) >= 5 AND (starts_with(x, t) OR starts_with(t, x)))) > 0)) AS m FROM ca),
-re AS (SELECT query_id, doc_id, rank, CASE WHEN rank <= 8 THEN round(least(1.0, 0.75 * len(m) / len(qw) + 0.25 * least(1.0, 10.0 * len(list_filter(w, lambda x: list_contains(m, x) OR (length(x) >= 5 AND len(list_filter(m, lambda t: length(t) >= 5 AND (starts_with(x, t) OR starts_with(t, x)))) > 0))) / len(w))), 4) END AS rerank_score FROM ma)
+re AS (SELECT query_id, doc_id, rank, CASE WHEN rank <= 8 AND (len(qw) = 0 OR len(w) = 0) THEN 0.0 WHEN rank <= 8 THEN round(least(1.0, 0.75 * len(m) / len(qw) + 0.25 * least(1.0, 10.0 * len(list_filter(w, lambda x: list_contains(m, x) OR (length(x) >= 5 AND len(list_filter(m, lambda t: length(t) >= 5 AND (starts_with(x, t) OR starts_with(t, x)))) > 0))) / len(w))), 4) END AS rerank_score FROM ma)
 """
 
 
-@query(f"WITH {_RERANK} SELECT query_id, doc_id, round(rerank_score, 3) AS rerank_score FROM re")
+@query(f"WITH {_RERANK} SELECT query_id, doc_id, rerank_score FROM re")
 def lexical_rerank(spark, d):
-    return _reranked(spark, d).select("query_id", "doc_id", F.round("rerank_score", 3).alias("rerank_score"))
+    return _reranked(spark, d).select("query_id", "doc_id", "rerank_score")
 
 
 @query(f"""WITH {_RERANK}, g AS (SELECT query_id, max(rerank_score) AS c, count(*) FILTER (rerank_score >= 0.2) AS strong FROM re GROUP BY 1)
-SELECT query_id, round(c, 3) AS confidence, strong, CASE WHEN c < 0.35 THEN 'low_confidence' WHEN c < 0.6 AND strong < 2 THEN 'insufficient_candidates' END AS reason FROM g""")
+SELECT query_id, c AS confidence, strong, CASE WHEN c < 0.35 THEN 'low_confidence' WHEN c < 0.6 AND strong < 2 THEN 'insufficient_candidates' END AS reason FROM g""")
 def confidence_gate(spark, d):
-    return retrieval.confidence_gate(_reranked(spark, d)).select("query_id", F.round("confidence", 3).alias("confidence"), "strong", "reason")
+    return retrieval.confidence_gate(_reranked(spark, d)).select("query_id", "confidence", "strong", "reason")
 
 
 def _context(spark, d):

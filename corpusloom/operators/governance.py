@@ -88,7 +88,7 @@ def erase(messages: DataFrame, principals: DataFrame, key: str) -> DataFrame:
 
 def with_permissions(units: DataFrame, permissions: DataFrame, key: str = "document_id", time: str = "changed_at") -> DataFrame:
     """Units with the level and groups of the newest permission row, if there is one."""
-    w = Window.partitionBy(key).orderBy(F.desc(time))
+    w = Window.partitionBy(key).orderBy(F.desc(time), F.desc("security_level"), F.desc(F.to_json(F.struct("allowed_groups"))))
     new = permissions.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, F.col("security_level").alias("_l"), F.col("allowed_groups").alias("_g"), F.lit(True).alias("_has"))
     out = units.join(new, key, "left")
     return out.withColumns({"security_level": F.coalesce("_l", "security_level"), "allowed_groups": F.when(F.col("_has"), F.col("_g")).otherwise(F.col("allowed_groups"))}).drop("_l", "_g", "_has")

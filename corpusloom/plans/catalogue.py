@@ -270,9 +270,16 @@ def chunk_quality(spark, d):
     return table(spark, d, "documents").select("doc_id", score.alias("score"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+_HUMPS = "regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+
+
+@query(f"""SELECT doc_id, array_to_string(flatten(list_transform(r, lambda t: CASE WHEN {_HUMPS} <> t OR regexp_matches(t, '[_./\\-]')
+  THEN list_concat([lower(t)], list_transform(list_filter(string_split_regex({_HUMPS}, '[ _./\\-]+'), lambda p: length(p) > 1), lambda p: lower(p)))
+  WHEN len(r) > 3 AND lower(t) IN ({_STOP}) THEN []::VARCHAR[] ELSE [lower(t)] END)), ' ') AS tokens
+FROM (SELECT doc_id, regexp_extract_all(text, '{text.SEARCH_WORD}') AS r FROM documents)""")
 def bm25_tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.search_tokens(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.search_tokens(F.col("text")), " ").alias("tokens"))
 
 
 _SECRET = "(" + " OR ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns.SECRETS.values()) + ")"
@@ -364,15 +371,13 @@ def jaccard_pairs(spark, d):
 
     b = grams(table(spark, d, "benchmark"), "item_id").withColumnRenamed("n", "nb")
     docs = grams(table(spark, d, "documents"), "doc_id").withColumnRenamed("n", "nd")
-    p = docs.join(b, "g").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("c"))
+    few = b.limit(1_000_001).count() <= 1_000_000  # the items' trigrams go to the documents then
+    p = docs.join(F.broadcast(b) if few else b, "g").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count("*").alias("c"))
     return p.where(F.col("c") / F.col("nb") >= 0.5).select("item_id", "doc_id", F.round(F.col("c") / (F.col("nb") + F.col("nd") - F.col("c")), 6).alias("jaccard"), F.round(F.col("c") / F.col("nb"), 6).alias("contained"))
 
 
 # -- retrieval ---------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
-
-
 def _tokens(source: str, key: str, keep: str = "len(r) <= 3") -> str:
     """(key, term) rows by the search tokenizer: identifiers whole and in parts. A mark is put
     at each hump, as DuckDB's patterns can't look around."""
@@ -674,19 +679,19 @@ n AS (SELECT doc_id, (doc_id // 4)::VARCHAR AS document_id, CASE WHEN doc_id % 1
 k AS (SELECT n.*, o.s AS os, o.document_id IS NOT NULL AS keyed FROM n LEFT JOIN o ON n.document_id = o.document_id AND n.chunk_key = o.chunk_key),
 fr AS (SELECT *, row_number() OVER (PARTITION BY document_id, s ORDER BY chunk_key) AS i FROM k WHERE NOT keyed),
 fo AS (SELECT *, row_number() OVER (PARTITION BY document_id, s ORDER BY chunk_key) AS i FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.document_id = o.document_id AND n.chunk_key = o.chunk_key)),
-mo AS (SELECT fr.document_id, fr.chunk_key, CASE WHEN fo.s IS NULL THEN 'added' ELSE 'moved' END AS status, fo.doc_id AS claims FROM fr LEFT JOIN fo ON fr.document_id = fo.document_id AND fr.s = fo.s AND fr.i = fo.i),
-g AS (SELECT document_id, chunk_key, CASE WHEN s = os THEN 'unchanged' ELSE 'modified' END AS status FROM k WHERE keyed
-  UNION ALL SELECT document_id, chunk_key, status FROM mo
-  UNION ALL SELECT document_id, chunk_key, 'superseded' FROM o WHERE EXISTS (SELECT 1 FROM k WHERE keyed AND k.document_id = o.document_id AND k.chunk_key = o.chunk_key AND k.s <> o.s)
-  UNION ALL SELECT document_id, chunk_key, CASE WHEN doc_id IN (SELECT claims FROM mo WHERE claims IS NOT NULL) THEN 'superseded' ELSE 'removed' END FROM fo)
-SELECT status, count(*) AS n FROM g GROUP BY status""")
+mo AS (SELECT fr.document_id, fr.chunk_key, CASE WHEN fo.s IS NULL THEN 'added' ELSE 'moved' END AS status, fo.doc_id AS claims, fr.s, fo.document_id || ':' || fo.chunk_key || ':' || fo.s AS lineage FROM fr LEFT JOIN fo ON fr.document_id = fo.document_id AND fr.s = fo.s AND fr.i = fo.i),
+g AS (SELECT document_id, chunk_key, CASE WHEN s = os THEN 'unchanged' ELSE 'modified' END AS status, document_id || ':' || chunk_key || ':' || s AS chunk, document_id || ':' || chunk_key || ':' || os AS lineage FROM k WHERE keyed
+  UNION ALL SELECT document_id, chunk_key, status, document_id || ':' || chunk_key || ':' || s, coalesce(lineage, document_id || ':' || chunk_key || ':' || s) FROM mo
+  UNION ALL SELECT document_id, chunk_key, 'superseded', document_id || ':' || chunk_key || ':' || s, document_id || ':' || chunk_key || ':' || s FROM o WHERE EXISTS (SELECT 1 FROM k WHERE keyed AND k.document_id = o.document_id AND k.chunk_key = o.chunk_key AND k.s <> o.s)
+  UNION ALL SELECT document_id, chunk_key, CASE WHEN doc_id IN (SELECT claims FROM mo WHERE claims IS NOT NULL) THEN 'superseded' ELSE 'removed' END, document_id || ':' || chunk_key || ':' || s, document_id || ':' || chunk_key || ':' || s FROM fo)
+SELECT document_id, chunk_key, status, chunk, lineage FROM g""")
 def chunk_diff(spark, d):
     base = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).cast("string").alias("document_id"), (F.col("doc_id") % 4).cast("string").alias("k"), "text")
-    ident = lambda df: df.withColumn("chunk_id", ids.chunk_id(F.col("document_id"), F.col("chunk_key"), F.col("chunk_checksum"))).withColumn("lineage_id", F.col("chunk_id"))
+    ident = lambda df: df.withColumn("chunk_id", F.concat("document_id", F.lit(":"), "chunk_key", F.lit(":"), "chunk_checksum")).withColumn("lineage_id", F.col("chunk_id"))
     old = ident(base.where("doc_id % 9 <> 0").withColumn("chunk_key", F.concat(F.lit("k"), "k")).withColumn("chunk_checksum", F.sha2("text", 256)))
     edited = F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
     new = ident(base.where("doc_id % 8 <> 0").withColumn("chunk_key", F.concat(F.when(F.col("doc_id") % 10 == 1, "m").otherwise("k"), "k")).withColumn("chunk_checksum", F.sha2(edited, 256)))
-    return chunking.chunk_diff(new, old).groupBy("status").agg(F.count("*").alias("n"))
+    return chunking.chunk_diff(new, old).select("document_id", "chunk_key", "status", F.col("chunk_id").alias("chunk"), F.col("lineage_id").alias("lineage"))
 
 
 # -- pages and identities ----------------------------------------------------
@@ -711,10 +716,14 @@ def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", ids.canonical_uri(F.col("url")).alias("uri"))
 
 
-_UUID = f"substr(sha1_, 1, 8) || '-' || substr(sha1_, 9, 4) || '-5' || substr(sha1_, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(sha1_, 17, 2))::INT & 63) | 128)) || substr(sha1_, 19, 2) || '-' || substr(sha1_, 21, 12)"
+def _uuid5(namespace, name: str) -> str:
+    h = f"sha1('{''.join(f'{chr(92)}x{x:02X}' for x in namespace.bytes)}'::BLOB || encode({name}))"
+    return f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))"
 
 
-@query()
+@query(f"""WITH u AS (SELECT page_id, html, CASE WHEN regexp_matches({_URI}, '^[a-z]+://[^/]*$') THEN {_URI} || '/' ELSE {_URI} END AS uri FROM pages),
+d AS (SELECT page_id, html, {_uuid5(ids.NS_DOCUMENT, "uri")} AS document_id FROM u)
+SELECT page_id, document_id, {_uuid5(ids.NS_DOCUMENT, "document_id || ':' || sha256(html) || ':1'")} AS version_id FROM d""")
 def document_ids(spark, d):
     p = table(spark, d, "pages")
     doc = ids.document_id(F.col("url"))

@@ -87,7 +87,7 @@ def retrieval_units(chunks: DataFrame, documents: DataFrame, units: DataFrame, s
 
 def tombstones(history: DataFrame, gone: DataFrame, key: str, time: str, now: Column) -> DataFrame:
     """A deletion row for each key of `gone` that is alive: its latest row, marked deleted."""
-    live = latest(history, key, F.desc(time)).where("not is_deleted")
+    live = latest(history, key, F.desc(time), F.xxhash64(*history.columns)).where("not is_deleted")  # of equal times any, but always the same
     flags = {"is_deleted": F.lit(True), time: now} | ({"is_current": F.lit(False)} if "is_current" in history.columns else {})
     return live.join(gone.select(key).distinct(), key, "left_semi").withColumns(flags).select(*history.columns)
 

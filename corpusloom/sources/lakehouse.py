@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,34 @@ class Lakehouse:
 
     def write(self, name: str, df: DataFrame, run_id: str = "run", mode: str = "append") -> None:
         """Enforce the schema and append, clustered by partition and sorted within files, so
-        min/max statistics are tight. An empty table writes nothing."""
+        min/max statistics are tight. A large partition is dealt over several tasks by its
+        sort columns. Files are written aside and then moved in under the run's name, so a run
+        that dies leaves no half of itself among the data. An empty table writes nothing."""
         d = DATASETS[name]
+        keys = [*d.partition_by, *d.sort_by]
         df = d.enforce(df)
-        if df.isEmpty():
-            return
-        if d.partition_by:
-            df = df.repartition(*d.partition_by)
-        df = df.sortWithinPartitions(*d.partition_by, *d.sort_by)
-        writer = df.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3")
-        writer.partitionBy(*d.partition_by).parquet(self.path(name)) if d.partition_by else writer.parquet(self.path(name))
+        df = (df.repartitionByRange(*keys) if d.partition_by else df).sortWithinPartitions(*keys) if keys else df
+        token = run_token(run_id)
+        aside = f"{self.path(name)}/_writing-{token}-{uuid.uuid4().hex}"
+        writer = df.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3")
+        writer.partitionBy(*d.partition_by).parquet(aside) if d.partition_by else writer.parquet(aside)
+        fs, top = self._fs(aside)
+        if mode == "overwrite" and self.exists(name):
+            for kept in fs.listStatus(self._fs(self.path(name))[1]):
+                if not kept.getPath().getName().startswith("_writing-"):
+                    fs.delete(kept.getPath(), True)
+        found, n = fs.listFiles(top, True), 0
+        while found.hasNext():
+            file = found.next()
+            if not file.getPath().getName().endswith(".parquet") or not file.getLen():
+                continue
+            inside = file.getPath().getParent().toString().split(top.getName(), 1)[1].strip("/")
+            _, to = self._fs("/".join(x for x in (self.path(name), inside, f"{token}-{n:05d}-{uuid.uuid4().hex[:8]}.parquet") if x))
+            fs.mkdirs(to.getParent())
+            if not fs.rename(file.getPath(), to):
+                raise OSError(f"{name}: {file.getPath()} was not moved to {to}")
+            n += 1
+        fs.delete(top, True)
 
     def register(self, names: list[str] | None = None) -> None:
         """A view for each dataset that has files: layer/dataset becomes layer_dataset."""
@@ -122,22 +141,31 @@ class Lakehouse:
         return compaction_plan(self.files(name).withColumn("partition", F.regexp_extract("path", rf"{re.escape(name)}/(.*)/[^/]*$", 1)))
 
     def compact(self, name: str, partition: str) -> int:
-        """Rewrite one partition as sorted files of good size; the old files go only after
-        the new ones are counted. Returns the rows."""
+        """Rewrite one partition as sorted files of good size; returns the rows. The old folder
+        is renamed aside, the new one renamed in, and only then the old one deleted; whatever
+        dies between, the next call finds one of them whole and goes on from there."""
         d: Dataset = DATASETS[name]
+        mark = hashlib.blake2b(partition.encode(), digest_size=6).hexdigest()
         fs, where = self._fs(f"{self.path(name)}/{partition}")
-        old = self.spark.read.parquet(f"{self.path(name)}/{partition}")
-        size = fs.getContentSummary(where).getLength()
-        rows = old.count()
-        fresh = f"{self.path(name)}/_compact-{hashlib.blake2b(partition.encode(), digest_size=6).hexdigest()}"
+        (_, fresh), (_, aside) = (self._fs(f"{self.path(name)}/_{x}-{mark}") for x in ("compact", "old"))
+
+        def move(a, b) -> None:
+            if not fs.rename(a, b):
+                raise OSError(f"{name}: {a} was not renamed to {b}")
+
+        if fs.exists(aside) and not fs.exists(where):  # a former call died between the renames
+            move(aside, where)
+        fs.delete(aside, True)
+        old = self.spark.read.parquet(where.toString())
+        size, rows = fs.getContentSummary(where).getLength(), old.count()
         sort = [c for c in d.sort_by if c in old.columns]
         parts = max(1, round(size / (4 * COMPACT_BYTES)))
-        (old.repartitionByRange(parts, *sort) if sort else old.repartition(parts)).sortWithinPartitions(*sort).write.mode("overwrite").option("compression", "zstd").parquet(fresh)
-        if self.spark.read.parquet(fresh).count() != rows:
+        (old.repartitionByRange(parts, *sort) if sort else old.repartition(parts)).sortWithinPartitions(*sort).write.mode("overwrite").option("compression", "zstd").parquet(fresh.toString())
+        if self.spark.read.parquet(fresh.toString()).count() != rows:
             raise RuntimeError(f"{name}/{partition}: the compacted files do not have {rows} rows")
-        _, to = self._fs(fresh)
-        fs.delete(where, True)
-        fs.rename(to, where)
+        move(where, aside)
+        move(fresh, where)
+        fs.delete(aside, True)
         return rows
 
 

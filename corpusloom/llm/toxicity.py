@@ -290,7 +290,8 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: in
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    sizes = base.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("size"))
+    lengths = base.select("doc_id", F.length("text").alias("size"))  # texts are not shuffled
+    sizes = lengths.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size"))
     picked = None
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     for y in (0, 1):

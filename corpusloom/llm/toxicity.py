@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize
 #: Chosen by accuracy on labelled texts of sf0.1 that are kept from training.
 P, GAPS, DECAY, POWER = 3, 2, 0.7, 8
 #: Most landmarks; a small sample has one for six texts.
-LANDMARKS = 384
+LANDMARKS = 256
 #: Cost of the machine, how much heavier the clean texts weigh than the toxic ones, and the
 #: words that virtual examples are made of.
 COST, CLEAN, VIRTUAL = 1e7, 4.0, 64
@@ -43,11 +44,6 @@ _NO_LETTER = re.compile(r"[\W_]+")
 _SPELT = re.compile(r"(?<!\S)\w(?:[^\S\n]+\w){2,}(?!\S)")
 
 
-def core(word: str) -> str:
-    """The letters and digits of a token."""
-    return word if word.isalnum() else _NO_LETTER.sub("", word)
-
-
 def _counted(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, weight) of the subsequences of rows of characters padded by 0, one entry
     for each code of a row, ordered by both."""
@@ -129,10 +125,12 @@ class Landmarks:
 
 
 def tokens(text: str | None) -> set[str]:
-    """The distinct words of a text in lower case; single characters in a row are one word too."""
+    """The distinct words of a text: letters and digits of its tokens in lower case; single
+    characters in a row are one word too."""
     low = (text or "").lower()
-    out = set(low.split())
+    out = {w if w.isalnum() else _NO_LETTER.sub("", w) for w in set(low.split())}
     out.update("".join(m.group().split()) for m in _SPELT.finditer(low))
+    out.discard("")
     return out
 
 
@@ -178,9 +176,9 @@ class Model:
             new = list(set().union(*sets))
         for lo in range(0, len(new), 2000):
             part = new[lo : lo + 2000]
-            share.update(zip(part, (self.marks.kernel([core(w) for w in part]) @ self.weight).tolist(), strict=True))
-        # In order of size, so that the sum doesn't depend on the order of a set.
-        return np.array([sum(sorted(map(share.__getitem__, s))) for s in sets]) + self.bias
+            share.update(zip(part, (self.marks.kernel(part) @ self.weight).tolist(), strict=True))
+        # An exact sum, so that it doesn't depend on the order of a set.
+        return np.array([fsum(map(share.__getitem__, s)) for s in sets]) + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.landmarks:
@@ -245,7 +243,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     so that one such word, also with characters put in, is enough."""
     seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
     for t, y in zip(texts, labels, strict=True):
-        seen[bool(y)].update({c for w in tokens(t) if (c := core(w))})
+        seen[bool(y)].update(tokens(t))
     n = len(labels) - sum(map(bool, labels)), sum(map(bool, labels))
     if not n[0] or not n[1]:
         return Model([], np.zeros(0), -1.0)
@@ -261,7 +259,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
         words = list(set().union(*sets))
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            values = kernels.kernel([core(w) for w in part])
+            values = kernels.kernel(part)
             name = {w: i for i, w in enumerate(part)}
             for i, s in enumerate(sets):
                 mine = [name[w] for w in s & name.keys()]

@@ -56,6 +56,7 @@ ENTITIES = {
     "quoted": r"""(?<=")[^"]{3,80}(?=")|(?<=')[^']{3,80}(?=')|(?<=`)[^`]+(?=`)""",
 }
 
+# Words that refer back, and hints at time, language, source and repository.
 ANAPHORA = r"(?i)\b(it|its|that|this|those|these|the (?:second|first|third|last|other) (?:one|option)|them|he|she|they)\b"
 TEMPORAL = r"(?i)\b(latest|recent(ly)?|newest|current|as of|this (month|quarter|year))\b"
 LANGUAGE_HINT = r"(?i)\bin (python|typescript|javascript|go|java|rust|sql|yaml|bash|shell)\b"

@@ -240,9 +240,13 @@ def rrf(dense_hits: DataFrame, sparse_hits: DataFrame, sparse_weight: Column | f
     return top_k(both.withColumn("rrf_score", F.round(score, 8)), keep, q, i, "rrf_score")
 
 
+# The flags of a leg that fails.
+LEG_FLAGS = {"dense": "dense_unavailable", "sparse": "sparse_failed"}
+
+
 def legs(sources: dict, schema: str) -> tuple[dict[str, DataFrame], list[str]]:
-    """(hits of each leg, flags): a leg that fails is empty and flagged <leg>_unavailable; if
-    all fail, the last error is raised. A leg's plan is tried by one row, as plans are lazy."""
+    """(hits of each leg, flags): a leg that fails is empty and flagged; if all fail, the last
+    error is raised. A leg's plan is tried by one row, as plans are lazy."""
     out, flags, error, spark = {}, [], None, SparkSession.active()
     for name, make in sources.items():
         try:
@@ -250,12 +254,26 @@ def legs(sources: dict, schema: str) -> tuple[dict[str, DataFrame], list[str]]:
             out[name].limit(1).count()
         except Exception as e:  # whatever a store or a plan may raise
             out[name], error = spark.createDataFrame([], schema), e
-            flags.append(f"{name}_unavailable")
+            flags.append(LEG_FLAGS.get(name, f"{name}_failed"))
     if error is not None and len(flags) == len(sources):
         raise error
     return out, flags
 
 
+def result_rows(hits: DataFrame, docs: DataFrame, top: int = 8, q: str = "query_id", i: str = "doc_id", score: str = "rrf_score", snippet: int = 200) -> DataFrame:
+    """What a caller gets: the first `top` hits with the start of their text on one line."""
+    line = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, snippet)
+    best = hits.where(F.col("rank") <= top).select(q, i, "rank", F.round(score, 4).alias("score"))
+    return best.join(docs.select(i, line.alias("snippet")), i).select(q, "rank", i, "score", "snippet")
+
+
+def apply_actions(wanted: DataFrame, stored: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("sha", "version")) -> DataFrame:
+    """The store after `reconcile`: upserts from `wanted`, kept points as stored, deletes gone."""
+    actions = reconcile(wanted, stored, key, columns)
+    put = wanted.join(actions.where("action = 'upsert'").select(key), key, "left_semi")
+    return put.unionByName(stored.join(actions.where("action = 'keep'").select(key), key, "left_semi"))
+
+
 def adjust(fused: DataFrame, soft_active: bool = False, boost_types: Column | None = None, q: str = "query_id", i: str = "doc_id") -> DataFrame:
     """Scores after the marginal penalty, the soft-match bonus or penalty and the favoured
     kinds; needs quality_flags, soft_match and chunk_type. Ranks are counted anew."""

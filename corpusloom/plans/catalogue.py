@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, patterns, quality, text
 from corpusloom.operators import answers, chunking, dedup, evaluation, governance, retrieval
+from corpusloom.operators import query as query_
 from corpusloom.plans import views
 from corpusloom.plans.schemas import Dataset
 from corpusloom.sources import lakehouse, pages
@@ -476,7 +477,7 @@ def acl_hybrid(spark, d):
     return fused.fillna(0, ["dense_rank", "sparse_rank"])
 
 
-@query(f"WITH {_HYBRID} SELECT sp.query_id, sp.doc_id, sp.rank::INT AS rank, round(1.3 / (60 + sp.rank), 8) AS rrf_score, ['dense_unavailable'] AS degraded FROM sp")
+@query(f"WITH {_HYBRID} SELECT sp.query_id, sp.doc_id, sp.rank::INT AS rank, round(1.3 / (60 + sp.rank), 8) AS rrf_score, 'dense_unavailable' AS degraded FROM sp")
 def degraded_search(spark, d):
     """What is left of a hybrid search whose vector leg fails: the sparse hits, and a flag."""
     def broken():
@@ -484,7 +485,7 @@ def degraded_search(spark, d):
 
     legs, flags = retrieval.legs({"dense": broken, "sparse": lambda: _hybrid(spark, d)[1]}, "query_id long, doc_id long, rank int")
     fused = retrieval.rrf(legs["dense"], legs["sparse"], sparse_weight=1.3)
-    return fused.select("query_id", "doc_id", "rank", "rrf_score", F.array(*map(F.lit, flags)).alias("degraded"))
+    return fused.select("query_id", "doc_id", "rank", "rrf_score", F.lit(",".join(flags)).alias("degraded"))
 
 
 @query(f"""WITH {_HYBRID}, ad AS (SELECT query_id, doc_id, round(rrf_score * (CASE WHEN n_chars < 300 THEN 0.9 ELSE 1 END) * (CASE WHEN lang = 'en' THEN 1.05 ELSE 1 END) * (CASE WHEN lang = 'en' THEN 1 ELSE 0.85 END) * (CASE WHEN source IN ('src1', 'src2') THEN 1.05 ELSE 1 END), 8) AS rrf_score FROM fu JOIN documents USING (doc_id))
@@ -530,6 +531,33 @@ def hybrid_type_boost(spark, d):
     return retrieval.adjust(fused, True, F.array(F.lit("src1"), F.lit("src2"))).select("query_id", "doc_id", "rrf_score")
 
 
+@query(f"""WITH {_HYBRID}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id)::INT AS rank FROM fu)
+SELECT query_id, rank, doc_id, round(rrf_score, 4) AS score, substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 200) AS snippet FROM rk JOIN documents USING (doc_id) WHERE rank <= 8""")
+def search_results(spark, d):
+    return retrieval.result_rows(retrieval.rrf(*_hybrid(spark, d), sparse_weight=1.3), table(spark, d, "documents"))
+
+
+@query(f"""WITH n AS (SELECT conv_id, turn, trim(substr(trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), 1, 2000), ' ') AS t FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, turn, t, list_distinct(list_transform(regexp_extract_all(t, '{query_.PROTECTED}'), lambda x: trim(x, '`'))) AS p, list_filter(regexp_extract_all(t, '{query_.QUERY_TOKEN.replace(chr(39), chr(39) * 2)}'), lambda x: trim(x, chr(39) || '`.:/-') <> '') AS k FROM n)
+SELECT conv_id, turn, t AS normalised, lower(t) AS sparse_text, len(p)::INT AS n_protected, len(k)::INT AS n_tokens, CASE WHEN t = '' THEN 'E6001' END AS error FROM p""")
+def query_process(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'").withColumn("query_id", F.struct("conv_id", "turn"))
+    out = query_.process(turns, now())
+    return out.select("conv_id", "turn", "normalised", "sparse_text", F.size("protected").alias("n_protected"), F.size("tokens").alias("n_tokens"), "error")
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS n FROM conversations WHERE role = 'assistant') WHERE n = 1")
+def last_assistant_turn(spark, d):
+    return answers.last_turns(table(spark, d, "conversations").where("role = 'assistant'"), 1).select("conv_id", "turn", "text")
+
+
+@query("SELECT vec_id AS chunk_id, label::VARCHAR AS sha, 'v1' AS version FROM embeddings WHERE vec_id % 5 <> 4")
+def vector_store_apply(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("sha"), F.lit("v1").alias("version"))
+    stored = v.where("chunk_id % 5 <> 3").withColumn("sha", F.when(F.col("sha").cast("int") % 2 == 1, "old").otherwise(F.col("sha")))
+    return retrieval.apply_actions(v.where("chunk_id % 5 <> 4"), stored)
+
+
 def _reranked(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
     hits = retrieval.bm25(docs, q, k=10)

@@ -22,10 +22,14 @@ QUERY_TOKEN = r"[\p{L}\p{N}_'`./:-]+"
 DIMENSIONS, EMPTY = ("source_type", "repo", "code_language", "updated_after"), "E6001"
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Unicode composed form, which no built-in function makes; ASCII is left as it is."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return run(text)
 
 
 def protected(text: Column) -> Column:

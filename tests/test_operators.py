@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answers, chunking, dedup, evaluation, governance, retrieval
+from corpusloom.operators import answers, chunking, dedup, evaluation, governance, query, retrieval
 from corpusloom.plans import catalogue, views
 from corpusloom.plans.schemas import DATASETS, SchemaError
 from corpusloom.sources import lakehouse, pages
@@ -260,3 +260,81 @@ def test_context_by_hand(spark):
                 want.append((len(want) + 1, r[1], n, text))
                 total += n
             assert sorted(got[q]) == want, (budget, q)
+
+
+def test_saved_index_gives_the_same_hits(spark, sf, tmp_path):
+    docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "query_id")
+    retrieval.save_index(retrieval.index(docs, lang=F.col("lang")), str(tmp_path), "v1")
+    made, frequencies, totals = retrieval.load_index(spark, str(tmp_path), "v1")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(retrieval.bm25(docs, asked, k=7))
+    assert key(retrieval.search(made, asked, 7, frequencies=frequencies, totals=totals)) == want and want
+    assert key(retrieval.search(made, asked, 7, among=F.col("lang") == "de", frequencies=frequencies, totals=totals)) == key(retrieval.bm25(docs, asked, k=7, among=F.col("lang") == "de"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        retrieval.load_index(spark, str(tmp_path), "v2")
+
+
+def test_search_in_rounds_and_edges(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha{i % 3} beta gamma{i % 5} delta{i}") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"alpha{q % 3} gamma{q % 5} zzz") for q in range(12)] + [(90, ""), (91, "zzz")], "query_id long, text string")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    want = key(retrieval.bm25(docs, asked, k=4))
+    assert {r[0] for r in want} == set(range(12)) and len(want) == 48
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert key(retrieval.bm25(docs, asked, k=4)) == want
+    assert retrieval.bm25(docs.limit(0), asked).count() == retrieval.bm25(docs, asked.limit(0)).count() == 0
+
+
+def test_a_failing_leg_is_empty_and_flagged(spark):
+    def broken():
+        raise OSError("gone")
+
+    out, flags = retrieval.legs({"dense": lambda: spark.range(3), "sparse": broken}, "id long")
+    assert flags == ["sparse_failed"] and out["dense"].count() == 3 and out["sparse"].count() == 0
+    with pytest.raises(OSError):
+        retrieval.legs({"dense": broken, "sparse": broken}, "id long")
+
+
+def test_dense_leaves_out_what_has_no_direction(spark):
+    odd = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.0, 0.0]), (8, [float("inf"), 1.0])]
+    v = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in retrieval.dense(v, v, k=9).collect()}
+    assert got == {(a, b) for a in (1, 2, 7) for b in (1, 2, 7) if a != b}
+
+
+def test_query_processing(spark):
+    vocab = spark.createDataFrame([("document", 9), ("index", 5)], "word string, n long")
+    rows = [(1, "  where is the documnt\u0007 of my_file v1.2.3? ", None), (2, "Café in python", "go"), (3, " \n ", None)]
+    df = spark.createDataFrame(rows, "query_id long, text string, lang string").withColumn("filters", F.struct(F.col("lang").alias("code_language")))
+    got = {r["query_id"]: r for r in query.process(df, F.current_timestamp(), vocab).collect()}
+    a, b, c = got[1], got[2], got[3]
+    assert a["normalised"] == "where is the documnt of my_file v1.2.3?" and set(a["protected"]) == {"my_file", "v1.2.3"}
+    assert a["corrections"] == {"documnt": "document"} and a["variants"] == [a["normalised"], a["normalised"].replace("documnt", "document")]
+    assert b["normalised"] == "Café in python" and b["soft"]["code_language"] is None and b["sparse_text"] == "café in python"
+    assert c["error"] == "E6001" and a["error"] is None
+
+
+def test_plain_text_and_code_blocks():
+    text = "Title\n=====\n\nFirst para\nstill.\n\nSub\n---\nText.\n\nLong title here\n---\n# Hash #\nend"
+    kinds = [(b.kind, b.level, b.title or text[b.start : b.end]) for b in chunking.parse_plain(text)]
+    assert kinds[:4] == [("heading", 1, "Title"), ("paragraph", 0, "First para\nstill."), ("heading", 2, "Sub"), ("paragraph", 0, "Text.")]
+    assert kinds[-2:] == [("heading", 1, "Hash"), ("paragraph", 0, "end")] and ("heading", 2, "Long title here") not in kinds
+    assert [(b.kind, b.language) for b in chunking.parse("x = 1\n", "py")] == [("code", "python")] and chunking.parse("", "py") == []
+
+
+def test_semantic_boundaries_by_plain_loop():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        v = np.repeat(rng.normal(size=(4, 6)), rng.integers(1, 6, 4), axis=0) + 0.2 * rng.normal(size=(1, 6))
+        want, run = [], [v[0]]
+        for i in range(1, len(v)):
+            c = np.mean(run, axis=0)
+            if len(v) >= 4 and len(run) >= 2 and c @ v[i] / np.linalg.norm(c) / np.linalg.norm(v[i]) < 1 - 0.4:
+                want.append(i)
+                run = []
+            run.append(v[i])
+        assert chunking.semantic_boundaries(v, 0.4) == want
+    text = " ".join(["Apples and pears are fruit."] * 6 + ["Kernels schedule threads quickly."] * 6)
+    cut = chunking.chunk_text(text, chunking.Settings(60, 64, 4, 0, semantic=0.6))
+    assert any(c.text.startswith("Kernels") for c in cut)

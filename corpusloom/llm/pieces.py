@@ -425,7 +425,9 @@ def sentencepiece_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id
     """Encode and decode each text: (doc_id, n_tokens, ids_sha256, decoded_sha256, ends_crc32).
 
     A row for each row of `docs`, nulls and empty texts giving no ids; repeated and null
-    ids stay. ends_crc32 digests where each piece ends in the normalised bytes.
+    ids stay. Texts of any length are encoded whole; further columns, whatever their names,
+    are ignored, and an empty table gives no rows. ends_crc32 digests the source byte at
+    which each piece ends.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_digest(model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
@@ -539,7 +541,9 @@ def _totals(path: str):
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens): tokens of each whole text under the unigram model of TrieCounter.
 
-    Null and empty texts have none; every row is returned, repeated and null ids too.
+    Null and empty texts have none; every row is returned, repeated and null ids too. Of
+    equal scores the longer last piece wins. Texts of any length are counted whole; further
+    columns, whatever their names, are ignored, and an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(_totals(model_path), "doc_id long, n_tokens long")

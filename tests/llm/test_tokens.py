@@ -158,3 +158,13 @@ def test_packing(spark, sf, tokenizer, vocab):
         total, padding = total + n, padding + (4096 - n if n & (n - 1) else 0)
     assert padding < 0.05 * total
     assert packing.pack_documents(docs.limit(0), vocab("word_bpe_49k.json")).count() == 0
+
+
+def test_empty_tables_and_clashing_names(spark, vocab):
+    rows = [(1, "the cat " * 3000, 7, 8, 9, 10), (2, None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, salt int, n_tokens int, own int")
+    model, words = vocab("piece_bpe_32k.model"), vocab("word_bpe_49k.json")
+    for run in (lambda d: pieces.sentencepiece_digest(d, model), lambda d: pieces.token_counts(d, model), lambda d: packing.pack_documents(d, words)):
+        got = run(df).collect()
+        assert {r["doc_id"] for r in got} == {1, 2} and run(df.limit(0)).count() == 0
+    assert {r["doc_id"]: r["n_tokens"] for r in pieces.token_counts(df, model).collect()}[2] == 0

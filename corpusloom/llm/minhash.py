@@ -140,18 +140,15 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     return [np.unique(h) for h in hashed([lowered(t) for t in texts], k)]
 
 
-def signed_sets(texts: list[str | None], k: int = WORDS) -> tuple[list[np.ndarray], list[bytes]]:
-    """The sorted distinct shingle hashes of each text, and a cryptographic digest of the
-    shingles' words in that order: equal digests stand for equal sets of words."""
-    raw = [lowered(t) for t in texts]
-    sets, digests = [], []
-    for b, h in zip(raw, hashed(raw, k), strict=True):
-        kinds, first = np.unique(h, return_index=True)
-        words, digest = b.split(), blake2b(digest_size=16)
-        for lo in range(0, len(first), 10_000):
-            digest.update(b"\n".join([b" ".join(words[i : i + k]) for i in first[lo : lo + 10_000].tolist()]) + b"\n")
-        sets.append(kinds)
-        digests.append(digest.digest())
+def signed_sets(texts: list[str | None], k: int = WORDS, least: int = 0) -> tuple[list[np.ndarray], list[bytes]]:
+    """The sorted distinct shingle hashes of each text, and a cryptographic digest of its words.
+
+    Equal digests stand for equal words in the same order, so for equal sets. A set of under
+    `least` shingles has no bands to meet others by, so its digest is of the set itself."""
+    sets, digests = shingle_sets(texts, k), []
+    for t, s in zip(texts, sets, strict=True):
+        words = b"\n".join(sorted(exact_shingles(t, k))) if len(s) < least else b" ".join(lowered(t).split())
+        digests.append(blake2b(words, digest_size=16, person=b"set" if len(s) < least else b"text").digest())
     return sets, digests
 
 
@@ -219,7 +216,7 @@ def _sign(k: int, least: int, bands_of: int, rows_of: int):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(ids), 500):
-                sets, digests = signed_sets(texts.slice(lo, 500).to_pylist(), k)
+                sets, digests = signed_sets(texts.slice(lo, 500).to_pylist(), k, least)
                 bands = []
                 for a, b in _groups(sets):
                     big = [s if len(s) >= least else s[:0] for s in sets[a:b]]
@@ -259,17 +256,28 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
 
+def reaches(a: int, b: int, both: int, percent: int) -> bool:
+    return bool(both) and 100 * both >= percent * (a + b - both)
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes reach `percent`."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    return reaches(len(a), len(b), int((large[np.minimum(at, len(large) - 1)] == small).sum()), percent)
+
+
 def linked(a: set[bytes], b: set[bytes], percent: int) -> bool:
     """Whether two sets of shingles, compared word for word, reach `percent`."""
-    if not a or not b or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return reaches(len(a), len(b), len(a & b), percent)
 
 
 def _verify(k: int, percent: int):
-    """Rows (c, salt, other, doc, text) sorted: the centre's text comes first, and
-    each further text is compared with it in full. Only two sets are in memory."""
+    """Rows (c, salt, other, doc, text) sorted: the centre's text comes first, and each
+    further text is compared with it in full: by the hashes of all shingles, and what these
+    link, by the words. Few texts are in memory."""
 
     def run(batches):
         hold_cache(None)
@@ -277,14 +285,13 @@ def _verify(k: int, percent: int):
         for batch in batches:
             for lo in range(0, len(batch), 200):  # few texts at a time are unpacked
                 part, found = batch.slice(lo, 200), []
-                c, salt, other, doc = (part.column(x).to_pylist() for x in ("c", "salt", "other", "doc"))
-                for i, t in enumerate(part.column("text").to_pylist()):
-                    s = exact_shingles(t, k)
+                c, salt, other, doc, texts = (part.column(x).to_pylist() for x in ("c", "salt", "other", "doc", "text"))
+                for i, s in enumerate(shingle_sets(texts, k)):
                     if (c[i], salt[i]) != key:
                         key, centres = (c[i], salt[i]), []
                     if not other[i]:
-                        centres.append(s)  # more than one only if the id is repeated
-                    elif any(linked(x, s, percent) for x in centres):
+                        centres.append((s, texts[i]))  # more than one only if the id is repeated
+                    elif any(alike(x, s, percent) and linked(exact_shingles(t, k), exact_shingles(texts[i], k), percent) for x, t in centres):
                         found.append((c[i], doc[i]))
                 if found:
                     yield _edges(found)

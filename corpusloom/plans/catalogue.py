@@ -828,10 +828,33 @@ def latency_percentiles(spark, d):
     return evaluation.latency(table(spark, d, "events"), "event_type", "value")
 
 
-@query()
+@query(f"""WITH {_HYBRID}, gt AS (SELECT query_id, list(doc_id) AS want FROM de WHERE rank <= 3 GROUP BY 1),
+ht AS (SELECT query_id, list(doc_id ORDER BY rank) AS got FROM sp WHERE rank <= 5 GROUP BY 1),
+r AS (SELECT b.item_id, coalesce(got, []) AS got, coalesce(want, []) AS want FROM benchmark b LEFT JOIN ht ON ht.query_id = b.item_id LEFT JOIN gt ON gt.query_id = b.item_id),
+m AS (SELECT *, len(list_intersect(got, want)) AS hit, coalesce(list_min(list_filter(list_transform(want, lambda w: list_position(got, w)), lambda p: p > 0)), 0) AS first FROM r),
+t AS (SELECT coalesce(avg(hit / len(want)) FILTER (len(want) > 0), 0) AS rec, coalesce(avg(CASE WHEN len(got) = 0 THEN 0 ELSE hit / len(got) END) FILTER (len(want) > 0), 0) AS pre, coalesce(avg(CASE WHEN first > 0 THEN 1.0 / first ELSE 0 END) FILTER (len(want) > 0), 0) AS mrr,
+  count(*) FILTER (len(want) = 0 AND len(got) = 0) AS tp, count(*) FILTER (len(want) > 0 AND len(got) = 0) AS fp FROM m)
+SELECT metric, value, threshold, threshold IS NULL OR value >= threshold AS passed FROM (
+  SELECT 'recall_at_5' AS metric, round(rec, 6)::DOUBLE AS value, 0.85::DOUBLE AS threshold FROM t UNION ALL SELECT 'precision_at_5', round(pre, 6), NULL FROM t UNION ALL SELECT 'mrr', round(mrr, 6), 0.7 FROM t
+  UNION ALL SELECT 'refusal_precision', CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 1.0 END, 0.8 FROM t)""")
+def eval_run(spark, d):
+    """BM25 held against the three nearest vectors of each question, with the gate's thresholds."""
+    dense, sparse = _hybrid(spark, d)
+    want = dense.where("rank <= 3").groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))
+    asked = _questions(spark, d).select("query_id").join(want, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+    out = evaluation.run(asked, sparse, 5, {"recall_at_5": 0.85, "mrr": 0.7, "refusal_precision": 0.8})
+    return out.where(F.col("metric").isin("recall_at_5", "precision_at_5", "mrr", "refusal_precision"))
+
+
+_TOPIC = "CASE WHEN lower(source) <> lower(lang) THEN source ELSE lang END"
+
+
+@query(f"""WITH u AS (SELECT *, doc_id::VARCHAR AS chunk_id FROM documents ORDER BY md5('seed-1:' || doc_id::VARCHAR), doc_id::VARCHAR LIMIT 20)
+SELECT {_uuid5(ids.NS_QA, "'v1:' || chunk_id")} AS qa_id, 'v1' AS version, replace([{", ".join(f"'{t}'" for t in evaluation.TEMPLATES)}][('0x' || substr(md5(chunk_id), 1, 4))::INT % 3 + 1], '{{}}', {_TOPIC}) AS question,
+CASE WHEN regexp_extract(text, '^\\s*(.*?[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(text, '^\\s*(.*?[.!?])(?:\\s|$)', 1) ELSE text END AS reference_answer, chunk_id AS expected_chunk_ids, source AS document_id FROM u""")
 def question_set(spark, d):
     units = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("lang").alias("title"), F.concat("lang", F.lit(" › "), "source").alias("heading_breadcrumb"), "text")
-    return evaluation.question_set(units, 20, "seed-1", "v1")
+    return evaluation.question_set(units, 20, "seed-1", "v1").withColumn("expected_chunk_ids", F.array_join("expected_chunk_ids", ","))
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('seed-1:' || doc_id), doc_id LIMIT 50")
@@ -1048,11 +1071,14 @@ def source_summary(spark, d):
     return docs.join(first, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") != F.col("canonical_id")).alias("dups"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id::VARCHAR AS document_id, sha256(text) AS content_sha256, source AS source_uri,
+  CASE WHEN contains(text, chr(0)) OR length(regexp_replace(text, '[^\ufffd]', '', 'g')) > 0.01 * greatest(1, length(text)) THEN 'E3004' WHEN length(trim(text, ' ')) < 100 THEN 'E3005' WHEN {_SECRET} THEN 'E3008' END AS code FROM documents)
+SELECT {_uuid5(ids.uuid.NAMESPACE_URL, "document_id || ':' || content_sha256 || ':' || code || ':run-1'")} AS quarantine_id, document_id, content_sha256, source_uri, 'validate' AS stage, code, '' AS detail, 'run-1' AS run_id, 'open' AS status
+FROM b WHERE code IS NOT NULL""")
 def quarantine_rows(spark, d):
     docs = table(spark, d, "documents").withColumn("code", quality.reject_code(quality.violations(F.col("text"))))
     bad = docs.where("code is not null").select(F.col("doc_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("content_sha256"), F.col("source").alias("source_uri"), F.lit("validate").alias("stage"), "code", F.lit("").alias("detail"))
-    return lakehouse.quarantine(bad, "run-1", now())
+    return lakehouse.quarantine(bad, "run-1", now()).drop("created_at", "ingest_date")  # the run's own time
 
 
 @query()

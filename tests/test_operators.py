@@ -338,3 +338,18 @@ def test_semantic_boundaries_by_plain_loop():
     text = " ".join(["Apples and pears are fruit."] * 6 + ["Kernels schedule threads quickly."] * 6)
     cut = chunking.chunk_text(text, chunking.Settings(60, 64, 4, 0, semantic=0.6))
     assert any(c.text.startswith("Kernels") for c in cut)
+
+
+def test_chunk_run(spark):
+    docs = lambda rows: spark.createDataFrame(rows, "document_id string, document_version_id string, text string")
+    one = "# A\n\n" + "First text here. " * 30 + "\n\n# B\n\n" + "Second text here. " * 30
+    first, dead, counts = chunking.chunk_run(docs([("d", "v1", one), ("e", "w1", one)]), docs([]).withColumnsRenamed({"text": "chunk_id"}).withColumns({c: F.lit("") for c in ("chunk_key", "chunk_checksum", "lineage_id")}), F.current_timestamp())
+    rows = first.select("document_id", "document_version_id", "chunk_id", "chunk_key", "chunk_checksum", "lineage_id").cache()
+    assert dead.count() == 0 and {r["status"] for r in counts.collect()} == {"added"} and {r["document_id"] for r in rows.collect()} == {"d", "e"}
+    two = one.replace("Second text", "Other text")
+    fresh, dead, counts = chunking.chunk_run(docs([("d", "v2", two), ("e", "w1", one)]), rows, F.current_timestamp())
+    got = {r["status"]: r["n"] for r in counts.collect()}
+    assert got["unchanged"] == 1 and got["modified"] == 1 and got["superseded"] == 1
+    new = fresh.collect()
+    assert [r["document_version_id"] for r in new] == ["v2"] and dead.where("is_deleted").count() == 1
+    assert new[0]["lineage_id"] == dead.first()["lineage_id"] != new[0]["chunk_id"]

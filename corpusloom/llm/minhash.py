@@ -135,9 +135,15 @@ def hashed(texts: list[bytes], k: int = WORDS) -> Iterator[np.ndarray]:
     yield from flush()
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """np.unique, which is slower on short arrays."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (null: none)."""
-    return [np.unique(h) for h in hashed([lowered(t) for t in texts], k)]
+    return [_distinct(h) for h in hashed([lowered(t) for t in texts], k)]
 
 
 def signed_sets(texts: list[str | None], k: int = WORDS, least: int = 0) -> tuple[list[np.ndarray], list[bytes]]:

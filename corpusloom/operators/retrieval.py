@@ -89,7 +89,9 @@ def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.nd
 
     def run(batches):
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * (2 * len(qids))
+        id_kind = pa.int64()
         for batch in batches:
+            id_kind = batch.column("id").type
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 hit = pc.index_in(part.column("terms").flatten(), value_set=wanted)
@@ -121,7 +123,7 @@ def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.nd
                             best[2 * (lo + j) + kind] = every_s[order], every_i[order]
         out = [(j // 2, i, float(s), j % 2 == 1) for j, (ss, ii) in enumerate(best) for s, i in zip(ss, ii, strict=True)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.bool_())], ["n", "id", "s", "hit"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], id_kind), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.bool_())], ["n", "id", "s", "hit"])
 
     return run
 

@@ -283,6 +283,8 @@ def test_search_in_rounds_and_edges(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_TERMS", 7)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
     assert key(retrieval.bm25(docs, asked, k=4)) == want
+    for kind in ("int", "string"):
+        assert retrieval.bm25(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), asked, k=4).count() == len(want)
     assert retrieval.bm25(docs.limit(0), asked).count() == retrieval.bm25(docs, asked.limit(0)).count() == 0
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import html, linededup, minhash, packing, pieces, pii, toxicity, vectors
+from corpusloom.llm import codes, decontam, enrich, html, linededup, minhash, packing, pieces, pii, toxicity, vectors
 from corpusloom.llm.common import table
 
 
@@ -58,6 +58,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.enrich_sales(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -70,8 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_pii": op10_pii,
+        "op11_sale_enrichment": op11_sale_enrichment,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_decontamination": op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": linededup.SQL}
+    return {"op9_line_dedup": linededup.SQL, "op11_sale_enrichment": enrich.SQL, "op12_vector_codes": codes.SQL, "op13_decontamination": decontam.SQL}

@@ -32,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_KEYS, broadcast_if_small, materialize
+from corpusloom.llm.common import BROADCAST_KEYS, broadcast_if_small, materialize, release
 
 #: Bytes of text in a segment.
-SEGMENT = 24 << 20
+SEGMENT = 12 << 20
 #: Words of a window, and the stretch within which its words are a proximity match.
 WINDOW, NEAR = 10, 14
 
@@ -66,10 +66,9 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edge = ends[:-1][ends[:-1] < len(low)]
     begins[edge] = inside[edge]  # a word ends with its text
     kept = low[inside]
-    at = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int64)
+    at = np.append(np.flatnonzero(begins[inside]), len(kept))
     words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(kept))
-    count = np.append(0, np.cumsum(begins))
-    return words, count[ends[1:]] - count[ends[:-1]]
+    return words, np.diff(np.searchsorted(np.flatnonzero(begins), ends))
 
 
 def pack_gaps(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +142,7 @@ def _index(batches):
             if size >= SEGMENT or at < len(batch):
                 yield from flush()
                 held, size, k = [], 0, k + 1
+                release()
     if held:
         yield from flush()
 

@@ -191,9 +191,9 @@ PROFILES = {
 }
 
 
-def language_scores(text: Column, sample: int = 5000) -> Column:
-    """(language, words of its profile) over the first characters of a text, best first; of
-    equal counts the first name."""
+def language_scores(text: Column, sample: int | None = None) -> Column:
+    """(language, words of its profile) over a text, or over its first `sample` characters, best
+    first; of equal counts the first name."""
 
     def among(profile: str):
         known = F.array(*map(F.lit, profile.split()))
@@ -202,7 +202,7 @@ def language_scores(text: Column, sample: int = 5000) -> Column:
     def count(toks: Column) -> Column:
         return F.array_sort(F.array(*(F.struct((-F.size(F.filter(toks, among(p)))).alias("n"), F.lit(name).alias("lang")) for name, p in PROFILES.items())))
 
-    return let(words(F.substring(text, 1, sample)), count)
+    return let(words(text if sample is None else F.substring(text, 1, sample)), count)
 
 
 def language(text: Column, least: float = 0.7, shortest: int = 20) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
@@ -70,6 +71,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def block_keys(rows: DataFrame, fp_col: str, distance: int = DISTANCE) -> DataFrame:
+    """The rows, once for each choice of three blocks: its number i and the fingerprint's bits v there."""
+    edges = [round(64 * i / (distance + 3)) for i in range(distance + 4)]
+    masks = [sum(((1 << b) - 1) ^ ((1 << a) - 1) for a, b in chosen) for chosen in combinations(list(pairwise(edges)), 3)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return rows.select("*", F.posexplode(F.array(*(F.col(fp_col).bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("i", "v"))
+
+
 def near_pairs(fingerprints: DataFrame, id_col: str, fp_col: str = "simhash", distance: int = DISTANCE) -> DataFrame:
     """(fp_a, fp_b, hamming) of distinct fingerprints that differ in 1 to `distance` bits.
 
@@ -79,10 +88,7 @@ def near_pairs(fingerprints: DataFrame, id_col: str, fp_col: str = "simhash", di
     Copies share a fingerprint and are not expanded into pairs; fingerprint 0 (no words)
     links with nothing."""
     fps = fingerprints.where(F.col(fp_col) != 0).select(F.col(fp_col).alias("fp")).distinct()
-    edges = [round(64 * i / (distance + 3)) for i in range(distance + 4)]
-    masks = [sum(((1 << b) - 1) ^ ((1 << a) - 1) for a, b in chosen) for chosen in combinations(list(pairwise(edges)), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cut = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("i", "v"))
+    cut = block_keys(fps, "fp", distance)
     a, b = cut.select(F.col("fp").alias("fp_a"), "i", "v"), cut.select(F.col("fp").alias("fp_b"), "i", "v")
     pairs = a.join(b, ["i", "v"]).where("fp_a < fp_b").select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("hamming"))
     return pairs.where(F.col("hamming") <= distance).distinct()
@@ -101,26 +107,47 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("x", "l")
 
 
-def decide(ids: np.ndarray, fps: np.ndarray, quality: np.ndarray, distance: int = DISTANCE, margin: float = MARGIN) -> pd.DataFrame:
+def _neighbours(fps: np.ndarray, distance: int, block: int = 2048) -> list[np.ndarray]:
+    """For each of some distinct fingerprints, which are within `distance` bits, itself included."""
+    out = []
+    for at in range(0, len(fps), block):
+        near = np.bitwise_count(fps[at : at + block, None] ^ fps[None, :]) <= distance
+        out += [np.flatnonzero(row) for row in near]
+    return out
+
+
+def decide(ids: np.ndarray, fps: np.ndarray, quality: np.ndarray, distance: int = DISTANCE, margin: float = MARGIN, pool: int = 0) -> pd.DataFrame:
     """(duplicate_id, canonical_id, hamming_distance, fingerprint) of documents in order.
 
     A document is compared with those that stand so far: the one that came first within
     `distance` bits is canonical, unless the newcomer is better by the margin and takes its
-    place. One pass over arrays: `standing` tells who stands, a row of bit counts who is near."""
-    standing = np.zeros(len(ids), dtype=bool)
+    place. The first `pool` documents stand already. Copies share a fingerprint, whose
+    neighbours are looked up once; of those that stand with a fingerprint only the first counts,
+    so the work is documents times neighbouring fingerprints."""
+    distinct, which = np.unique(fps, return_inverse=True)
+    near = _neighbours(distinct, distance)
+    standing: list[list[int]] = [[] for _ in distinct]  # heaps of positions
     beaten, winner = [], []
-    for n, fp in enumerate(fps):
-        if not fp:  # no words: near nothing
-            standing[n] = True
+    for n in range(len(ids)):
+        f = which[n]
+        if not fps[n]:  # no words: near nothing
             continue
-        near = np.flatnonzero(standing[:n] & (np.bitwise_count(fps[:n] ^ fp) <= distance) & (fps[:n] != 0) & (ids[:n] != ids[n]))
-        rival = near[0] if len(near) else None
+        rival = None
+        if n >= pool:
+            firsts = [standing[g][0] for g in near[f] if standing[g] and distinct[g]]
+            if any(ids[x] == ids[n] for x in firsts):  # a repeated row of one document is no rival
+                firsts = [x for g in near[f] if distinct[g] for x in standing[g] if ids[x] != ids[n]]
+            rival = min(firsts, default=None)
         wins = rival is None or quality[n] >= quality[rival] + margin
-        standing[n] = wins
         if rival is not None:
             beaten.append(rival if wins else n)
             winner.append(n if wins else rival)
-            standing[rival] &= not wins
+        if wins:
+            heapq.heappush(standing[f], n)
+            if rival is not None:
+                heap = standing[which[rival]]
+                heap.remove(rival)
+                heapq.heapify(heap)
     gone, stays = np.array(beaten, dtype=np.int64), np.array(winner, dtype=np.int64)
     return pd.DataFrame({"duplicate_id": ids[gone], "canonical_id": ids[stays], "hamming_distance": np.bitwise_count(fps[gone] ^ fps[stays]).astype(np.int32), "fingerprint": fps[gone].view(np.int64)})
 
@@ -131,14 +158,55 @@ def dedup_ledger(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "simhash
     Documents of linked fingerprints are decided together in id order; the pool holds one
     number pair for each document that stands, never a text."""
     live = docs.where(F.col(fp_col) != 0).select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp"), F.col(quality_col).cast("double").alias("q"))
-    links = near_pairs(live, "id", "fp", distance)
+    return _decided(live.withColumn("new", F.lit(True)), distance)
+
+
+def _decided(rows: DataFrame, distance: int, margin: float = MARGIN) -> DataFrame:
+    """The ledger of rows(id, fp, q, new); those that aren't new stand already."""
+    links = near_pairs(rows, "id", "fp", distance)
     groups = components(links, "fp_a", "fp_b").select(F.col("node").alias("fp"), "component")
-    grouped = live.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = rows.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     many = grouped.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        return decide(rows["id"].to_numpy(), rows["fp"].to_numpy(np.int64).view(np.uint64), rows["q"].to_numpy())
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["new", "id"])
+        return decide(group["id"].to_numpy(), group["fp"].to_numpy(np.int64).view(np.uint64), group["q"].to_numpy(), distance, margin, int((~group["new"]).sum()))
 
     return grouped.join(many, "component", "left_semi").groupBy("component").applyInPandas(run, "duplicate_id long, canonical_id long, hamming_distance int, fingerprint long")
 
+
+class FingerprintIndex:
+    """The ledger's pool kept over runs: a table of block keys in buckets on disk.
+
+    A batch meets the pool by its own keys: the batch is shuffled to the buckets, the pool is read
+    where it lies. What has been beaten since is in a table in buckets by document. Batches
+    that come in the order of their ids give the ledger of one run over all of them. Both are
+    appended after the ledger's rows are known; `run_id` makes a repeated batch return its rows anew."""
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 64, distance: int = DISTANCE, margin: float = MARGIN) -> None:
+        self.spark, self.name, self.buckets, self.distance, self.margin = spark, name, buckets, distance, margin
+
+    def _append(self, df: DataFrame, table: str, *keys: str) -> None:
+        df.write.bucketBy(self.buckets, *keys).sortBy(*keys).mode("append").format("parquet").saveAsTable(f"{self.name}_{table}")
+
+    def _read(self, table: str, schema: str, run_id: str) -> DataFrame:
+        whole = f"{self.name}_{table}"
+        rows = self.spark.table(whole) if self.spark.catalog.tableExists(whole) else self.spark.createDataFrame([], schema)
+        return rows.where(F.col("run") != run_id)  # what the run itself left when it died
+
+    def candidates(self, live: DataFrame, run_id: str) -> DataFrame:
+        """(id, fp, q) of documents of the pool within reach of live(id, fp, q)."""
+        pool = self._read("pool", "id long, fp long, q double, i int, v long, run string", run_id).select("id", "fp", "q", "i", "v")
+        keys = block_keys(live.select("fp").distinct(), "fp", self.distance).withColumnRenamed("fp", "new")
+        near = pool.join(keys, ["i", "v"]).where(hamming(F.col("fp"), F.col("new")) <= self.distance).select("id", "fp", "q").distinct()
+        gone = self._read("beaten", "id long, run string", run_id).select("id")
+        return near.join(gone, "id", "left_anti")
+
+    def add(self, docs: DataFrame, run_id: str, id_col: str = "doc_id", fp_col: str = "simhash", quality_col: str = "quality") -> DataFrame:
+        """The ledger's rows of a batch, which then belongs to the pool."""
+        live = docs.where(F.col(fp_col) != 0).select(F.col(id_col).cast("long").alias("id"), F.col(fp_col).alias("fp"), F.col(quality_col).cast("double").alias("q")).checkpoint()
+        pool = self.candidates(live, run_id).checkpoint()
+        ledger = _decided(live.withColumn("new", F.lit(True)).union(pool.withColumn("new", F.lit(False))), self.distance, self.margin).checkpoint()
+        self._append(block_keys(live, "fp", self.distance).withColumn("run", F.lit(run_id)), "pool", "i", "v")
+        self._append(ledger.select(F.col("duplicate_id").alias("id")).distinct().withColumn("run", F.lit(run_id)), "beaten", "id")
+        return ledger

@@ -686,6 +686,54 @@ def hash_embed(spark, d):
 # -- chunks ------------------------------------------------------------------
 
 
+def _talks(spark, d, version):
+    """Each conversation as a document with a heading for each turn; the second version edits
+    some turns and leaves out others, of three conversations in four."""
+    t = table(spark, d, "conversations").where("text is not null and turn is not null and conv_id is not null")
+    words = F.concat(F.lit("said "), F.substring_index(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ", 60))
+    t = t.groupBy("conv_id", "turn").agg(F.min(words).alias("said"))
+    if version == 2:
+        kept = (F.col("conv_id") % 4 == 0) | (F.col("turn") % 5 != 4)
+        t = t.where(kept).withColumn("said", F.when((F.col("conv_id") % 4 != 0) & (F.col("turn") % 3 == 1), F.concat("said", F.lit(" edited"))).otherwise(F.col("said")))
+    part = F.concat(F.lit("# turn "), F.col("turn"), F.lit("\n\n"), F.col("said"), F.lit("\n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"]), "\n")
+    return t.groupBy("conv_id").agg(whole.alias("text")).select(F.col("conv_id").cast("string").alias("document_id"), F.concat(F.lit(f"v{version}-"), F.col("conv_id")).alias("document_version_id"), "text", F.lit(f"2024-01-0{version}").cast("timestamp").alias("parsed_at"), F.lit(False).alias("is_deleted"))
+
+
+_TALKS = """WITH t AS (SELECT conv_id, turn, min('said ' || array_to_string(string_split(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')[1:60], ' ')) AS said FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id, turn),
+n AS (SELECT *, conv_id % 4 <> 0 AND turn % 3 = 1 AS edited FROM t WHERE conv_id % 4 = 0 OR turn % 5 <> 4),
+g AS (SELECT conv_id FROM n GROUP BY conv_id) """
+
+
+def _two_runs(spark, d):
+    """(history of chunk rows after a run over each version, documents, counts of the second run)"""
+    docs = [_talks(spark, d, v) for v in (1, 2)]
+    first, _, _ = chunking.chunk_run(docs[0], chunking.no_chunks(spark), F.lit("2024-01-01").cast("timestamp"))
+    rows = first.withColumns({"is_deleted": F.lit(False), "is_current": F.lit(True)})
+    every = docs[0].unionByName(docs[1])
+    current = views.current_documents(every)
+    fresh, dead, counts = chunking.chunk_run(current, rows, F.lit("2024-01-02").cast("timestamp"))
+    history = rows.unionByName(fresh.withColumns({"is_deleted": F.lit(False), "is_current": F.lit(True)})).unionByName(dead.select(*rows.columns))
+    return history, every, counts
+
+
+@query(_TALKS + """SELECT conv_id::VARCHAR AS document_id, 'turn ' || turn AS heading_breadcrumb, said || CASE WHEN edited THEN ' edited' ELSE '' END AS text, 'v2-' || conv_id AS document_version_id, NOT edited AS first_of_lineage FROM n
+UNION ALL SELECT t.conv_id::VARCHAR, 'turn ' || turn, said, 'v1-' || t.conv_id, true FROM t WHERE t.conv_id NOT IN (SELECT conv_id FROM g)""")
+def chunk_run(spark, d):
+    """What is current after two versions of every conversation were cut one after the other."""
+    history, docs, _ = _two_runs(spark, d)
+    now_current = views.current_chunks(history, docs)
+    body = F.regexp_extract("text", r"(?s)(said.*)$", 1)
+    return now_current.select("document_id", "heading_breadcrumb", F.trim(body).alias("text"), "document_version_id", (F.col("lineage_id") == F.col("chunk_id")).alias("first_of_lineage"))
+
+
+@query(_TALKS + """SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN n.conv_id IS NULL THEN 'removed' WHEN n.edited THEN 'modified' ELSE 'unchanged' END AS status FROM t LEFT JOIN n USING (conv_id, turn) WHERE t.conv_id IN (SELECT conv_id FROM g)
+  UNION ALL SELECT 'superseded' FROM n WHERE edited) GROUP BY status""")
+def chunk_run_counts(spark, d):
+    return _two_runs(spark, d)[2]
+
+
 def _doc_chunks(spark, d):
     docs = table(spark, d, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
     return chunking.chunk_documents(docs, title=F.col("source"))
@@ -1028,7 +1076,7 @@ _HITS = ", ".join(
 )
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(substr(text, 1, 5000)), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), h AS (SELECT doc_id, text, {_HITS} FROM w), b AS (SELECT *, greatest(de, en, es, fr) AS top, de + en + es + fr AS total FROM h)
+@query(f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), h AS (SELECT doc_id, text, {_HITS} FROM w), b AS (SELECT *, greatest(de, en, es, fr) AS top, de + en + es + fr AS total FROM h)
 SELECT doc_id, CASE WHEN length(text) < 20 OR total = 0 OR top < 0.7 * total THEN 'und' WHEN de = top THEN 'de' WHEN en = top THEN 'en' WHEN es = top THEN 'es' ELSE 'fr' END AS language FROM b""")
 def language_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", text.language(F.col("text")).alias("language"))

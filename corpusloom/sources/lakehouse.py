@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
 from corpusloom.plans.schemas import DATASETS, Dataset
+from corpusloom.sources.commitlog import CommitLog
 
 #: Files of a partition from which it is compacted, and the size that counts as small.
 COMPACT_FILES, COMPACT_BYTES = 8, 32 * 1024 * 1024
@@ -39,55 +39,46 @@ class Lakehouse:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def log(self, name: str) -> CommitLog:
+        return CommitLog(self.spark, self.path(name))
+
     def exists(self, name: str) -> bool:
+        """Whether a dataset has a version, or is a plain folder; what a writer that died before its
+        first commit left is neither."""
         fs, p = self._fs(self.path(name))
-        return fs.exists(p)
+        return fs.exists(p) and (self.log(name).exists() or any(f.getPath().getName() not in ("_log", "data") for f in fs.listStatus(p)))
 
-    def read(self, name: str, columns: list[str] | None = None, where: str | Column | None = None, partition: dict[str, str] | None = None, missing_ok: bool = False) -> DataFrame:
-        """A dataset by its schema, files united by name; filters on partition columns prune."""
+    def read(self, name: str, columns: list[str] | None = None, where: str | Column | None = None, partition: dict[str, str] | None = None, missing_ok: bool = False, version: int | None = None) -> DataFrame:
+        """A dataset by its schema, files united by name; filters on partition columns prune.
+        What its log names, at a version; a folder without a log is read as it is."""
         if not self.exists(name):
             if missing_ok and name in DATASETS:
                 return DATASETS[name].empty(self.spark)
             raise MissingDataset(f"E2003: {name} has no files")
-        reader = self.spark.read
-        reader = reader.schema(DATASETS[name].schema) if name in DATASETS else reader.option("mergeSchema", True)
-        df = reader.parquet(self.path(name))
+        log = self.log(name)
+        if log.exists():
+            df = log.read(version, DATASETS[name].schema if name in DATASETS else None)
+        else:
+            reader = self.spark.read
+            reader = reader.schema(DATASETS[name].schema) if name in DATASETS else reader.option("mergeSchema", True)
+            df = reader.parquet(self.path(name))
         for key, value in (partition or {}).items():
             df = df.where(F.col(key) == value)
         if where is not None:
             df = df.where(where)
         return df.select(*columns) if columns else df
 
-    def write(self, name: str, df: DataFrame, run_id: str = "run", mode: str = "append") -> None:
-        """Enforce the schema and append, clustered by partition and sorted within files, so
-        min/max statistics are tight. A large partition is dealt over several tasks by its
-        sort columns. Files are written aside and then moved in under the run's name, so a run
-        that dies leaves no half of itself among the data. An empty table writes nothing."""
+    def write(self, name: str, df: DataFrame, run_id: str | None = None, mode: str = "append", cursors: dict[str, str] | None = None) -> int:
+        """Enforce the schema and append or overwrite in one commit, clustered by partition and
+        sorted within files, so min/max statistics are tight. Partitions meet by a rebalancing
+        shuffle, which splits large ones over several tasks and needs no sampling run. A run
+        that dies is invisible, a repeated run adds nothing, and `cursors` advance with the rows.
+        Returns the version."""
         d = DATASETS[name]
         keys = [*d.partition_by, *d.sort_by]
         df = d.enforce(df)
-        df = (df.repartitionByRange(*keys) if d.partition_by else df).sortWithinPartitions(*keys) if keys else df
-        token = run_token(run_id)
-        aside = f"{self.path(name)}/_writing-{token}-{uuid.uuid4().hex}"
-        writer = df.write.mode("errorifexists").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3")
-        writer.partitionBy(*d.partition_by).parquet(aside) if d.partition_by else writer.parquet(aside)
-        fs, top = self._fs(aside)
-        if mode == "overwrite" and self.exists(name):
-            for kept in fs.listStatus(self._fs(self.path(name))[1]):
-                if not kept.getPath().getName().startswith("_writing-"):
-                    fs.delete(kept.getPath(), True)
-        found, n = fs.listFiles(top, True), 0
-        while found.hasNext():
-            file = found.next()
-            if not file.getPath().getName().endswith(".parquet") or not file.getLen():
-                continue
-            inside = file.getPath().getParent().toString().split(top.getName(), 1)[1].strip("/")
-            _, to = self._fs("/".join(x for x in (self.path(name), inside, f"{token}-{n:05d}-{uuid.uuid4().hex[:8]}.parquet") if x))
-            fs.mkdirs(to.getParent())
-            if not fs.rename(file.getPath(), to):
-                raise OSError(f"{name}: {file.getPath()} was not moved to {to}")
-            n += 1
-        fs.delete(top, True)
+        df = (df.hint("rebalance", *d.partition_by) if d.partition_by else df).sortWithinPartitions(*keys) if keys else df
+        return self.log(name).write(df, mode, run_id and run_token(run_id), d.partition_by, cursors)
 
     def register(self, names: list[str] | None = None) -> None:
         """A view for each dataset that has files: layer/dataset becomes layer_dataset."""
@@ -138,35 +129,20 @@ class Lakehouse:
     # -- compaction ----------------------------------------------------------
 
     def compaction_plan(self, name: str) -> DataFrame:
-        return compaction_plan(self.files(name).withColumn("partition", F.regexp_extract("path", rf"{re.escape(name)}/(.*)/[^/]*$", 1)))
+        live = [(p, f["size"], f["partition"]) for p, f in self.log(name).state().files.items()]
+        return compaction_plan(self.spark.createDataFrame(live, "path string, length long, partition string"))
 
     def compact(self, name: str, partition: str) -> int:
-        """Rewrite one partition as sorted files of good size; returns the rows. The old folder
-        is renamed aside, the new one renamed in, and only then the old one deleted; whatever
-        dies between, the next call finds one of them whole and goes on from there."""
+        """Rewrite one partition as sorted files of good size, in one commit; returns the rows.
+        What is appended meanwhile stays, readers see the old files or the new ones."""
         d: Dataset = DATASETS[name]
-        mark = hashlib.blake2b(partition.encode(), digest_size=6).hexdigest()
-        fs, where = self._fs(f"{self.path(name)}/{partition}")
-        (_, fresh), (_, aside) = (self._fs(f"{self.path(name)}/_{x}-{mark}") for x in ("compact", "old"))
-
-        def move(a, b) -> None:
-            if not fs.rename(a, b):
-                raise OSError(f"{name}: {a} was not renamed to {b}")
-
-        if fs.exists(aside) and not fs.exists(where):  # a former call died between the renames
-            move(aside, where)
-        fs.delete(aside, True)
-        old = self.spark.read.parquet(where.toString())
-        size, rows = fs.getContentSummary(where).getLength(), old.count()
-        sort = [c for c in d.sort_by if c in old.columns]
-        parts = max(1, round(size / (4 * COMPACT_BYTES)))
-        (old.repartitionByRange(parts, *sort) if sort else old.repartition(parts)).sortWithinPartitions(*sort).write.mode("overwrite").option("compression", "zstd").parquet(fresh.toString())
-        if self.spark.read.parquet(fresh.toString()).count() != rows:
-            raise RuntimeError(f"{name}/{partition}: the compacted files do not have {rows} rows")
-        move(where, aside)
-        move(fresh, where)
-        fs.delete(aside, True)
-        return rows
+
+        def rewrite(rows: DataFrame, size: int) -> DataFrame:
+            sort = [c for c in d.sort_by if c in rows.columns]
+            parts = max(1, round(size / (4 * COMPACT_BYTES)))
+            return (rows.repartitionByRange(parts, *sort) if sort else rows.repartition(parts)).sortWithinPartitions(*sort)
+
+        return self.log(name).compact(partition, rewrite)
 
 
 def compaction_plan(files: DataFrame, most: int = COMPACT_FILES, small: int = COMPACT_BYTES) -> DataFrame:

@@ -70,10 +70,14 @@ def _load(state) -> pa.Table | None:
 
 
 class Gate(StatefulProcessor):
-    """Holds sales until H. A batch's tick brings H to every key, also to one without sales."""
+    """Holds sales until H. A batch's tick brings H to every key, also to one without sales; that
+    of the last batch lets what still waits go behind it, as one batch more."""
 
     _KEPT = ("key", "id", "client", "at")
 
+    def __init__(self, batches: int) -> None:
+        self.batches = batches
+
     def init(self, handle) -> None:
         self.waiting = handle.getValueState("waiting", "rows binary")
 
@@ -87,13 +91,19 @@ class Gate(StatefulProcessor):
         every = new if held is None else pa.concat_tables([held, new])
         at = every["at"].to_numpy()
         go = (at == NONE) | (at < h)
-        if not go.all():
+        out = [(go, before, batch)]
+        if batch == self.batches - 1:
+            out.append((~go, h, self.batches))
+            if held is not None:
+                self.waiting.clear()
+        elif not go.all():
             self.waiting.update((_ipc(every.filter(pa.array(~go))),))
         elif held is not None:
             self.waiting.clear()
-        if go.any():
-            out = every.filter(pa.array(go)).to_pandas()
-            yield out.assign(h_before=before, batch=batch)[["key", "id", "client", "at", "h_before", "batch"]].astype({"key": "int32", "batch": "int32"})
+        for some, since, number in out:
+            if some.any():
+                found = every.filter(pa.array(some)).to_pandas().assign(h_before=since, batch=number)
+                yield found[["key", "id", "client", "at", "h_before", "batch"]].astype({"key": "int32", "batch": "int32"})
 
     def close(self) -> None:
         pass
@@ -132,17 +142,25 @@ class Versions(StatefulProcessor):
     def init(self, handle) -> None:
         self.versions = handle.getValueState("versions", "rows binary")
 
+    def __init__(self, batches: int) -> None:
+        self.batches = batches
+
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        sales, changes, late, before = [], [], [], NONE
+        sales, rest, changes, late, before, end = [], [], [], [], END, NONE
         for f in rows:
-            before = int(f["h_before"].iloc[0])
-            change = f["rec"].to_numpy() == "change"
+            change, last = f["rec"].to_numpy() == "change", f["batch"].to_numpy() == self.batches
+            if not last.all():
+                before = min(before, int(f["h_before"].to_numpy()[~last].min()))
+            if last.any():
+                end = int(f["h_before"].to_numpy()[last][0])
             gone = change & (f["at"].to_numpy() < f["late_before"].to_numpy())
             late.append(f.loc[gone & (f["copy"].to_numpy() == 0), ["id", "batch"]])
             changes.append(f.loc[change & ~gone & (f["client"].to_numpy() != NONE), list(self._KEPT)])
-            sales.append(f.loc[~change, ["id", "client", "at", "batch"]])
+            for some, to in ((~change & ~last, sales), (last, rest)):
+                to.append(f.loc[some, ["id", "client", "at", "batch"]])
+        before = end if before == END else before
         new = pd.concat(changes, ignore_index=True)
         held = _load(self.versions)
         if held is None:
@@ -152,12 +170,17 @@ class Versions(StatefulProcessor):
             now = pd.concat([kept, new], ignore_index=True) if len(new) else kept
         if len(new):
             now = now.iloc[np.lexsort([now[c].to_numpy("int64") for c in ("id", "seq", "at", "client")])].reset_index(drop=True)
-        client, at = now["client"].to_numpy("int64"), now["at"].to_numpy("int64")
         if len(new) or (held is not None and held.num_rows != len(now)):
             self.versions.update((_ipc(pa.Table.from_pandas(now[list(self._KEPT)], pa.schema([(c, pa.string() if c == "op" else pa.int64()) for c in self._KEPT]), preserve_index=False)),))
         for f in late:
             if len(f):
                 yield self._rows("late", f, NONE, NONE, NONE, None)
+        yield from self._answers(now, sales)
+        if any(len(f) for f in rest):  # behind the last batch, and so behind its pruning
+            yield from self._answers(now[prune(now["client"].to_numpy("int64"), now["at"].to_numpy("int64"), end)], rest)
+
+    def _answers(self, now, sales):
+        client, at = now["client"].to_numpy("int64"), now["at"].to_numpy("int64")
         ids, cents, op = now["id"].to_numpy("int64"), now["cents"].to_numpy("int64"), now["op"].astype(object).where(now["op"].notna(), None).to_numpy(object)
         for f in sales:
             if len(f):
@@ -178,8 +201,9 @@ class Versions(StatefulProcessor):
 
 @contextlib.contextmanager
 def _stores(spark: SparkSession):
-    """Settings that transformWithState asks for, for the time of a run."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    """Settings for the time of a run: transformWithState asks for RocksDB, and as a start reads
+    one batch, its stores are closed with it instead of being kept on the executors' disks."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -216,7 +240,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = 8, first_d
     Both tables are cut into `batches` by the day of arrival (a change arrives up to `spread` - 1
     days after its time), written under spark.checkpoint.dir and shown to the query in
     order, which is started anew for each on one checkpoint and ends when it has read
-    the batch. A last start releases what still waits, as batch `batches`."""
+    the batch. With the last one what still waits is released behind it, as batch `batches`."""
     spark = sales.sparkSession
     home = f"{shared_dir(spark)}/corpusloom-enrich-{uuid.uuid4().hex}"
     day = lambda c: F.unix_date(F.col(c).cast("date"))
@@ -224,7 +248,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = 8, first_d
     shift = F.coalesce(F.crc32(F.col("change_id").cast("string")) % spread, F.lit(0))
     c = changes.select(*_CHANGE).where("valid_at is not null").withColumn("batch", _batch(day("valid_at") + shift, batches, first_day, days)).withColumn("at", _micros(F.col("valid_at")))
     late, h = horizons(_largest(s, batches), _largest(c, batches), delay_hours * 3_600_000_000)
-    h, before = [*h, END], [NONE, *h]
+    before = [NONE, *h[:-1]]
     at_batch = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("batch") + 1)
 
     n_sales = s.count()
@@ -238,15 +262,16 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = 8, first_d
     known = [_known(F.col(x)).alias(x) for x in ("id", "client", "at")]
     gate = F.pmod(own, F.lit(keys)).cast("int").alias("gate")
     fed = dealt(s).select(gate, key(F.pmod(F.shiftright(own, 8), F.col("_parts")).cast("int")).alias("key"), *known, at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
-    ticks = spark.range(keys * (batches + 1)).select((F.col("id") % keys).cast("int").alias("gate"), F.lit(0).alias("key"), F.lit(NONE).alias("none"), F.lit(NONE).alias("client"), F.lit(END).alias("at"), F.floor(F.col("id") / keys).cast("int").alias("batch"))
+    ticks = spark.range(keys * batches).select((F.col("id") % keys).cast("int").alias("gate"), F.lit(0).alias("key"), F.lit(NONE).alias("none"), F.lit(NONE).alias("client"), F.lit(END).alias("at"), F.floor(F.col("id") / keys).cast("int").alias("batch"))
     ticks = ticks.select("gate", "key", F.col("none").alias("id"), "client", "at", at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
     fed.union(ticks).write.partitionBy("batch").parquet(f"{home}/staged/sales")
 
     cents = F.floor(F.nullif(F.col("balance"), F.lit(float("nan"))) * 100 + F.lit(0.5))
     # every one of the nine columns tells changes apart; only then are some left out
     v = c.dropDuplicates(_CHANGE).select(F.col("change_id").alias("id"), F.col("client_id").cast("long").alias("client"), "at", "seq", cents.alias("cents"), F.col("op").cast("string").alias("op"), "batch")
-    v = dealt(v).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    v = v.select(key(F.col("copy")).alias("key"), *known, _known(F.col("seq")).alias("seq"), _known(F.col("cents")).alias("cents"), "op", "copy", at_batch([*late, END]).alias("late_before"), at_batch(before).alias("h_before"), "batch")
+    v = dealt(v)  # a key takes one copy, however many of a client's parts it has
+    v = v.select("*", F.posexplode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), key))).alias("copy", "key"))
+    v = v.select("key", *known, _known(F.col("seq")).alias("seq"), _known(F.col("cents")).alias("cents"), "op", "copy", at_batch(late).alias("late_before"), at_batch(before).alias("h_before"), "batch")
     v.write.partitionBy("batch").parquet(f"{home}/staged/changes")
 
     fs, path = _files(spark, home)
@@ -254,11 +279,11 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = 8, first_d
         fs.mkdirs(path(f"{home}/fed/{side}"))
     _written.append((spark, home))
     with _stores(spark):
-        for b in range(batches + 1):
+        for b in range(batches):
             for side in ("sales", "changes"):
                 if fs.exists(path(f"{home}/staged/{side}/batch={b}")):
                     fs.rename(path(f"{home}/staged/{side}/batch={b}"), path(f"{home}/fed/{side}/batch={b}"))
-            _stream(spark, home).start(f"{home}/found").awaitTermination()
+            _stream(spark, home, batches).start(f"{home}/found").awaitTermination()
     found = spark.read.schema(_OUT).parquet(f"{home}/found")
     real = [F.when(F.col(x) != NONE, F.col(x)).alias(x) for x in ("n_held", "change_id", "balance_cents")]
     return found.select("rec", F.when(F.col("id") != NONE, F.col("id")).alias("id"), F.col("batch").cast("long").alias("batch"), *real, "op")
@@ -270,15 +295,15 @@ def _files(spark: SparkSession, home: str):
     return path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def _stream(spark: SparkSession, home: str):
+def _stream(spark: SparkSession, home: str, batches: int):
     """The query: gate, then versions, on the files shown so far and the state of earlier starts."""
     sales = spark.readStream.schema(_SALES).parquet(f"{home}/fed/sales")
     changes = spark.readStream.schema(_CHANGES).parquet(f"{home}/fed/changes")
-    released = sales.groupBy("gate").transformWithStateInPandas(Gate(), _RELEASED, "append", "none")
+    released = sales.groupBy("gate").transformWithStateInPandas(Gate(batches), _RELEASED, "append", "none")
     lit = lambda v, kind: F.lit(v).cast(kind)
     a = released.select("key", F.lit("sale").alias("rec"), "id", "client", "at", lit(NONE, "long").alias("seq"), lit(NONE, "long").alias("cents"), lit(None, "string").alias("op"), lit(0, "int").alias("copy"), lit(NONE, "long").alias("late_before"), "h_before", "batch")
     b = changes.select("key", F.lit("change").alias("rec"), "id", "client", "at", "seq", "cents", "op", "copy", "late_before", "h_before", "batch")
-    out = a.union(b).groupBy("key").transformWithStateInPandas(Versions(), _OUT, "append", "none")
+    out = a.union(b).groupBy("key").transformWithStateInPandas(Versions(batches), _OUT, "append", "none")
     return out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
+from corpusloom.session import spread
 
 #: Bits in which fingerprints of near duplicates may differ.
 DISTANCE = 3
@@ -47,7 +48,7 @@ def simhash(df: DataFrame, id_col: str, text_col: str, n: int = 4) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda w: _vote([hashlib.md5(g.encode()).digest()[:8] for g in _grams(list(w), n) if g]) if w is not None else 0)
 
-    return df.select(id_col, F.coalesce(run(words(F.col(text_col))), F.lit(0).cast("long")).alias("simhash"))
+    return spread(df.select(id_col, text_col)).select(id_col, F.coalesce(run(words(F.col(text_col))), F.lit(0).cast("long")).alias("simhash"))
 
 
 _TOKEN = re.compile(r"\w+")
@@ -95,14 +96,17 @@ def near_pairs(fingerprints: DataFrame, id_col: str, fp_col: str = "simhash", di
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest reachable node, by minimum labels over the links."""
-    both = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct()
+    """(node, component): the smallest reachable node. A round takes the smallest label among the
+    neighbours and then the label of that label, so a chain of n nodes needs about log n rounds
+    instead of n. Each round is written, so what follows doesn't work it out again."""
+    both = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).checkpoint()
-    both = both.checkpoint()
     while True:
-        step = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m")).join(labels, "x")
-        new = step.select("x", F.least("m", "l").alias("l"), (F.col("m") < F.col("l")).alias("moved")).checkpoint()
-        if not new.where("moved").limit(1).count():
+        near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
+        step = near.join(labels, "x").select("x", F.col("l").alias("was"), F.least("m", "l").alias("l")).checkpoint()
+        jump = step.select(F.col("x").alias("l"), F.col("l").alias("further"))
+        new = step.join(jump, "l").select("x", F.least("l", "further").alias("l"), (F.least("l", "further") < F.col("was")).alias("moved")).checkpoint()
+        if new.where("moved").isEmpty():
             return new.select(F.col("x").alias("node"), F.col("l").alias("component"))
         labels = new.select("x", "l")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corpusloom.functions.text import let, search_terms, search_tokens
+from corpusloom.session import spread, written
 
 K1, B = 1.5, 0.75
 RRF_K, FUSED, MARGINAL, SOFT_BONUS, SOFT_PENALTY, TYPE_BOOST = 60, 40, 0.9, 1.05, 0.85, 1.05
@@ -38,6 +39,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, t
             own = [pa.array([sum(c.values()) for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *own, *(batch.column(f.name) for f in rest)], ["id", "dl", "terms", "tfs", *(f.name for f in rest)])
 
+    base = spread(base)
     schema = StructType([base.schema["id"], StructField("dl", IntegerType()), StructField("terms", ArrayType(StringType())), StructField("tfs", ArrayType(IntegerType())), *rest])
     return base.mapInArrow(run, schema)
 
@@ -76,6 +78,17 @@ def _statistics(index: DataFrame, terms: set[str], frequencies: DataFrame | None
     return (own["df"], own["size"] / own["df"], {t: x["df"] for t, x in found.items()}) if own else (0, 0.0, {})
 
 
+def _best(found: list[tuple], k: int) -> tuple:
+    """Of (query, kind, score, id) arrays the k best of each query and kind, ties to the smaller id."""
+    q, kind, s, i = (np.concatenate([f[c] for f in found]) for c in range(4))
+    by = np.unique(i, return_inverse=True)[1] if len(i) else np.zeros(0, np.int64)
+    order = np.lexsort((by, -np.round(s, 6), kind, q))
+    group = q[order].astype(np.int64) * 2 + kind[order]
+    first = np.searchsorted(group, group)
+    order = order[np.arange(len(order)) - first < k]
+    return q[order], kind[order], s[order], i[order]
+
+
 def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.ndarray, exact: np.ndarray, qids: list, avgdl: float, k: int):
     """Documents against all queries: each batch becomes a matrix of its terms that queries
     have, a block of queries one of their weights; the k best of either kind (with an exact
@@ -88,7 +101,7 @@ def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.nd
         blocks.append((lo, min(QUERY_BLOCK, len(qids) - lo), names, col, owner[mine] - lo, weight[mine], exact[mine]))
 
     def run(batches):
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * (2 * len(qids))
+        kept: list[list[tuple]] = [[] for _ in blocks]  # of each block: (query, kind, score, id) arrays of what may be among the k best
         id_kind = pa.int64()
         for batch in batches:
             id_kind = batch.column("id").type
@@ -100,7 +113,7 @@ def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.nd
                 which, tf = hit.drop_null().to_numpy(zero_copy_only=False), part.column("tfs").flatten().to_numpy(zero_copy_only=False)[ok]
                 dl, ids = part.column("dl").to_numpy(zero_copy_only=False), np.array(part.column("id").to_pylist(), dtype=object)
                 share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
-                for lo, n, names, col, own, w, e in blocks:
+                for b, (lo, n, names, col, own, w, e) in enumerate(blocks):
                     place = np.searchsorted(names, which)
                     inside = place < len(names)
                     inside[inside] = names[place[inside]] == which[inside]
@@ -114,16 +127,13 @@ def _ranked(terms: list[str], owner: np.ndarray, term: np.ndarray, weight: np.nd
                         s = np.where((exact_hit == bool(kind)) & (score > 0), score, 0.0)
                         edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
                         rows, cols = np.nonzero((s > 0) & (np.round(s, 6) >= np.round(edge, 6)[:, None]))
-                        cuts = np.searchsorted(rows, np.arange(n + 1))
-                        for j in np.unique(rows).tolist():
-                            c = cols[cuts[j] : cuts[j + 1]]
-                            old_s, old_i = best[2 * (lo + j) + kind]
-                            every_s, every_i = np.concatenate([old_s, s[j, c]]), np.concatenate([old_i, ids[c]])
-                            order = sorted(range(len(every_s)), key=lambda x: (-round(every_s[x], 6), every_i[x]))[:k]
-                            best[2 * (lo + j) + kind] = every_s[order], every_i[order]
-        out = [(j // 2, i, float(s), j % 2 == 1) for j, (ss, ii) in enumerate(best) for s, i in zip(ss, ii, strict=True)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], id_kind), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.bool_())], ["n", "id", "s", "hit"])
+                        kept[b].append((rows + lo, np.full(len(rows), kind), s[rows, cols], ids[cols]))
+                    if sum(len(x[0]) for x in kept[b]) > 8 * (n * k + 1000):
+                        kept[b] = [_best(kept[b], k)]
+        out = [_best(x, k) for x in kept if x]
+        if out and sum(len(x[0]) for x in out):
+            q, kind, s, i = (np.concatenate([x[c] for x in out]) for c in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(i.tolist(), id_kind), pa.array(s, pa.float64()), pa.array(kind == 1, pa.bool_())], ["n", "id", "s", "hit"])
 
     return run
 
@@ -169,9 +179,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, query_col: str = "q
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col: str = "query_id", k: int = 5, text_col: str = "text", tokens=None, exact_terms: bool = False, among: Column | None = None) -> DataFrame:
-    """`search` over an index made for the call; see there."""
+    """`search` over an index made for the call and written once; see there."""
     more = {} if among is None else {"among": among}
-    made = index(docs, id_col, F.col(text_col), tokens, **more)
+    made = written(index(docs, id_col, F.col(text_col), tokens, **more), "bm25")
     return search(made, queries, k, query_col, id_col, text_col, tokens or search_tokens, exact_terms, None if among is None else F.col("among"))
 
 
@@ -232,6 +242,16 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     return top_k(out, k).select(F.col("q").alias("query_id"), F.col("id").alias(id_col), "score", "rank")
 
 
+def dense_variants(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", among: Column | None = None) -> DataFrame:
+    """(query_id, id, score, rank) for queries(query_id, vec) of several vectors each: a passage
+    counts by its best score over the variants. The k best of a query are among the k best of
+    its variants, so nothing else leaves the search. Equal rows of a query count once."""
+    kept = written(queries.select("query_id", F.col(vec_col).alias("vec")).distinct().withColumn("n", F.monotonically_increasing_id()), "variants")
+    hits = dense(vectors, kept.select(F.col("n").alias(id_col), F.col("vec").alias(vec_col)), k, id_col, vec_col, skip_self=False, among=among)
+    best = hits.withColumnRenamed("query_id", "n").join(kept.select("n", "query_id"), "n").groupBy(F.col("query_id").alias("q"), F.col(id_col).alias("id")).agg(F.max("score").alias("score"))
+    return top_k(best, k).select(F.col("q").alias("query_id"), F.col("id").alias(id_col), "score", "rank")
+
+
 def rrf(dense_hits: DataFrame, sparse_hits: DataFrame, sparse_weight: Column | float = 1.0, k: int = RRF_K, keep: int = FUSED, q: str = "query_id", i: str = "doc_id") -> DataFrame:
     """(query, id, dense_rank, sparse_rank, rrf_score, rank) by reciprocal ranks."""
     d = dense_hits.select(q, i, F.col("rank").alias("dense_rank"))

@@ -16,6 +16,7 @@ from corpusloom.operators import answers, chunking, dedup, evaluation, governanc
 from corpusloom.operators import query as query_
 from corpusloom.plans import views
 from corpusloom.plans.schemas import Dataset
+from corpusloom.session import written
 from corpusloom.sources import lakehouse, pages
 from corpusloom.streaming import events as streams
 
@@ -504,8 +505,9 @@ SELECT query_id, doc_id, soft_match, row_number() OVER (PARTITION BY query_id OR
 def soft_filter_relax(spark, d):
     """The best documents under the filter, filled up from the unfiltered pass where few."""
     docs, q = table(spark, d, "documents"), _questions(spark, d)
-    hits = retrieval.bm25(docs, q, k=20).select("query_id", "doc_id", "rank")
-    filtered = retrieval.bm25(docs, q, k=8, among=F.col("lang") == "en").select(*hits.columns)
+    made = written(retrieval.index(docs, lang=F.col("lang")), "bm25")
+    hits = retrieval.search(made, q, k=20).select("query_id", "doc_id", "rank")
+    filtered = retrieval.search(made, q, k=8, among=F.col("lang") == "en").select(*hits.columns)
     return retrieval.soft_relax(filtered, hits, 8).select("query_id", "doc_id", "soft_match", "rank")
 
 
@@ -560,8 +562,10 @@ def vector_store_apply(spark, d):
 
 def _reranked(spark, d):
     docs, q = table(spark, d, "documents"), _questions(spark, d)
-    hits = retrieval.bm25(docs, q, k=10)
-    rows = hits.join(docs.select("doc_id", text.content_terms(F.col("text")).alias("passage_terms")), "doc_id").join(q.select("query_id", text.content_terms(F.col("text")).alias("query_terms")), "query_id")
+    hits = written(retrieval.bm25(docs, q, k=10), "hits")
+    cores = 2 * spark.sparkContext.defaultParallelism
+    found = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").repartition(cores)  # terms once for each passage
+    rows = hits.join(found.select("doc_id", text.content_terms(F.col("text")).alias("passage_terms")), "doc_id").repartition(cores, "query_id", "doc_id").join(q.select("query_id", text.content_terms(F.col("text")).alias("query_terms")), "query_id")
     return retrieval.rerank(rows, 8)
 
 

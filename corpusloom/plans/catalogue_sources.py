@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from corpusloom.operators import assemble, chunking, ingest, lineage, sketches
+from corpusloom.functions import markdown
+from corpusloom.operators import answers, assemble, chunking, ingest, lineage, retrieval, sketches
 from corpusloom.plans.catalogue import _SECRET, QUERIES, SQL, query, table
+from corpusloom.session import shared_folder
 from corpusloom.sources import crawl, dom, layout
 from corpusloom.streaming import documents as streams
 
 __all__ = ["QUERIES", "SQL"]
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # -- web pages -----------------------------------------------------------------
 
 
@@ -127,7 +119,7 @@ def document_status(spark, d):
 def document_status_stream(spark, d):
     """The same by the stateful stream over files of events in any order. A last event far in the
     future, of no document, brings the watermark past all others."""
-    home, e = scratch(spark, "status"), _status_events(spark, d)
+    home, e = shared_folder(spark, "status"), _status_events(spark, d)
     e.repartition(3).write.parquet(f"{home}/in")
     last = spark.createDataFrame([(-1, -1, "other", "")], "document_id long, event_id long, kind string, content string").withColumn("ts", F.lit("2099-01-01").cast("timestamp"))
     last.select(*e.columns).coalesce(1).write.mode("append").parquet(f"{home}/in")
@@ -230,3 +222,63 @@ def layout_counts(spark, d):
 @query()
 def layout_blocks(spark, d):
     return layout.blocks(_laid_out(spark, d))
+
+
+# -- several variants a query, places of passages, the embedding cache ----------------------
+
+
+@query("""WITH v AS (SELECT vec_id // 50 AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 < 3),
+s AS (SELECT query_id, vec_id, max(round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) + 0.0) AS score FROM v, embeddings GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def dense_variants(spark, d):
+    """Questions of three vectors each against all vectors."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 < 3").select(F.floor(F.col("vec_id") / 50).alias("query_id"), "embedding")
+    return retrieval.dense_variants(v, asked, k=10)
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'T' || (doc_id % 7) || ', p. ' || (doc_id % 5) || CASE WHEN doc_id % 3 > 0 THEN '–' || (doc_id % 5 + doc_id % 3) ELSE '' END
+WHEN 1 THEN 'repo/' || 'src/f' || doc_id || '.md#L' || (doc_id % 9) || '-L' || (doc_id % 9 + 3) || ' @ main'
+WHEN 2 THEN 'https://h/' || doc_id || CASE WHEN len(w) > 0 THEN '#:~:text=' || array_to_string(w[1:8], ' ') ELSE '' END ELSE 'https://h/' || doc_id END AS locator
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents)""")
+def result_locators(spark, d):
+    """Where a passage stands, for each kind of source."""
+    docs = table(spark, d, "documents")
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "github", "html", "upload"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    row = {
+        "title": F.concat(F.lit("T"), F.col("doc_id") % 7), "uri": F.concat(F.lit("https://h/"), "doc_id"), "page_start": F.col("doc_id") % 5, "page_end": F.col("doc_id") % 5 + F.col("doc_id") % 3, "line_start": F.col("doc_id") % 9,
+        "line_end": F.col("doc_id") % 9 + 3, "repo": F.lit("repo"), "path": F.concat(F.lit("src/f"), "doc_id", F.lit(".md")), "branch": F.lit("main"), "text": F.coalesce("text", F.lit("")),
+    }
+    return docs.select("doc_id", answers.locator(kind, row).alias("locator"))
+
+
+@query("""WITH c AS (SELECT user_id AS digest, max(ts) AS last_used, count(*) AS hits FROM events WHERE event_type = 'view' GROUP BY user_id),
+a AS (SELECT user_id AS digest, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id % 9 = 0 GROUP BY user_id),
+h AS (SELECT c.digest, CASE WHEN a.n IS NULL THEN last_used ELSE TIMESTAMP '2024-02-01 00:00:00' END AS last_used, hits + coalesce(n, 0) AS hits FROM c LEFT JOIN a USING (digest))
+SELECT digest, last_used, hits FROM h WHERE last_used > TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 5 DAY ORDER BY last_used DESC, hits DESC, digest LIMIT 60""")
+def cache_after_a_batch(spark, d):
+    """The embedding cache after lookups were counted and old entries have gone."""
+    e = table(spark, d, "events")
+    cache = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("digest")).agg(F.max("ts").alias("last_used"), F.count("*").alias("hits"))
+    asked = e.where("event_type = 'purchase' and user_id % 9 = 0").select(F.col("user_id").alias("digest"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    return answers.cache_evict(answers.cache_hits(cache, asked, now), 60, now, 5)
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}'))) AS word FROM documents) GROUP BY word HAVING count(*) >= 2")
+def vocabulary(spark, d):
+    return answers.vocabulary(table(spark, d, "documents"))
+
+
+# -- front matter -----------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, 'Doc: ' || doc_id AS title, 'a, ' || lang AS tags, 'x, y z' AS owners, CASE WHEN doc_id % 3 = 0 THEN 'restricted' ELSE 'internal' END AS level, 5::INT AS n_fields, length(text)::INT AS n_body
+FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def front_matter_fields(spark, d):
+    """Every document as a file with front matter, its fields read back."""
+    head = F.concat(F.lit('---\ntitle: "Doc: '), "doc_id", F.lit('" # shown\ntags: [a, \''), "lang", F.lit("']\nowners:\n  - x\n  - y z\nsecurity_level: public\nsecurity_level: "), F.when(F.col("doc_id") % 3 == 0, "restricted").otherwise("public"), F.lit("\nother:\n  nested: 1\n---\n"))
+    df = table(spark, d, "documents").where("text is not null and lang is not null").select("doc_id", F.concat(head, "text").alias("file"))
+    df = df.withColumn("f", markdown.front_matter(F.col("file")))
+    return df.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["tags"].alias("tags"), F.col("f")["owners"].alias("owners"), markdown.raise_only(F.lit("internal"), F.col("f")["security_level"]).alias("level"), F.size("f").alias("n_fields"), F.length(markdown.body(F.col("file"))).alias("n_body"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # What every session of the engine sets. Sizes are left to the cluster.
 SETTINGS = {
@@ -35,3 +37,25 @@ def object_store(endpoint: str, access_key: str, secret_key: str, path_style: bo
         "spark.hadoop.fs.s3a.path.style.access": str(path_style).lower(),
         "spark.hadoop.fs.s3a.connection.ssl.enabled": str(tls).lower(),
     }
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores if their files are fewer than these: one file is often one row
+    group, and so one task for all work that needs no shuffle. Of more files it changes nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: made once, read by column by all that follows."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.session import spread
+
 # What is no content, which containers count as the main one in which order, and
 # the elements among which else the densest is taken.
 CHROME_TAGS = {"script", "style", "noscript", "iframe", "svg", "canvas", "template", "nav", "footer", "header", "aside", "form", "button"}
@@ -272,4 +274,4 @@ def main_subtree(pages: DataFrame) -> DataFrame:
     """The main subtree of each of pages(page_id, url, html): its element (null: no body), the
     lengths it was chosen by, the page's metadata, and its blocks. A null page has none."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(_parse, f"page_id {kind}, url string, main_tag string, n_nodes int, n_chars long, n_link_chars long, n_markup long, title string, canonical string, lang string, meta map<string,string>, blocks array<struct<kind:string,level:int,text:string>>")
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(_parse, f"page_id {kind}, url string, main_tag string, n_nodes int, n_chars long, n_link_chars long, n_markup long, title string, canonical string, lang string, meta map<string,string>, blocks array<struct<kind:string,level:int,text:string>>")

@@ -14,15 +14,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.functions import ids
+from corpusloom.functions import ids, markdown
 from corpusloom.operators import assemble, chunking, dedup, ingest, lineage, runs, sketches
 from corpusloom.plans import catalogue_sources
 from corpusloom.sources import crawl, dom, lakehouse, layout
 
-TABLES = "documents pages events lineitem conversations".split()
+TABLES = "embeddings documents pages events lineitem conversations".split()
 
 
-@pytest.mark.parametrize("name", ["crawl_frontier", "conditional_state", "ingest_counts", "document_status", "document_status_stream", "lineage_closure", "sketches_merged", "sql_grouping_sets", "sitemap_listing", "layout_counts", "chunk_run", "chunk_run_counts"])
+@pytest.mark.parametrize("name", ["crawl_frontier", "conditional_state", "ingest_counts", "document_status", "document_status_stream", "lineage_closure", "sketches_merged", "sql_grouping_sets", "sitemap_listing", "layout_counts", "dense_variants", "result_locators", "cache_after_a_batch", "vocabulary", "front_matter_fields", "chunk_run", "chunk_run_counts"])
 def test_query_equals_its_sql(spark, sf, name):
     got = catalogue_sources.QUERIES[name](spark, sf).collect()
     con = duckdb.connect()
@@ -431,3 +431,24 @@ def test_blocks_of_a_laid_out_document(spark):
     made = assemble.assemble(layout.documents(spans)).where("document_id = 'd'")
     where = made.withColumns(assemble.locate(F.instr("text", "Last").cast("int") - 1, F.instr("text", "Last").cast("int"))).first()
     assert where["page_start"] == 3 and where["heading_path"] == ["Title", "Part", "Strong"] and layout.blocks(spans.limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 310)] + [(310, 300), (500, 501)]
+    rounds, plain = [], type(spark.range(1)).isEmpty
+    monkeypatch.setattr(type(spark.range(1)), "isEmpty", lambda df: rounds.append(1) or plain(df))
+    got = {r["node"]: r["component"] for r in dedup.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 1 for i in range(1, 201)}, **{i: 300 for i in range(300, 311)}, 500: 500, 501: 500} and len(rounds) < 15
+
+
+def test_front_matter_and_mdx(spark):
+    files = ["---\ntitle: A 'b'\nempty:\n---\n# H", "no front", "---\n---\nx", "---\ntitle: x\nnever closed", None, "---\na: [1, 'two', ]\nb: \"q # r\"\n---", "text\n---\na: 1\n---\n"]
+    df = spark.createDataFrame([(f,) for f in files], "f string")
+    got = [(r["m"], r["b"]) for r in df.select(markdown.front_matter(F.col("f")).alias("m"), markdown.body(F.col("f")).alias("b")).collect()]
+    assert got[0] == ({"title": "A 'b'", "empty": ""}, "# H") and got[1] == ({}, "no front") and got[2] == ({}, "x")
+    assert got[3] == ({}, files[3]) and got[4] == (None, None) and got[5][0]["a"] == "1, two" and got[6] == ({}, files[6])
+    mdx = 'import Tabs from "@theme/Tabs"\n\n# Title\n\n<Tabs>\n<TabItem value="a">Body text here.</TabItem>\n</Tabs>\nexport const x = 1'
+    out = spark.createDataFrame([(mdx,)], "f string").select(markdown.strip_mdx(F.col("f"))).first()[0]
+    assert "import" not in out and "export" not in out and "Body text here." in out and "<" not in out
+    levels = spark.createDataFrame([("internal", "restricted"), ("restricted", "public"), ("public", "odd"), ("public", None)], "l string, r string")
+    assert [r[0] for r in levels.select(markdown.raise_only(F.col("l"), F.col("r"))).collect()] == ["restricted", "restricted", "public", "public"]

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; the sum at which text surges, and the weight of a character in an
-#: element that marks the article.
+#: Lines in a window; the sum at which text surges at the latest (a page whose largest sum is
+#: smaller surges there), and the weight of a character in an element that marks the article.
 WINDOW, SURGE = 3, 80
 #: A line counts as a menu if more than this share of its text is links.
 LINKS = 0.6
@@ -38,14 +38,14 @@ MARKED = {
     "comment", "commentlist", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo",
     "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor",
-    "sponsored", "subscribe", "toolbar", "widget", "widgets",
+    "responses", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
 #: Words that may stand beside those in one name ("ad-box", "site-footer", "related-posts").
 BESIDE = {
     "area", "articles", "bar", "block", "bottom", "box", "container", "form", "global", "group", "header", "inner", "items", "left", "links", "list",
-    "message", "outer", "page", "panel", "post", "posts", "right", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper",
+    "body", "content", "main", "message", "outer", "page", "text", "title", "panel", "post", "posts", "right", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper",
 }
-COMMENTS = {"comment", "comments", "commentlist", "replies", "disqus"}
+COMMENTS = {"comment", "comments", "commentlist", "replies", "responses", "disqus"}
 ROOTS = {"html", "body", "main", "article"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 
@@ -227,10 +227,11 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page)
     sizes = [len(t) * SURGE if c else len(t) if k <= LINKS * len(t) else 0 for t, k, c in lines]
     found = stretches(sizes)
+    surge = min(SURGE, max((top for *_, top in found), default=0))  # on a page of short lines the largest sums surge
     # Outside those elements, a short stretch between two that surge by their own text belongs to them.
-    plain = [x for x, (a, b, _) in enumerate(found) if sum(sizes[i] for i in range(a, b) if not lines[i][2]) >= SURGE]
+    plain = [x for x, (a, b, _) in enumerate(found) if sum(sizes[i] for i in range(a, b) if not lines[i][2]) >= surge]
     between = range(plain[0], plain[-1]) if plain else range(0)
-    kept = [(a, b) for x, (a, b, top) in enumerate(found) if top >= SURGE or x in between]
+    kept = [(a, b) for x, (a, b, top) in enumerate(found) if top >= surge or x in between]
     return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if sizes[i])
 
 

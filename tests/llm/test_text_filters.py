@@ -426,3 +426,13 @@ def test_pipeline_on_odd_rows(spark, sf, vocab, monkeypatch):
     for _, stage in pipeline.STAGES[:-1]:
         none = stage(spark, none, sf)
         assert none.count() == 0
+
+
+def test_main_text_of_short_pages_and_names():
+    assert html.main_text("<body><h1>Title</h1><p>Short text here.</p></body>") == "Title\nShort text here."
+    assert html.main_text('<div id="content"><h1>Fire at the mill</h1><p>Nobody was hurt.</p></div><footer>x</footer>') == "Fire at the mill\nNobody was hurt."
+    long = "<p>" + "Words of the article go on. " * 9 + "</p>"
+    for name in ("cookie-banner__text", "site-nav-main", "topbar"):
+        assert "noise" not in html.main_text(f"<body>{long}<div class='{name}'>noise</div></body>")
+    assert "noise" not in html.main_text(f'<body><article>{long}</article><div id="responses"><article>noise of readers</article></div></body>')
+    assert html.main_text("<nav>a</nav>") == "" and html.main_text("<p></p>") == ""

@@ -175,13 +175,6 @@ def search_terms(text: str | None, keep_stopwords: bool | None = None) -> list[s
     return out
 
 
-def hash64(text: Column) -> Column:
-    """The first 64 bits of MD5 as a signed long."""
-    h = F.md5(text)
-    high, low = F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.conv(F.substring(h, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
 # Frequent words by which languages are told apart.
 PROFILES = {
     "de": "der die das und ist nicht ein eine den dem von mit zu auf für im des sich als auch",

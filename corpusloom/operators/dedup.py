@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
-from corpusloom.session import spread
+from corpusloom.session import checkpointed, spread
 
 #: Bits in which fingerprints of near duplicates may differ.
 DISTANCE = 3
@@ -72,12 +72,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def block_keys(rows: DataFrame, fp_col: str, distance: int = DISTANCE) -> DataFrame:
-    """The rows, once for each choice of three blocks: its number i and the fingerprint's bits v there."""
+def _masks(distance: int) -> list[int]:
+    """The bits of every choice of three of distance + 3 blocks, as signed longs."""
     edges = [round(64 * i / (distance + 3)) for i in range(distance + 4)]
     masks = [sum(((1 << b) - 1) ^ ((1 << a) - 1) for a, b in chosen) for chosen in combinations(list(pairwise(edges)), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return rows.select("*", F.posexplode(F.array(*(F.col(fp_col).bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("i", "v"))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def block_keys(rows: DataFrame, fp_col: str, distance: int = DISTANCE) -> DataFrame:
+    """The rows, once for each choice of three blocks: its number i and the fingerprint's bits v there."""
+    return rows.select("*", F.posexplode(F.array(*(F.col(fp_col).bitwiseAND(F.lit(m).cast("long")) for m in _masks(distance)))).alias("i", "v"))
 
 
 def near_pairs(fingerprints: DataFrame, id_col: str, fp_col: str = "simhash", distance: int = DISTANCE) -> DataFrame:
@@ -87,25 +91,30 @@ def near_pairs(fingerprints: DataFrame, id_col: str, fp_col: str = "simhash", di
     join on every choice of three blocks (20 of about 32 bits for a distance of 3) finds them
     all; with a third of the bits, four bands would put 15,000 of 1e9 into each bucket.
     Copies share a fingerprint and are not expanded into pairs; fingerprint 0 (no words)
-    links with nothing."""
-    fps = fingerprints.where(F.col(fp_col) != 0).select(F.col(fp_col).alias("fp")).distinct()
+    links with nothing. A pair comes from the first choice in which it agrees, so none is
+    found twice."""
+    fps = checkpointed(fingerprints.where(F.col(fp_col) != 0).select(F.col(fp_col).alias("fp")).distinct())
     cut = block_keys(fps, "fp", distance)
     a, b = cut.select(F.col("fp").alias("fp_a"), "i", "v"), cut.select(F.col("fp").alias("fp_b"), "i", "v")
-    pairs = a.join(b, ["i", "v"]).where("fp_a < fp_b").select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("hamming"))
-    return pairs.where(F.col("hamming") <= distance).distinct()
+    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    first = F
+    for i, m in enumerate(_masks(distance)):
+        first = first.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, i)
+    pairs = a.join(b, ["i", "v"]).where((F.col("fp_a") < F.col("fp_b")) & (hamming(F.col("fp_a"), F.col("fp_b")) <= distance) & (F.col("i") == first))
+    return pairs.select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("hamming"))
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest reachable node. A round takes the smallest label among the
     neighbours and then the label of that label, so a chain of n nodes needs about log n rounds
     instead of n. Each round is written, so what follows doesn't work it out again."""
-    both = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct().checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).checkpoint()
+    both = checkpointed(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct())
+    labels = checkpointed(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
     while True:
         near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        step = near.join(labels, "x").select("x", F.col("l").alias("was"), F.least("m", "l").alias("l")).checkpoint()
+        step = checkpointed(near.join(labels, "x").select("x", F.col("l").alias("was"), F.least("m", "l").alias("l")))
         jump = step.select(F.col("x").alias("l"), F.col("l").alias("further"))
-        new = step.join(jump, "l").select("x", F.least("l", "further").alias("l"), (F.least("l", "further") < F.col("was")).alias("moved")).checkpoint()
+        new = checkpointed(step.join(jump, "l").select("x", F.least("l", "further").alias("l"), (F.least("l", "further") < F.col("was")).alias("moved")))
         if new.where("moved").isEmpty():
             return new.select(F.col("x").alias("node"), F.col("l").alias("component"))
         labels = new.select("x", "l")
@@ -208,9 +217,9 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, run_id: str, id_col: str = "doc_id", fp_col: str = "simhash", quality_col: str = "quality") -> DataFrame:
         """The ledger's rows of a batch, which then belongs to the pool."""
-        live = docs.where(F.col(fp_col) != 0).select(F.col(id_col).cast("long").alias("id"), F.col(fp_col).alias("fp"), F.col(quality_col).cast("double").alias("q")).checkpoint()
-        pool = self.candidates(live, run_id).checkpoint()
-        ledger = _decided(live.withColumn("new", F.lit(True)).union(pool.withColumn("new", F.lit(False))), self.distance, self.margin).checkpoint()
+        live = checkpointed(docs.where(F.col(fp_col) != 0).select(F.col(id_col).cast("long").alias("id"), F.col(fp_col).alias("fp"), F.col(quality_col).cast("double").alias("q")))
+        pool = checkpointed(self.candidates(live, run_id))
+        ledger = checkpointed(_decided(live.withColumn("new", F.lit(True)).union(pool.withColumn("new", F.lit(False))), self.distance, self.margin))
         self._append(block_keys(live, "fp", self.distance).withColumn("run", F.lit(run_id)), "pool", "i", "v")
         self._append(ledger.select(F.col("duplicate_id").alias("id")).distinct().withColumn("run", F.lit(run_id)), "beaten", "id")
         return ledger

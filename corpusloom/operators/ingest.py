@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import quality
 from corpusloom.functions.text import let
+from corpusloom.session import checkpointed
 from corpusloom.sources import dom, lakehouse, pages
 
 # Codes of the stages before the text is judged, and the largest object.
@@ -95,7 +96,7 @@ def parse_objects(objects: DataFrame, max_bytes: int = MAX_BYTES, validate: bool
 
 def split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed, rejected) of tagged rows, which are written once into the checkpoint folder."""
-    whole = tagged.checkpoint()
+    whole = checkpointed(tagged)
     return whole.where("ok").drop("ok", "stage", "code", "detail"), whole.where("not ok").drop("ok", "title", "text")
 
 

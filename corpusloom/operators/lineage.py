@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import checkpointed
+
 EDGE = "run_id string, task_id string, input string, input_partition string, output string, output_partition string, rows_in long, rows_out long, created_at timestamp"
 
 
@@ -14,14 +16,14 @@ def reachable(edges: DataFrame, roots: DataFrame, direction: str = "down", max_d
     with what was reached. Each round joins only the nodes that the round before has added.
     A root isn't reached from itself unless a cycle leads back to it."""
     a, b = ("input", "output") if direction == "down" else ("output", "input")
-    step = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("to")).distinct().checkpoint()
+    step = checkpointed(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("to")).distinct())
     new = roots.select("root").where("root is not null").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("distance"))
     found = None
     for depth in range(1, max_depth + 1):
         seen = new.join(step, "node").select("root", F.col("to").alias("node")).distinct()
         if found is not None:
             seen = seen.join(found.select("root", "node"), ["root", "node"], "left_anti")
-        new = seen.withColumn("distance", F.lit(depth)).checkpoint()
+        new = checkpointed(seen.withColumn("distance", F.lit(depth)))
         if new.isEmpty():
             break
         found = new if found is None else found.union(new)

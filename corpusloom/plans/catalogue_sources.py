@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import markdown
 from corpusloom.operators import answers, assemble, chunking, ingest, lineage, retrieval, sketches
 from corpusloom.plans.catalogue import _SECRET, QUERIES, SQL, query, table
-from corpusloom.session import shared_folder
+from corpusloom.session import checkpointed, shared_folder
 from corpusloom.sources import crawl, dom, layout
 from corpusloom.streaming import documents as streams
 
@@ -84,7 +84,7 @@ def ingest_counts(spark, d):
 def chunk_places(spark, d):
     """Chunks of the pages' main subtrees with the lines, blocks and heading paths of the assembled documents."""
     blocks = dom.main_subtree(table(spark, d, "pages")).select(F.col("page_id").cast("string").alias("document_id"), F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["level"].alias("level"), b["text"].alias("text"), F.lit(None).cast("int").alias("page"))).alias("blocks"))
-    made = assemble.assemble(blocks).checkpoint()
+    made = checkpointed(assemble.assemble(blocks))
     chunks = chunking.chunk_documents(made)
     return assemble.locate_chunks(chunks, made).select("document_id", "chunk_index", "chunk_id", "start_char", "end_char", "page_start", "line_start", "line_end", "block_start", "block_end", "heading_path")
 
@@ -149,7 +149,7 @@ def lineage_closure(spark, d):
 def sketches_merged(spark, d):
     """Sketches of each day and type, merged over the days: are they within their stated errors of the exact numbers?"""
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    kept = sketches.build(e, ["day", "event_type"], "user_id", "value").checkpoint()
+    kept = checkpointed(sketches.build(e, ["day", "event_type"], "user_id", "value"))
     got = sketches.estimates(sketches.merge(kept, ["event_type"]))
     exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
     both = got.join(exact, "event_type").join(e.select("event_type", "value"), "event_type")

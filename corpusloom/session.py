@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +47,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir where the session names
+    one. On one machine without that setting (tests) it is a temporary folder of our own; on a
+    cluster, whose executors can't see such a folder, the setting is asked for."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written into the checkpoint folder, their lineage cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
-from corpusloom.functions.text import let
+from corpusloom.session import checkpointed
 from corpusloom.sources.pages import allowed, decode
 
 # Fixed value: files that a crawl leaves alone by default.
@@ -94,17 +94,17 @@ def frontier(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages:
     graph = links(pages)
     if same_host:
         graph = graph.where(host(F.col("url")) == host(F.col("target")))
-    graph = graph.where(allowed(F.col("raw"), allow, deny)).select("url", "target").where("url <> target").distinct().checkpoint()
-    have = pages.where("url is not null").select(ids.canonical_uri(F.col("url")).alias("url")).distinct().checkpoint()
+    graph = checkpointed(graph.where(allowed(F.col("raw"), allow, deny)).select("url", "target").where("url <> target").distinct())
+    have = checkpointed(pages.where("url is not null").select(ids.canonical_uri(F.col("url")).alias("url")).distinct())
     permitted = (lambda df: robots_allow(df, robots)) if robots is not None else (lambda df: df)
     start = seeds.where("url is not null").where(allowed(F.col("url"), allow, deny)).select(ids.canonical_uri(F.col("url")).alias("url")).distinct()
-    level = _first_of_hosts(permitted(start), None, max_pages).select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).checkpoint()
+    level = checkpointed(_first_of_hosts(permitted(start), None, max_pages).select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
     visited = level
     for depth in range(1, max_depth + 1):
         found = graph.join(level.select("url"), "url").groupBy(F.col("target").alias("url")).agg(F.min("url").alias("parent"))
         fresh = found.join(visited.select("url"), "url", "left_anti")
         used = visited.groupBy(host(F.col("url")).alias("_host")).agg(F.count("*").alias("_used"))
-        level = _first_of_hosts(permitted(fresh), used, max_pages).select("url", F.lit(depth).alias("depth"), "parent").checkpoint()
+        level = checkpointed(_first_of_hosts(permitted(fresh), used, max_pages).select("url", F.lit(depth).alias("depth"), "parent"))
         if level.isEmpty():
             break
         visited = visited.union(level)
@@ -115,11 +115,11 @@ def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 2) -> D
     """(url, depth) of the pages that sitemaps(url, xml) name from `roots`(url) on: index files
     lead to further ones, up to `max_depth` below a root. An address comes with its least depth."""
     loc = lambda tag: F.transform(F.regexp_extract_all("xml", F.lit(rf"(?is)<(?:\w+:)?{tag}\b[^>]*>.*?<(?:\w+:)?loc\b[^>]*>\s*(.*?)\s*</(?:\w+:)?loc>"), F.lit(1)), decode)
-    maps = sitemaps.where("url is not null and xml is not null").select("url", loc("sitemap").alias("maps"), loc("url").alias("pages")).checkpoint()
+    maps = checkpointed(sitemaps.where("url is not null and xml is not null").select("url", loc("sitemap").alias("maps"), loc("url").alias("pages")))
     level = roots.select("url").distinct()
     out = None
     for depth in range(max_depth + 1):
-        here = maps.join(level, "url").checkpoint()
+        here = checkpointed(maps.join(level, "url"))
         pages_ = here.select(F.explode("pages").alias("url"), F.lit(depth).alias("depth"))
         out = pages_ if out is None else out.union(pages_)
         level = here.select(F.explode("maps").alias("url")).distinct()
@@ -144,8 +144,3 @@ def conditional_actions(known: DataFrame, responses: DataFrame) -> DataFrame:
     marks = F.when(ok & (action == "fetch"), F.col("r")).otherwise(F.col("k"))
     out = k.join(r, "url", "full").withColumn("action", action).withColumn("reason", reason).withColumn("marks", marks)
     return out.where("action is not null").select("url", "action", "reason", "marks.etag", "marks.last_modified")
-
-
-def crawl_links_base(html: Column, url: Column) -> Column:
-    """The address that a page's references are resolved against."""
-    return let(F.regexp_extract(html, _BASE, 1), lambda b: F.when(b != "", resolve(url, F.regexp_replace(b, r"""^["']|["']$""", ""))).otherwise(url))

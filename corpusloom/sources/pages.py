@@ -36,13 +36,6 @@ def looks_like_html(content: Column) -> Column:
     return F.substring(content, 1, 2048).rlike(r"(?is)<!doctype html|<html|<head|<body")
 
 
-def same_host_canonical(url: Column, html: Column) -> Column:
-    """The page's canonical link where it has the page's host, else its address."""
-    href = F.regexp_extract(html, r"""(?is)<link[^>]*rel=["']?canonical["']?[^>]*href=["']([^"']+)["']""", 1)
-    host = lambda u: F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]*)", 1))
-    return F.when((href != "") & (host(href) == host(url)), href).otherwise(url)
-
-
 def allowed(url: Column, allow: list[str] = (), deny: list[str] = ()) -> Column:
     out = F.lit(True)
     if allow:

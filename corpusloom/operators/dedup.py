@@ -100,7 +100,8 @@ def near_pairs(fingerprints: DataFrame, id_col: str, fp_col: str = "simhash", di
     first = F
     for i, m in enumerate(_masks(distance)):
         first = first.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, i)
-    pairs = a.join(b, ["i", "v"]).where((F.col("fp_a") < F.col("fp_b")) & (hamming(F.col("fp_a"), F.col("fp_b")) <= distance) & (F.col("i") == first))
+    # The table of fingerprints is small as a file, but its rows come here twenty times: it must not be broadcast.
+    pairs = a.join(b.hint("merge"), ["i", "v"]).where((F.col("fp_a") < F.col("fp_b")) & (hamming(F.col("fp_a"), F.col("fp_b")) <= distance) & (F.col("i") == first))
     return pairs.select("fp_a", "fp_b", hamming(F.col("fp_a"), F.col("fp_b")).alias("hamming"))
 
 

@@ -354,3 +354,12 @@ def test_chunk_run(spark):
     assert set(new) == {"unchanged", "modified"} and {r["document_version_id"] for r in new.values()} == {"v2"} and dead.where("is_deleted").count() == 1
     assert new["modified"]["lineage_id"] == dead.first()["lineage_id"] != new["modified"]["chunk_id"]
     assert new["unchanged"]["chunk_id"] == new["unchanged"]["lineage_id"] and rows.where(F.col("chunk_id") == new["unchanged"]["chunk_id"]).count() == 1
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    """Fingerprints come twenty times to the join, which their table's size doesn't show."""
+    fps = spark.range(1, 2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("simhash"))
+    near = fps.where("doc_id <= 100").select(F.col("doc_id") + 5000, F.col("simhash").bitwiseXOR(F.lit(5)).alias("simhash"))
+    pairs = dedup.near_pairs(fps.union(near), "doc_id")
+    assert pairs.count() == 100
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().toString()

@@ -79,19 +79,30 @@ class Status(StatefulProcessor):
         self.retention = retention_us
 
     def init(self, handle) -> None:
-        self.handle = handle
+        self.handle, self.nothing = handle, None
         self.waiting = handle.getListState("waiting", "us long, event_id long, kind string, content string")
         self.status = handle.getValueState("status", "status string, deleted_us long")
         self.contents = handle.getMapState("contents", "content string", "first_us long")
+        self.alarm = handle.getValueState("alarm", "ms long")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
+        earliest = None
         for frame in rows:
             self.waiting.appendList([(int(u), int(e), k, c) for u, e, k, c in zip(frame["us"], frame["event_id"], frame["kind"], frame["content"], strict=True)])
-            for ms in {-(-int(u) // 1000) for u in frame["us"]}:
-                self.handle.registerTimer(ms)
-        yield pd.DataFrame({"document_id": [], "event_id": [], "us": [], "status": []}).astype({"document_id": "int64", "event_id": "Int64", "us": "int64", "status": object})
+            first = -(-int(frame["us"].min()) // 1000) if len(frame) else None
+            if first is not None and (earliest is None or first < earliest):
+                earliest = first
+        # One timer a document, at its earliest event: what expires takes all that is due and sets the next.
+        if earliest is not None:
+            set_to = self.alarm.get()[0] if self.alarm.exists() else None
+            if set_to is None or earliest < set_to:
+                self.handle.registerTimer(earliest)
+                self.alarm.update((earliest,))
+        if self.nothing is None:
+            self.nothing = pd.DataFrame({"document_id": [], "event_id": [], "us": [], "status": []}).astype({"document_id": "int64", "event_id": "Int64", "us": "int64", "status": object})
+        yield self.nothing
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
@@ -101,19 +112,27 @@ class Status(StatefulProcessor):
         due, rest = sorted((x for x in held if x[0] <= now), key=lambda x: (x[0], x[1])), [x for x in held if x[0] > now]
         if due:
             self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            following = -(-min(x[0] for x in rest) // 1000)
+            self.handle.registerTimer(following)
+            self.alarm.update((following,))
+        else:
+            self.alarm.clear()
         status, deleted = self.status.get() if self.status.exists() else (None, None)
         out = []
+        known, new, cleared = set(), {}, False  # contents seen, those to be stored, and whether the stored ones are void
         for us, event, kind, content in [*due, (now + 1, None, None, None)]:
             if status == "deleted" and us > deleted + self.retention:
                 out.append((None, deleted + self.retention, "purged"))
                 status = None
-                self.contents.clear()
+                known, new, cleared = set(), {}, True
             after = None
             if kind == "fetch":
-                fresh = not self.contents.containsKey((content,))
+                fresh = content not in known and (cleared or not self.contents.containsKey((content,)))
+                known.add(content)
                 after = "bronze" if fresh or status == "deleted" else None
                 if fresh:
-                    self.contents.updateValue((content,), (us,))
+                    new[content] = us
             elif kind == "parsed" and status not in (None, "deleted"):
                 after = "silver"
             elif kind == "delete":
@@ -121,6 +140,10 @@ class Status(StatefulProcessor):
             if after:
                 out.append((event, us, after))
                 status = after
+        if cleared:
+            self.contents.clear()
+        for content, us in new.items():
+            self.contents.updateValue((content,), (us,))
         if status is None:
             self.status.clear()
         elif due:

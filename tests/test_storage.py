@@ -247,3 +247,47 @@ def test_status_stream_equals_the_windows(spark, tmp_path):
     assert got == want and {r[3] for r in got} == {"bronze", "silver", "deleted", "purged"}
     mine = [(r[1], r[3]) for r in sorted(want, key=lambda r: r[2]) if r[0] == 3]
     assert mine == [(12, "bronze"), (13, "deleted"), (14, "deleted"), (15, "bronze")]
+
+
+def test_status_sets_one_timer_a_document():
+    """A timer is a call of its own: a document of many events must not set one for each."""
+    import pandas as pd
+
+    class Cell:
+        def __init__(self):
+            self.rows = None
+
+        exists = lambda self: self.rows is not None
+        get = lambda self: self.rows
+
+        def update(self, row):
+            self.rows = row
+
+        put = update
+
+        def appendList(self, rows):
+            self.rows = [*(self.rows or []), *rows]
+
+        def clear(self):
+            self.rows = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.asked = [], 0
+
+        getListState = getValueState = lambda self, *_: Cell()
+        getMapState = lambda self, *_: None
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    handle, machine = Handle(), documents.Status(10**9)
+    machine.init(handle)
+    us = [5_000_000 + 1_000 * n for n in range(500)]
+    frame = pd.DataFrame({"us": us, "event_id": range(500), "kind": "other", "content": ""})
+    list(machine.handleInputRows((1,), iter([frame[250:], frame[:250]]), None))
+    assert handle.timers == [5000]
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 5100
+
+    list(machine.handleExpiredTimer((1,), Now(), None))
+    assert handle.timers == [5000, 5101]  # the first of those that wait

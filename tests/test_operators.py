@@ -363,3 +363,18 @@ def test_near_pairs_are_not_broadcast(spark):
     pairs = dedup.near_pairs(fps.union(near), "doc_id")
     assert pairs.count() == 100
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().toString()
+
+
+def test_close_words_equal_difflib():
+    """Counting letters and common subsequences settles only pairs that difflib would refuse."""
+    import difflib
+    import random
+
+    pick, syllables = random.Random(3), "tion th er an in ed the wh ha on ou es nt".split()
+    made = ["".join(pick.choice(syllables) for _ in range(40)) for _ in range(150)]
+    for n in (4, 7, 11, 63, 66):
+        asked, known = sorted({w[:n] for w in made}), sorted({w[i : i + m] for w in made[:80] for m in range(n - 2, n + 3) for i in (0, 1)})
+        want = {(i, j, difflib.SequenceMatcher(None, k, t).ratio()) for i, t in enumerate(asked) for j, k in enumerate(known)}
+        assert {x for x in want if x[2] >= 0.8} == set(answers.close_words(asked, known))
+    assert answers.close_words(["a" * 300], ["a" * 299, "b" * 300]) == [(0, 0, difflib.SequenceMatcher(None, "a" * 299, "a" * 300).ratio())]
+    assert answers.close_words([], ["word"]) == []

@@ -21,6 +21,8 @@ MIN_CONFIDENCE, STRONG, MIN_CANDIDATES, FLOOR = 0.35, 0.60, 2, 0.20
 #: Query vectors, and distinct terms of queries, that are sent to every task at once; more
 #: go in rounds. QUERY_BLOCK: queries whose weights are one matrix.
 QUERY_VECTORS, QUERY_TERMS, QUERY_BLOCK = 4096, 500_000, 256
+#: Query vectors whose scores a task of `dense` holds at once.
+QUERY_TILE = 256
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, tokens=None, **more: Column) -> DataFrame:
@@ -193,20 +195,23 @@ def top_k(scores: DataFrame, k: int, q: str = "q", i: str = "id", score: str = "
 
 def _dense(ids: np.ndarray, q: np.ndarray, k: int, digits: int, skip_self: bool):
     def run(batches):
-        top, name = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+        top, name = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
                 own = part.column("id").to_numpy(zero_copy_only=False)
                 v = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
                 norm = np.sqrt((v**2).sum(axis=1))
                 norm[norm == 0] = 1.0
-                s = np.round(q @ (v / norm[:, None]).T, digits) + 0.0
-                if skip_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                s, i = np.hstack([top, s]), np.hstack([name, np.broadcast_to(own, s.shape)])
-                take = np.lexsort((i, -s), axis=1)[:, :k]  # ties to the smaller id
-                top, name = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
+                v /= norm[:, None]
+                for lo in range(0, len(ids), QUERY_TILE):  # a task holds the scores of a tile, not of all queries
+                    mine = slice(lo, lo + QUERY_TILE)
+                    s = np.round(q[mine] @ v.T, digits) + 0.0
+                    if skip_self:
+                        s[ids[mine, None] == own[None, :]] = -np.inf
+                    s, i = np.hstack([top[mine], s]), np.hstack([name[mine], np.broadcast_to(own, s.shape)])
+                    take = np.lexsort((i, -s), axis=1)[:, :k]  # ties to the smaller id
+                    top[mine], name[mine] = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
         row, col = np.nonzero(top > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(name[row, col]), pa.array(top[row, col])], ["q", "id", "score"])
 

@@ -378,3 +378,26 @@ def test_close_words_equal_difflib():
         assert {x for x in want if x[2] >= 0.8} == set(answers.close_words(asked, known))
     assert answers.close_words(["a" * 300], ["a" * 299, "b" * 300]) == [(0, 0, difflib.SequenceMatcher(None, "a" * 299, "a" * 300).ratio())]
     assert answers.close_words([], ["word"]) == []
+
+
+def test_dense_holds_a_tile_of_scores():
+    """What a task of the exact search holds must not grow with queries times vectors."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, (4096, 8)).astype(np.float64)  # many ties
+    v[:, 0] += 10
+    ids = np.arange(4096, dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v.tolist(), pa.list_(pa.float64()))], ["id", "vec"])
+    q = v[:1500] / np.linalg.norm(v[:1500], axis=1, keepdims=True)
+    tracemalloc.start()
+    (out,) = retrieval._dense(ids[:1500], q, 5, 6, True)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # all scores at once take 49 MB an array
+    score = np.round(q @ (v / np.sqrt((v**2).sum(axis=1))[:, None]).T, 6)
+    score[ids[:1500], ids[:1500]] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    assert np.array_equal(np.array(out.column("id").to_pylist()).reshape(1500, 5), want)

@@ -45,3 +45,10 @@ def test_matches_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_hybrid_search_embeds_documents_once(spark, sf):
+    """Filters on a vector that a function makes call the function again; the vectors are a table."""
+    dense, _ = catalogue._two_legs(spark, sf)
+    assert "ArrowEvalPython" not in dense._jdf.queryExecution().executedPlan().toString()
+    assert dense.count() > 0

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown
+from corpusloom.functions.text import let
 from corpusloom.operators import answers, assemble, chunking, ingest, lineage, retrieval, sketches
 from corpusloom.plans.catalogue import _SECRET, QUERIES, SQL, query, table
-from corpusloom.session import checkpointed, shared_folder
+from corpusloom.session import checkpointed, shared_folder, spread
 from corpusloom.sources import crawl, dom, layout
 from corpusloom.streaming import documents as streams
 
@@ -187,8 +188,9 @@ def _laid_out(spark, d):
     fifteenth line, a row of three cells each tenth and eleventh, code each thirteenth."""
     w = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N} ]+", " "), " +"), lambda x: x != "")
     w = F.transform(w, lambda x: F.substring(x, 1, 12))
-    df = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), w.alias("w")).where(F.size("w") > 0)
-    df = df.select("document_id", "w", F.posexplode(F.sequence(F.lit(0), F.ceil(F.size("w") / 8).cast("int") - 1)).alias("n", "i")).select("document_id", "n", F.slice("w", F.col("n") * 8 + 1, F.lit(8)).alias("w"))
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    cut = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / 8).cast("int") - 1), lambda n: F.struct(n.alias("n"), F.slice(w, n * 8 + 1, F.lit(8)).alias("w"))))
+    df = spread(docs).select("document_id", F.explode(let(w, cut)).alias("l")).select("document_id", "l.n", "l.w")  # a line takes its own words along, not the document's
     page, at = (F.floor(F.col("n") / 40) + 1).cast("int"), F.col("n") % 40
     y = 100.0 + 15.0 * at
     span = lambda x, x1, size, font, text: F.struct(F.lit(x).alias("x"), F.lit(x1).alias("x1"), y.alias("y"), F.lit(size).alias("size"), F.lit(font).alias("font"), text.alias("text"))
@@ -198,7 +200,7 @@ def _laid_out(spark, d):
     here = here.when((at % 10 == 8) | (at % 10 == 9), F.array(span(50.0, 90.0, 10.0, "Serif", cell(0)), span(200.0, 240.0, 10.0, "Serif", cell(1)), span(350.0, 390.0, 10.0, "Serif", cell(2))))
     here = here.when(at % 13 == 5, F.array(span(50.0, 300.0, 10.0, "Courier", joined))).otherwise(F.array(span(50.0, 120.0, 10.0, "Serif", cell(0)), span(124.0, 300.0, 10.0, "Serif", F.array_join(F.slice("w", 2, 7), " "))))
     body = df.select("document_id", page.alias("page"), F.lit(800.0).alias("height"), F.explode(here).alias("s")).select("document_id", "page", "height", "s.*")
-    head = body.select("document_id", "page", "height").distinct().select("*", F.lit(50.0).alias("x"), F.lit(300.0).alias("x1"), F.lit(20.0).alias("y"), F.lit(10.0).alias("size"), F.lit("Serif").alias("font"), F.concat(F.lit("Report page "), "page").alias("text"))
+    head = df.where("n % 40 = 0").select("document_id", page.alias("page"), F.lit(800.0).alias("height")).distinct().select("*", F.lit(50.0).alias("x"), F.lit(300.0).alias("x1"), F.lit(20.0).alias("y"), F.lit(10.0).alias("size"), F.lit("Serif").alias("font"), F.concat(F.lit("Report page "), "page").alias("text"))
     return body.unionByName(head)
 
 

@@ -24,7 +24,7 @@ def lines(spans: DataFrame) -> DataFrame:
     """(document_id, page, height, row, y, size, bold, mono, text, cells) in reading order: spans of
     one row from left to right. cells: the texts between wide gaps. Spans without letters count for nothing."""
     font = F.lower(F.coalesce("font", F.lit("")))
-    s = spans.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("row", F.round(F.col("y") / ROW).cast("long"))
+    s = spans.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("row", F.round(F.col("y") / ROW).cast("long")).repartition("document_id")  # all that follows is by document
     span = F.struct("x", "x1", "y", F.round("size", 1).alias("size"), font.rlike("bold").alias("bold"), font.rlike(MONO).alias("mono"), "text")
     g = s.groupBy("document_id", "page", "row").agg(F.array_sort(F.collect_list(span)).alias("s"), F.max("height").alias("height"))
     wide = lambda i: F.get("s", i)["x"] - F.get("s", i - 1)["x1"] > GAP * F.get("s", i)["size"]
@@ -36,22 +36,22 @@ def lines(spans: DataFrame) -> DataFrame:
     return g.select(*g.columns[:-1], F.trim(F.regexp_replace("joined", "\x1f| +", " ")).alias("text"), F.split("joined", "\x1f").alias("cells"))
 
 
-def running_lines(lines_: DataFrame) -> DataFrame:
-    """(document_id, norm) of heads and feet: lines of the outer bands, digits aside, that stand on
-    most pages of a document of LEAST_PAGES pages or more."""
-    norm = F.regexp_replace("text", r"\d+", "#")
-    pages = lines_.groupBy("document_id").agg(F.max("page").alias("last"), F.min("page").alias("first"))
-    n = F.col("last") - F.col("first") + 1
-    inside = lines_.where((F.col("y") < BAND * F.col("height")) | (F.col("y") > (1 - BAND) * F.col("height")))
-    on = inside.select("document_id", "page", norm.alias("norm")).distinct().groupBy("document_id", "norm").agg(F.count("*").alias("pages"))
-    return on.join(pages, "document_id").where((n >= LEAST_PAGES) & (F.col("pages") >= F.greatest(F.lit(2), F.floor(REPEATED * n)))).select("document_id", "norm")
+def _running() -> Column:
+    """Whether a line is a running head or foot: lines of the outer bands, digits aside, that stand on
+    most pages of a document of LEAST_PAGES pages or more; such a line goes wherever it stands."""
+    document = Window.partitionBy("document_id")
+    inside = (F.col("y") < BAND * F.col("height")) | (F.col("y") > (1 - BAND) * F.col("height"))
+    on = F.size(F.collect_set(F.when(inside, F.struct("page"))).over(Window.partitionBy("document_id", "norm")))
+    n = F.max("page").over(document) - F.min("page").over(document) + 1
+    return F.coalesce((n >= LEAST_PAGES) & (on >= F.greatest(F.lit(2), F.floor(REPEATED * n))), F.lit(False))
 
 
 def _levels(lines_: DataFrame) -> DataFrame:
-    """(document_id, body, headings): the size of most lines (of equally many the smaller), and the larger ones from the largest on."""
-    by = lines_.groupBy("document_id", "size").agg(F.count("*").alias("n"))
-    g = by.groupBy("document_id").agg(F.max_by("size", F.struct("n", (-F.col("size")).alias("s"))).alias("body"), F.collect_list("size").alias("sizes"))
-    return g.select("document_id", "body", F.slice(F.sort_array(F.filter("sizes", lambda s: s >= F.col("body") * LARGER), False), 1, LEVELS).alias("headings"))
+    """Adds body and headings: the size of most lines of the document (of equally many the smaller), and the larger ones from the largest on."""
+    document = Window.partitionBy("document_id")
+    by = lines_.withColumn("n", F.count("*").over(Window.partitionBy("document_id", "size")))
+    by = by.withColumn("body", F.max(F.struct("n", (-F.col("size")).alias("s"), "size")).over(document)["size"]).withColumn("sizes", F.collect_set("size").over(document))
+    return by.withColumn("headings", F.slice(F.sort_array(F.filter("sizes", lambda s: s >= F.col("body") * LARGER), False), 1, LEVELS)).drop("n", "sizes")
 
 
 def _level(text: Column, size: Column, bold: Column) -> Column:
@@ -76,9 +76,10 @@ def blocks(spans: DataFrame) -> DataFrame:
     Running heads and feet go. A line is a heading by its size, or if it is bold throughout; code if
     all of it is in a font of code; rows with two cells or more that follow one another are a
     table from two rows on. Lines of one kind that follow one another on a page are one block; a
-    word that was cut at a line's end is joined. Documents without text have no row."""
-    every = lines(spans)
-    kept = every.withColumn("norm", F.regexp_replace("text", r"\d+", "#")).join(running_lines(every), ["document_id", "norm"], "left_anti").join(_levels(every), "document_id")
+    word that was cut at a line's end is joined. Documents without text have no row. Spans are
+    dealt by document once; sizes, heads and neighbours are windows over a document."""
+    every = lines(spans.where("document_id is not null")).withColumn("norm", F.regexp_replace("text", r"\d+", "#"))
+    kept = _levels(every.withColumn("running", _running())).where("not running")
     order = Window.partitionBy("document_id").orderBy("page", "row")
     kept = kept.withColumn("level", _level(F.col("text"), F.col("size"), F.col("bold")))
     row = (F.size("cells") >= 2) & (F.col("level") == 0)

@@ -56,3 +56,15 @@ def test_embed_backlog_makes_a_cached_vector_once(spark):
     assert all(got[i][1] == answers.hash_vectors([f"text {i // 2}"], 8)[0].tolist() for i in range(8))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") + plan.count("run(") <= 2  # of the misses alone
+
+
+def test_layout_deals_spans_once(spark):
+    """Lines, sizes and heads need one shuffle by document; no line is worked out again for a join."""
+    from corpusloom.sources import layout
+
+    span = "document_id string, page int, height double, x double, x1 double, y double, size double, font string, text string"
+    rows = [(d, p, 800.0, 50.0, 90.0, y, 16.0 if y == 100.0 else 10.0, "Serif", f"{t} {p}") for d in ("a", None) for p in (1, 2, 3) for y, t in ((20.0, "Head"), (100.0, "Title"), (200.0, "some words"))]
+    out = layout.blocks(spark.createDataFrame(rows, span))
+    assert [tuple(r) for r in out.orderBy("ordinal").collect()] == [("a", i, i // 2 + 1, *(("heading", 1, f"Title {i // 2 + 1}") if i % 2 == 0 else ("paragraph", 0, f"some words {i // 2 + 1}"))) for i in range(6)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1

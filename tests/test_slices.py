@@ -68,3 +68,47 @@ def test_layout_deals_spans_once(spark):
     assert [tuple(r) for r in out.orderBy("ordinal").collect()] == [("a", i, i // 2 + 1, *(("heading", 1, f"Title {i // 2 + 1}") if i % 2 == 0 else ("paragraph", 0, f"some words {i // 2 + 1}"))) for i in range(6)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_tokens_of_spans(monkeypatch):
+    """Spans of a text are counted from sums over the whole text, which is read once."""
+    import random
+
+    from corpusloom.operators import chunking
+
+    draw = random.Random(7)
+    for _ in range(200):
+        text = "".join(draw.choice("abcdefghB1²_ \n.!;'é٣Ⅷ\x1c中") for _ in range(60))
+        tokens = chunking.Tokens(text)
+        for _ in range(20):
+            a, b = sorted(draw.randint(0, 60) for _ in range(2))
+            assert tokens.count(a, b) == chunking.count_tokens(text[a:b])
+    read = []
+    plain = chunking.count_tokens
+    monkeypatch.setattr(chunking, "count_tokens", lambda t: (read.append(len(t)), plain(t))[1])
+    text = "\n\n".join("Some words stand here, and a few more of them follow. " * 30 for _ in range(5))
+    assert len(chunking.chunk_text(text)) > 3 and sum(read) == 0
+
+
+def test_parts_of_an_arrow_batch(spark):
+    """Tasks give their rows in slices: Python objects of a whole batch of long texts are never held at once."""
+    from corpusloom.functions import batches
+    from corpusloom.operators import chunking, ingest
+
+    texts = pa.array(["word " * 60_000] * 10)
+    assert batches.SLICE < 10 * 300_000
+    batch = pa.RecordBatch.from_arrays([pa.array(["d"] * 10), pa.array(["t"] * 10), texts, pa.array(["md"] * 10)], ["document_id", "title", "text", "extension"])
+    assert sum(p.num_rows for p in (got := list(chunking._chunks(chunking.Settings())(iter([batch]))))) == 10 and len(got) == 4
+    raw = pa.RecordBatch.from_arrays([pa.array(["a.md"] * 10), pa.array(["md"] * 10), pa.nulls(10, pa.string()), texts.cast(pa.binary())], ["uri", "extension", "code", "content"])
+    assert sum(p.num_rows for p in (got := list(ingest._parse(ingest.PARSERS)(iter([raw]))))) == 10 and len(got) == 4
+
+
+def test_simhash_blake2b_by_parts(spark, monkeypatch):
+    from corpusloom.operators import dedup
+    from pyspark.sql import functions as F
+
+    texts = ["", None, "One two", "one two three", "one two three four", " ".join(f"w{i % 7}x{i % 11}" for i in range(12_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = [r["s"] for r in rows.select("i", dedup.simhash_blake2b(F.col("text")).alias("s")).orderBy("i").collect()]
+    words = [[w.lower() for w in re.findall(r"\w+", t or "")] for t in texts]
+    assert got == [dedup._vote([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in dedup._grams(w, 4) if g]) for w in words]

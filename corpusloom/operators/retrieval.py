@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from corpusloom.functions.batches import slices
 from corpusloom.functions.text import let, search_terms, search_tokens
 from corpusloom.session import spread, written
 
@@ -36,7 +37,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, t
     rest = [f for f in base.schema if f.name not in ("id", "toks")]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "toks")):  # dictionaries of a slice only
             counts = [Counter(t or ()) if tokens else Counter(search_terms(t)) for t in batch.column("toks").to_pylist()]
             own = [pa.array([sum(c.values()) for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *own, *(batch.column(f.name) for f in rest)], ["id", "dl", "terms", "tfs", *(f.name for f in rest)])

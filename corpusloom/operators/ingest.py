@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import quality
+from corpusloom.functions.batches import slices
 from corpusloom.functions.text import let
 from corpusloom.session import checkpointed
 from corpusloom.sources import dom, lakehouse, pages
@@ -46,7 +47,7 @@ PARSERS: dict[str, Callable[[bytes, str], tuple[str | None, str]]] = {**dict.fro
 
 def _parse(parsers):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "content")):
             out = []
             for uri, ext, code, content in zip(*(batch.column(c).to_pylist() for c in ("uri", "extension", "code", "content")), strict=True):
                 row = (None, None, None, None)

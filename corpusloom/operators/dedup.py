@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import combinations, pairwise
+from itertools import combinations, islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.batches import bounds
 from corpusloom.functions.text import words
 from corpusloom.session import checkpointed, spread
 
@@ -54,16 +56,31 @@ def simhash(df: DataFrame, id_col: str, text_col: str, n: int = 4) -> DataFrame:
 _TOKEN = re.compile(r"\w+")
 
 
-def simhash_blake2b(text: Column) -> Column:
-    """The same vote over 64-bit BLAKE2b hashes, with signed 64-bit results."""
+#: Words of a text whose shingles are hashed at once.
+WORDS_AT_ONCE = 10_000
 
-    def one(text: str) -> int:
-        found = [w.lower() for w in _TOKEN.findall(text or "")]
-        return _vote([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in _grams(found, 4) if g])
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+def simhash_blake2b(text: Column) -> Column:
+    """The same vote over 64-bit BLAKE2b hashes, with signed 64-bit results. A task holds the
+    texts of a slice of its batch and the hashes of WORDS_AT_ONCE words."""
+
+    def one(text: str | None, n: int = 4) -> int:
+        text = text or ""
+        found = (m.group().lower() for m in _TOKEN.finditer(text)) if len(text) > 8 * WORDS_AT_ONCE else iter([w.lower() for w in _TOKEN.findall(text)])
+        votes, total, last = np.zeros(64, dtype=np.int64), 0, list(islice(found, n - 1))
+        if len(last) < n - 1 or not (part := list(islice(found, WORDS_AT_ONCE))):
+            return _vote([hashlib.blake2b(" ".join(last).encode(), digest_size=8).digest()] if last else [])
+        while part:
+            grams = _grams(last + part, n)
+            digests = b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams])
+            votes += np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            total += len(grams)
+            last, part = (last + part)[1 - n :], list(islice(found, WORDS_AT_ONCE))
+        return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big", signed=True)
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for at, n in bounds([texts]) for t in texts.slice(at, n).to_pylist()], pa.int64())
 
     return run(text)
 

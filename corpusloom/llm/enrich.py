@@ -35,6 +35,8 @@ from corpusloom.llm.common import _written, shared_dir
 SHARES = 64
 #: Rows of all batches that a key is meant for, and the least number of keys.
 ROWS_A_KEY, KEYS = 40_000, 96
+#: MB of cached blocks and write buffers of all stores of an executor: a start reads and writes each state once.
+STORES_MB = 64
 #: Stand for null and for the ends of time in long columns: pandas has no long with nulls.
 NONE, END = -(2**63), 2**63 - 1
 
@@ -202,8 +204,15 @@ class Versions(StatefulProcessor):
 @contextlib.contextmanager
 def _stores(spark: SparkSession):
     """Settings for the time of a run: transformWithState asks for RocksDB, and as a start reads
-    one batch, its stores are closed with it instead of being kept on the executors' disks."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    one batch, its stores are closed with it instead of being kept on the executors' disks.
+    A store's own block cache isn't freed when it closes, so all stores of an executor share one."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STORES_MB),
+    }
     old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

@@ -116,6 +116,16 @@ def test_enrichment_of_empty_tables(spark):
     assert [tuple(r) for r in enrich.enrich_sales(lone, c, batches=2).collect()] == [("sale", 1, 2, 0, None, None, None)]
 
 
+def test_stores_of_an_executor_share_one_bound(spark, monkeypatch):
+    """A store's own cache outlives it, so many short-lived stores would add up."""
+    name, seen, start = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", [], enrich._stream
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(enrich, "_stream", lambda s, *a: seen.append(s.conf.get(name)) or start(s, *a))
+    lone = spark.createDataFrame([(1, 1, "x", 1.0, BASE, BASE, 1)], SALES)
+    assert enrich.enrich_sales(lone, spark.createDataFrame([], CHANGES), batches=2).count() == 1
+    assert seen == ["true", "true"] and spark.conf.get(name, None) == before != "true"
+
+
 def test_answer_and_prune():
     client, at = np.array([1, 1, 1, 4]), np.array([5, 5, 9, 2])
     row, n = enrich.answer(client, at, np.array([1, 1, 1, 2, 4, 1]), np.array([4, 5, 100, 7, 2, enrich.NONE]))

@@ -1,13 +1,13 @@
 """Valid-time enrichment of sales: a streaming as-of join against versioned clients.
 
-Two chained transformWithState stages. The gate, keyed by a hash of the sale, holds a sale
-until the horizon H of the batch has passed its time. Released sales reach the version stage,
-keyed by a hash of the client, which keeps every client's unpruned versions: it takes up the
-batch's versions, answers the sales and prunes. Both keep one Arrow table a key as state and
-work on whole columns, so their cost follows the rows, not the number of clients.
-
-A key of either stage is one of `keys` hash ranges, whose number follows the counted rows. The
-sales of a client with more than 1/SHARES of all are dealt over several keys, in proportion;
+One transformWithState stage, keyed by a hash of the client. It holds a sale until the horizon
+H of the batch has passed its time and keeps every client's unpruned versions: it takes up the
+batch's versions, answers the released sales and prunes. Waiting sales and versions are one
+Arrow table each a key and are worked on by whole columns, so the cost follows the rows, not
+the number of clients. One stage and not two: each start opens a store a partition and stage,
+and Spark never frees part of a closed store's memory.
+
+A key is one of `keys` hash ranges, whose number follows the counted rows. The sales of a client with more than 1/SHARES of all are dealt over several keys, in proportion;
 this client's versions go to each of these keys. At most SHARES clients can be so frequent, so
 their list is broadcast. The versions of one client stay together.
 
@@ -35,15 +35,16 @@ from corpusloom.llm.common import _written, shared_dir
 SHARES = 64
 #: Rows of all batches that a key is meant for, and the least number of keys.
 ROWS_A_KEY, KEYS = 40_000, 96
+#: Sales that are answered together.
+STEP = 20_000
 #: MB of cached blocks and write buffers of all stores of an executor: a start reads and writes each state once.
 STORES_MB = 64
 #: Stand for null and for the ends of time in long columns: pandas has no long with nulls.
 NONE, END = -(2**63), 2**63 - 1
 
 _CHANGE = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance"]
-_SALES = "gate int, key int, id long, client long, at long, h long, h_before long, batch int"
-_CHANGES = "key int, id long, client long, at long, seq long, cents long, op string, copy int, late_before long, h_before long, batch int"
-_RELEASED = "key int, id long, client long, at long, h_before long, batch int"
+_SALES = "key int, id long, client long, at long, h long, h_before long, batch int"
+_CHANGES = "key int, id long, client long, at long, seq long, cents long, op string, copy int, late_before long, h long, h_before long, batch int"
 _OUT = "rec string, id long, batch int, n_held long, change_id long, balance_cents long, op string"
 
 
@@ -71,46 +72,6 @@ def _load(state) -> pa.Table | None:
     return pa.ipc.open_stream(state.get()[0]).read_all() if state.exists() else None
 
 
-class Gate(StatefulProcessor):
-    """Holds sales until H. A batch's tick brings H to every key, also to one without sales; that
-    of the last batch lets what still waits go behind it, as one batch more."""
-
-    _KEPT = ("key", "id", "client", "at")
-
-    def __init__(self, batches: int) -> None:
-        self.batches = batches
-
-    def init(self, handle) -> None:
-        self.waiting = handle.getValueState("waiting", "rows binary")
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        came = pd.concat(list(rows), ignore_index=True)
-        h, before, batch = (int(came[c].iloc[0]) for c in ("h", "h_before", "batch"))
-        new = pa.table({c: pa.array(came.loc[came["at"] != END, c].to_numpy("int64")) for c in self._KEPT})  # without the tick
-        held = _load(self.waiting)
-        every = new if held is None else pa.concat_tables([held, new])
-        at = every["at"].to_numpy()
-        go = (at == NONE) | (at < h)
-        out = [(go, before, batch)]
-        if batch == self.batches - 1:
-            out.append((~go, h, self.batches))
-            if held is not None:
-                self.waiting.clear()
-        elif not go.all():
-            self.waiting.update((_ipc(every.filter(pa.array(~go))),))
-        elif held is not None:
-            self.waiting.clear()
-        for some, since, number in out:
-            if some.any():
-                found = every.filter(pa.array(some)).to_pandas().assign(h_before=since, batch=number)
-                yield found[["key", "id", "client", "at", "h_before", "batch"]].astype({"key": "int32", "batch": "int32"})
-
-    def close(self) -> None:
-        pass
-
-
 def prune(client: np.ndarray, at: np.ndarray, h: int) -> np.ndarray:
     """Which rows stay, the rows being sorted by client and version: those after `h`, and of
     those up to `h` each client's last."""
@@ -135,35 +96,60 @@ def answer(client: np.ndarray, at: np.ndarray, who: np.ndarray, when: np.ndarray
     return np.where((row >= lo) & (row < hi) & (when != NONE), row, -1), hi - lo
 
 
-class Versions(StatefulProcessor):
-    """Every client's unpruned versions. Pruning by a batch's H is done when the key is met
-    next: nothing is added between, so the outcome is the same."""
+class Enrich(StatefulProcessor):
+    """A key's waiting sales and its clients' unpruned versions. A batch's tick brings H to every
+    key, also to one without rows; with that of the last batch what still waits goes behind it,
+    as one batch more. Pruning by a batch's H is done when the key is met next: nothing is
+    added between, so the outcome is the same."""
 
+    _WAITS = ("id", "client", "at")
     _KEPT = ("client", "at", "seq", "id", "cents", "op")
 
-    def init(self, handle) -> None:
-        self.versions = handle.getValueState("versions", "rows binary")
-
     def __init__(self, batches: int) -> None:
         self.batches = batches
 
+    def init(self, handle) -> None:
+        self.waiting = handle.getValueState("waiting", "rows binary")
+        self.versions = handle.getValueState("versions", "rows binary")
+
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        sales, rest, changes, late, before, end = [], [], [], [], END, NONE
+        sales, changes, late = [], [], []
         for f in rows:
-            change, last = f["rec"].to_numpy() == "change", f["batch"].to_numpy() == self.batches
-            if not last.all():
-                before = min(before, int(f["h_before"].to_numpy()[~last].min()))
-            if last.any():
-                end = int(f["h_before"].to_numpy()[last][0])
-            gone = change & (f["at"].to_numpy() < f["late_before"].to_numpy())
+            h, before, batch = (int(f[c].iloc[0]) for c in ("h", "h_before", "batch"))  # a start reads one batch
+            change, at = f["rec"].to_numpy() == "change", f["at"].to_numpy("int64")
+            gone = change & (at < f["late_before"].to_numpy("int64"))
             late.append(f.loc[gone & (f["copy"].to_numpy() == 0), ["id", "batch"]])
             changes.append(f.loc[change & ~gone & (f["client"].to_numpy() != NONE), list(self._KEPT)])
-            for some, to in ((~change & ~last, sales), (last, rest)):
-                to.append(f.loc[some, ["id", "client", "at", "batch"]])
-        before = end if before == END else before
-        new = pd.concat(changes, ignore_index=True)
+            sales.append(f.loc[~change & (at != END), list(self._WAITS)])  # without the tick
+        for f in late:
+            if len(f):
+                yield self._rows("late", f, NONE, NONE, NONE, None)
+        now = self._versions_now(pd.concat(changes, ignore_index=True), before)
+        go, rest = self._released(pd.concat(sales, ignore_index=True), h, batch == self.batches - 1)
+        yield from self._answers(now, go.assign(batch=batch))
+        if len(rest):  # behind the last batch, and so behind its pruning
+            yield from self._answers(now[prune(now["client"].to_numpy("int64"), now["at"].to_numpy("int64"), h)], rest.assign(batch=self.batches))
+
+    def _released(self, new, h: int, last: bool):
+        """The sales to answer now, and those to answer behind the last batch; the others wait."""
+        held = _load(self.waiting)
+        every = pa.table({c: pa.array(new[c].to_numpy("int64")) for c in self._WAITS})
+        every = every if held is None else pa.concat_tables([held, every])
+        at = every["at"].to_numpy()
+        go = (at == NONE) | (at < h)
+        stay = every.filter(pa.array(~go))
+        if len(stay) and not last:
+            self.waiting.update((_ipc(stay),))
+        elif held is not None:
+            self.waiting.clear()
+        return every.filter(pa.array(go)).to_pandas(), (stay if last else stay.slice(0, 0)).to_pandas()
+
+    def _versions_now(self, new, before: int):
+        """The versions of the batch, sorted by client and version, which are kept."""
+        import pandas as pd
+
         held = _load(self.versions)
         if held is None:
             now = new
@@ -174,22 +160,19 @@ class Versions(StatefulProcessor):
             now = now.iloc[np.lexsort([now[c].to_numpy("int64") for c in ("id", "seq", "at", "client")])].reset_index(drop=True)
         if len(new) or (held is not None and held.num_rows != len(now)):
             self.versions.update((_ipc(pa.Table.from_pandas(now[list(self._KEPT)], pa.schema([(c, pa.string() if c == "op" else pa.int64()) for c in self._KEPT]), preserve_index=False)),))
-        for f in late:
-            if len(f):
-                yield self._rows("late", f, NONE, NONE, NONE, None)
-        yield from self._answers(now, sales)
-        if any(len(f) for f in rest):  # behind the last batch, and so behind its pruning
-            yield from self._answers(now[prune(now["client"].to_numpy("int64"), now["at"].to_numpy("int64"), end)], rest)
+        return now
 
     def _answers(self, now, sales):
+        if not len(sales):
+            return
         client, at = now["client"].to_numpy("int64"), now["at"].to_numpy("int64")
         ids, cents, op = now["id"].to_numpy("int64"), now["cents"].to_numpy("int64"), now["op"].astype(object).where(now["op"].notna(), None).to_numpy(object)
-        for f in sales:
-            if len(f):
-                row, n = answer(client, at, f["client"].to_numpy("int64"), f["at"].to_numpy("int64"))
-                hit = row >= 0
-                take = lambda a, none, row=row, hit=hit: np.where(hit, a[row], none) if len(a) else np.full(len(row), none)
-                yield self._rows("sale", f, np.where(f["client"].to_numpy() == NONE, 0, n), take(ids, NONE), take(cents, NONE), take(op, None))
+        for lo in range(0, len(sales), STEP):
+            f = sales.iloc[lo : lo + STEP]
+            row, n = answer(client, at, f["client"].to_numpy("int64"), f["at"].to_numpy("int64"))
+            hit = row >= 0
+            take = lambda a, none, row=row, hit=hit: np.where(hit, a[row], none) if len(a) else np.full(len(row), none)
+            yield self._rows("sale", f, np.where(f["client"].to_numpy() == NONE, 0, n), take(ids, NONE), take(cents, NONE), take(op, None))
 
     @staticmethod
     def _rows(rec, f, held, change, cents, op):
@@ -269,10 +252,9 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = 8, first_d
 
     own = F.pmod(F.xxhash64("id", "at"), F.lit(2**31 - 1))
     known = [_known(F.col(x)).alias(x) for x in ("id", "client", "at")]
-    gate = F.pmod(own, F.lit(keys)).cast("int").alias("gate")
-    fed = dealt(s).select(gate, key(F.pmod(F.shiftright(own, 8), F.col("_parts")).cast("int")).alias("key"), *known, at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
-    ticks = spark.range(keys * batches).select((F.col("id") % keys).cast("int").alias("gate"), F.lit(0).alias("key"), F.lit(NONE).alias("none"), F.lit(NONE).alias("client"), F.lit(END).alias("at"), F.floor(F.col("id") / keys).cast("int").alias("batch"))
-    ticks = ticks.select("gate", "key", F.col("none").alias("id"), "client", "at", at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
+    fed = dealt(s).select(key(F.pmod(F.shiftright(own, 8), F.col("_parts")).cast("int")).alias("key"), *known, at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
+    ticks = spark.range(keys * batches).select((F.col("id") % keys).cast("int").alias("key"), F.lit(NONE).alias("none"), F.lit(NONE).alias("client"), F.lit(END).alias("at"), F.floor(F.col("id") / keys).cast("int").alias("batch"))
+    ticks = ticks.select("key", F.col("none").alias("id"), "client", "at", at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
     fed.union(ticks).write.partitionBy("batch").parquet(f"{home}/staged/sales")
 
     cents = F.floor(F.nullif(F.col("balance"), F.lit(float("nan"))) * 100 + F.lit(0.5))
@@ -280,7 +262,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = 8, first_d
     v = c.dropDuplicates(_CHANGE).select(F.col("change_id").alias("id"), F.col("client_id").cast("long").alias("client"), "at", "seq", cents.alias("cents"), F.col("op").cast("string").alias("op"), "batch")
     v = dealt(v)  # a key takes one copy, however many of a client's parts it has
     v = v.select("*", F.posexplode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), key))).alias("copy", "key"))
-    v = v.select("key", *known, _known(F.col("seq")).alias("seq"), _known(F.col("cents")).alias("cents"), "op", "copy", at_batch(late).alias("late_before"), at_batch(before).alias("h_before"), "batch")
+    v = v.select("key", *known, _known(F.col("seq")).alias("seq"), _known(F.col("cents")).alias("cents"), "op", "copy", at_batch(late).alias("late_before"), at_batch(h).alias("h"), at_batch(before).alias("h_before"), "batch")
     v.write.partitionBy("batch").parquet(f"{home}/staged/changes")
 
     fs, path = _files(spark, home)
@@ -305,14 +287,13 @@ def _files(spark: SparkSession, home: str):
 
 
 def _stream(spark: SparkSession, home: str, batches: int):
-    """The query: gate, then versions, on the files shown so far and the state of earlier starts."""
+    """The query on the files shown so far and the state of earlier starts."""
     sales = spark.readStream.schema(_SALES).parquet(f"{home}/fed/sales")
     changes = spark.readStream.schema(_CHANGES).parquet(f"{home}/fed/changes")
-    released = sales.groupBy("gate").transformWithStateInPandas(Gate(batches), _RELEASED, "append", "none")
     lit = lambda v, kind: F.lit(v).cast(kind)
-    a = released.select("key", F.lit("sale").alias("rec"), "id", "client", "at", lit(NONE, "long").alias("seq"), lit(NONE, "long").alias("cents"), lit(None, "string").alias("op"), lit(0, "int").alias("copy"), lit(NONE, "long").alias("late_before"), "h_before", "batch")
-    b = changes.select("key", F.lit("change").alias("rec"), "id", "client", "at", "seq", "cents", "op", "copy", "late_before", "h_before", "batch")
-    out = a.union(b).groupBy("key").transformWithStateInPandas(Versions(batches), _OUT, "append", "none")
+    a = sales.select("key", F.lit("sale").alias("rec"), "id", "client", "at", lit(NONE, "long").alias("seq"), lit(NONE, "long").alias("cents"), lit(None, "string").alias("op"), lit(0, "int").alias("copy"), lit(NONE, "long").alias("late_before"), "h", "h_before", "batch")
+    b = changes.select("key", F.lit("change").alias("rec"), "id", "client", "at", "seq", "cents", "op", "copy", "late_before", "h", "h_before", "batch")
+    out = a.union(b).groupBy("key").transformWithStateInPandas(Enrich(batches), _OUT, "append", "none")
     return out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
 
 

@@ -126,6 +126,28 @@ def test_stores_of_an_executor_share_one_bound(spark, monkeypatch):
     assert seen == ["true", "true"] and spark.conf.get(name, None) == before != "true"
 
 
+def test_a_start_opens_one_store_a_partition(spark, monkeypatch):
+    """Part of a closed store's memory is never freed, and each start opens a store a partition and stage."""
+    monkeypatch.setattr(enrich, "KEYS", 5)
+    seen, start = [], enrich._stream
+
+    class Watched:
+        def __init__(self, writer):
+            self.writer = writer
+
+        def start(self, path):
+            seen.append(self.writer.start(path))
+            return seen[-1]
+
+    monkeypatch.setattr(enrich, "_stream", lambda *a: Watched(start(*a)))
+    sales, changes = some_sales(2, 40)
+    s, c = spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES)
+    got = [tuple(r) for r in enrich.enrich_sales(s, c).collect()]
+    assert sorted(got, key=repr) == plain_enrichment(sales, changes)
+    assert len(seen) == 8 and all(len(p["stateOperators"]) == 1 for q in seen for p in q.recentProgress)
+    assert sum(p["numInputRows"] for q in seen for p in q.recentProgress) >= len(sales)
+
+
 def test_answer_and_prune():
     client, at = np.array([1, 1, 1, 4]), np.array([5, 5, 9, 2])
     row, n = enrich.answer(client, at, np.array([1, 1, 1, 2, 4, 1]), np.array([4, 5, 100, 7, 2, enrich.NONE]))

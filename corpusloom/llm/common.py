@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -71,6 +72,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of texts. Each running task has one whole, in the JVM and in its worker.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession):
+    """For the time of a write: batches of texts go to Python by bytes, not by 10,000 rows. A
+    longer text is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 #: Rows of 8-byte keys up to which a key set is broadcast: at most about 10 MB.
 BROADCAST_KEYS = 250_000
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, join_split, materialize, mix64
+from corpusloom.llm.common import UnionFind, broadcast_if_small, connected_components, hold_cache, join_split, materialize, mix64, text_batches
 
 WORDS = 5
 PERCENT = 85
@@ -368,7 +368,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Sets of this size or less reach `percent` only when equal, and equal sets need no bands.
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1)) if percent < 100 else 1000
     bands, rows_of = thresholds(percent)
-    signs = materialize(base.mapInArrow(_sign(k, least, bands, rows_of), _SIGN), "signatures")
+    with text_batches(docs.sparkSession):
+        signs = materialize(base.mapInArrow(_sign(k, least, bands, rows_of), _SIGN), "signatures")
     real = signs.where("n > 0 and doc_id is not null")
     reps = materialize(real.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("size")), "sets")
     buckets = reps.where("bands is not null").select("rep", "n", F.explode("bands").alias("h"))
@@ -402,6 +403,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         blocks = cut.join(texts, "doc").select("h", "i", "j", "doc", "text")
         blocks = blocks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         edges = edges.union(blocks.mapInArrow(_blocks(k, percent), "u long, v long"))
+    with text_batches(docs.sparkSession):  # written before links are joined, or each task would have a second worker for that
+        edges = materialize(edges, "edges")
     # Equal sets are linked through their representative.
     groups = materialize(connected_components(edges), "groups")
     rep_group = reps.where("size > 1").join(groups, F.col("rep") == F.col("node"), "left").select("n", "digest", "size", F.coalesce("component_id", "rep").alias("g1"))

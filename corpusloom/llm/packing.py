@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize
+from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize, text_batches
 
 LENGTH, END = 4096, 2
 #: What is left of a document after whole sequences is cut into powers of two down to this.
@@ -214,7 +214,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
     words stay for its next task; a pipeline, whose workers have other stages to serve, says no.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(base.mapInArrow(_pieces(tokenizer, length, end, keep_words), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    with text_batches(docs.sparkSession):
+        pieces = materialize(base.mapInArrow(_pieces(tokenizer, length, end, keep_words), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     intervals, _ = shortest_pack_first(histogram, length)
     intervals.sort()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize
+from corpusloom.llm.common import broadcast_if_small, hold_cache, materialize, text_batches
 
 #: Chosen by accuracy on labelled texts of sf0.1 that are kept from training.
 P, GAPS, DECAY, POWER = 3, 2, 0.7, 8
@@ -334,7 +334,8 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     Only ids come back from the scoring, in a table of their own, so texts pass to Python
     but not back. A row without an id goes if its own text is rejected."""
-    flagged = materialize(score_toxicity(docs, model).where("predicted = 1").select("doc_id").distinct(), "toxic")
+    with text_batches(docs.sparkSession):
+        flagged = materialize(score_toxicity(docs, model).where("predicted = 1").select("doc_id").distinct(), "toxic")
     n = flagged.count()
     named = docs.join(broadcast_if_small(flagged.where("doc_id is not null"), n), "doc_id", "left_anti").select(*docs.columns)
     if not flagged.where("doc_id is null").limit(1).count():

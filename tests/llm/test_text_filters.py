@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 import zlib
 from html.parser import HTMLParser
 
@@ -12,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import html, linededup, pii, toxicity
+from corpusloom.llm import common, html, linededup, pii, toxicity
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <header><p>Site name and slogan</p></header><div class="sidebar"><p>Popular posts of the week</p></div><article><h1>A &amp; B</h1><p><b>First   line<br>
@@ -436,3 +437,27 @@ def test_main_text_of_short_pages_and_names():
         assert "noise" not in html.main_text(f"<body>{long}<div class='{name}'>noise</div></body>")
     assert "noise" not in html.main_text(f'<body><article>{long}</article><div id="responses"><article>noise of readers</article></div></body>')
     assert html.main_text("<nav>a</nav>") == "" and html.main_text("<p></p>") == ""
+
+
+def test_texts_reach_python_in_batches_by_bytes(spark, monkeypatch, tmp_path):
+    """A batch is held whole by the JVM and by the worker, so its bound can't be a number of rows."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 200_000)
+    run_of = toxicity._score
+
+    def watched(model):
+        run = run_of(model)
+
+        def seen(batches):
+            for batch in batches:
+                (tmp_path / uuid.uuid4().hex).write_text(str(batch.nbytes))
+                yield batch
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(toxicity, "_score", watched)
+    docs = spark.range(400).coalesce(1).selectExpr("id as doc_id", "repeat('fine day ', 600) as text")
+    model = toxicity.train(["you idiot"] * 9 + ["a fine day"] * 9, [1] * 9 + [0] * 9)
+    assert toxicity.drop_toxic(docs, model).count() == 400
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) >= 2_000_000 and max(sizes) <= 250_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != "200000"
